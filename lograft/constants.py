@@ -21,7 +21,6 @@ PUBLIC_REPOSITORY = "public-logs"
 DEFAULT_BRANCH = "main"
 
 LOG_TEXT_SUFFIX = ".log.txt"
-LOG_SUFFIX = ".log"
 FOLDER_PREFIX = "log-"
 PART_INFIX = ".part-"
 DESCRIPTION_PREFIX = "Log file: "

@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from lograft.constants import (
     DESCRIPTION_PREFIX,
     FOLDER_PREFIX,
-    LOG_SUFFIX,
     LOG_TEXT_SUFFIX,
     PART_INFIX,
     PRIVATE_REPOSITORY,
@@ -21,28 +20,19 @@ def normalized_name(path: Column) -> Column:
     return F.translate(F.ltrim(path, F.lit("/\\")), "/\\", "--")
 
 
-def log_text_name(name: Column) -> Column:
-    """Make a name end in ``.log.txt``."""
-    return (
-        F.when(name.endswith(LOG_TEXT_SUFFIX), name)
-        .when(name.endswith(LOG_SUFFIX), F.concat(name, F.lit(".txt")))
-        .otherwise(F.concat(name, F.lit(LOG_TEXT_SUFFIX)))
-    )
+def _stem(path: Column) -> Column:
+    """The normalized name without ``.log`` or ``.log.txt`` at its end."""
+    return F.regexp_replace(normalized_name(path), r"\.log(?:\.txt)?\z", "")
 
 
 def uploaded_name(path: Column) -> Column:
-    return log_text_name(normalized_name(path))
-
-
-def without_suffix(name: Column, suffix: str) -> Column:
-    return F.when(
-        name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix))
-    ).otherwise(name)
+    """The normalized name, made to end in ``.log.txt``."""
+    return F.concat(_stem(path), F.lit(LOG_TEXT_SUFFIX))
 
 
 def folder_name(path: Column) -> Column:
     """Folder in a shared archive, or name of a dedicated one."""
-    return F.concat(F.lit(FOLDER_PREFIX), without_suffix(normalized_name(path), LOG_SUFFIX))
+    return F.concat(F.lit(FOLDER_PREFIX), F.regexp_replace(normalized_name(path), r"\.log\z", ""))
 
 
 def description_for(path: Column, given: Column) -> Column:
@@ -57,10 +47,6 @@ def shared_repository(is_public: Column) -> Column:
 
 
 def part_name(path: Column, part_no: Column, digits: int) -> Column:
-    """``a.log.txt`` -> ``a.part-03.log.txt``."""
-    return F.concat(
-        without_suffix(uploaded_name(path), LOG_TEXT_SUFFIX),
-        F.lit(PART_INFIX),
-        F.lpad(part_no.cast("string"), digits, "0"),
-        F.lit(LOG_TEXT_SUFFIX),
-    )
+    """``a.log`` -> ``a.part-03.log.txt``."""
+    number = F.lpad(part_no.cast("string"), digits, "0")
+    return F.concat(_stem(path), F.lit(PART_INFIX), number, F.lit(LOG_TEXT_SUFFIX))

@@ -15,10 +15,32 @@ from lograft.constants import (
 )
 from lograft.functions.naming import description_for, folder_name, shared_repository, uploaded_name
 from lograft.functions.text import is_true
-from lograft.operators.requests import with_violations
+from lograft.operators.requests import valid_requests
 from lograft.operators.strategy import tier_columns
 
 
+# What a plan keeps of the request, and what it adds.
+CARRIED = ("request_id", "owner", "path", "requested_at")
+PLAN = (
+    "size_bytes",
+    "type",
+    "needs_split",
+    "num_chunks",
+    "url",
+    "raw_url",
+    "file_name",
+    "repository_name",
+    "repository_path",
+    "file_count",
+    "is_public",
+    "shared_repository",
+    "only_gist",
+    "dry_mode",
+    "deduplicated",
+    "upload_description",
+)
+
+
 def target_repository(path: Column, is_public: Column, shared: Column) -> Column:
     return F.when(shared, shared_repository(is_public)).otherwise(folder_name(path))
 
@@ -34,14 +56,11 @@ def plan_uploads(
     One join on ``path``; everything after it is a narrow projection.
     """
     path = F.col("path")
-    valid = (
-        with_violations(requests, files)
-        .where((F.size("violations") == 0) & ~F.col("self_test"))
-        .drop("violations", "unknown_options", "self_test")
-    )
+    valid = valid_requests(requests, files)
     tier = tier_columns(F.col("size_bytes"), gist_limit, chunk_size)
     is_repo = F.col("type") == REPO
     shared = is_repo & F.col("shared_repository")
+    carried = [c for c in requests.columns if c in CARRIED]
     return (
         valid.withColumns(
             {
@@ -52,13 +71,12 @@ def plan_uploads(
                 "num_chunks": tier["num_chunks"],
             }
         )
+        .withColumn("_folder", F.when(is_repo, folder_name(path)))
         .withColumns(
             {
                 "file_name": F.when(~is_repo, uploaded_name(path)),
-                "repository_name": F.when(
-                    is_repo, target_repository(path, F.col("is_public"), F.col("shared_repository"))
-                ),
-                "repository_path": F.when(shared, folder_name(path)),
+                "repository_name": F.when(shared, shared_repository(F.col("is_public"))).otherwise(F.col("_folder")),
+                "repository_path": F.when(shared, F.col("_folder")),
                 "upload_description": description_for(path, F.col("description")),
             }
         )
@@ -80,4 +98,5 @@ def plan_uploads(
                 "deduplicated": F.lit(False),
             }
         )
+        .select(*carried, *PLAN)
     )

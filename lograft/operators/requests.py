@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lograft.functions.text import first_non_empty, is_true
+from lograft.functions.text import is_true
 
-# Layers in order of precedence; each is a MAP<STRING,STRING> column of options.
+# Layers in order of precedence; each is a STRUCT column with some of the options.
 LAYERS = ("cli", "env", "lenv")
 
 # --- Fixed values: option names, short forms and defaults --------------------
@@ -32,87 +35,101 @@ SHORT_FORMS = {
 }
 KNOWN_OPTIONS = (*FLAG_DEFAULTS, "description", *SHORT_FORMS.values(), "help", "h", "version")
 
-RULES = (
-    "public_private_conflict",
-    "only_conflict",
-    "no_auto_needs_target",
-    "path_required",
-    "file_missing",
-    "unknown_option",
-)
 
+def typed_options(raw: Column) -> Column:
+    """A raw MAP<STRING,STRING> of options as the STRUCT of a layer.
+
+    Short forms are understood. A flag whose text is no boolean counts as unset.
+    """
+
+    def text(option: str) -> Column:
+        names = [option, SHORT_FORMS.get(option, option)]
+        return F.coalesce(*(F.try_element_at(raw, F.lit(n)) for n in dict.fromkeys(names)))
 
-def _layered(layers: list[str], option: str) -> list[Column]:
-    names = [option] + ([SHORT_FORMS[option]] if option in SHORT_FORMS else [])
-    return [F.try_element_at(F.col(layer), F.lit(n)) for layer in layers for n in names]
+    flags = [text(option).try_cast("boolean").alias(option) for option in FLAG_DEFAULTS]
+    return F.struct(*flags, text("description").alias("description"))
 
 
-def _flag(layers: list[str], option: str) -> Column:
-    values = [v.try_cast("boolean") for v in _layered(layers, option)]
-    return F.coalesce(*values, F.lit(FLAG_DEFAULTS[option]).cast("boolean"))
+def unknown_options(raw: Column) -> Column:
+    """The option names of a raw map that do not exist."""
+    return F.array_except(F.map_keys(raw), F.array(*map(F.lit, KNOWN_OPTIONS)))
+
+
+def _layered(requests: DataFrame, option: str, default: Column) -> Column:
+    """The first value among a column of that name and the layers, else the default."""
+    values = [F.col(option)] if option in requests.columns else []
+    for layer in LAYERS:
+        if layer in requests.columns and option in requests.schema[layer].dataType.fieldNames():
+            values.append(F.col(layer)[option])
+    return F.coalesce(*values, default)
 
 
 def resolve_requests(requests: DataFrame) -> DataFrame:
-    """Fold the option layers; a narrow projection.
+    """Fold the option layers; a narrow projection of typed columns.
 
     ``public``, ``private``, ``only_gist`` and ``only_repository`` stay NULL when
-    no layer sets them. Layer columns that ``requests`` lacks count as empty.
+    no layer sets them. Options that no layer has take their default. An
+    ``unknown_options`` array, if there is one, lists names that do not exist.
     """
-    layers = [layer for layer in LAYERS if layer in requests.columns]
-    flags = {name: _flag(layers, name) for name in FLAG_DEFAULTS}
-    unknown = (
-        F.coalesce(
-            F.array_except(F.map_keys("cli"), F.array(*map(F.lit, KNOWN_OPTIONS))),
-            F.array().cast("array<string>"),
-        )
-        if "cli" in layers
-        else F.array().cast("array<string>")
+    options = {
+        name: _layered(requests, name, F.lit(default).cast("boolean"))
+        for name, default in FLAG_DEFAULTS.items()
+    }
+    options["description"] = _layered(requests, "description", F.lit(""))
+    options["has_unknown"] = (
+        F.coalesce(F.size("unknown_options") > 0, F.lit(False))
+        if "unknown_options" in requests.columns
+        else F.lit(False)
     )
-    folded = requests.withColumns(
-        {
-            **flags,
-            "description": F.coalesce(*_layered(layers, "description"), F.lit("")),
-            "unknown_options": unknown,
-        }
-    ).drop(*layers)
     forced = is_true(F.col("only_gist")) | is_true(F.col("only_repository"))
-    public = F.col("public")
-    return folded.withColumns(
-        {
-            "is_public": is_true(public) | (~is_true(public) & is_true(~F.col("private"))),
-            "auto": F.col("auto") & ~forced,
-            "self_test": F.col("test") | F.col("quick"),
-        }
-    ).drop("test", "quick")
+    public = is_true(F.col("public"))
+    return (
+        requests.withColumns(options)
+        .withColumns(
+            {
+                "is_public": public | is_true(~F.col("private")),
+                "auto": F.col("auto") & ~forced,
+                "self_test": F.col("test") | F.col("quick"),
+            }
+        )
+        .drop("test", "quick", "unknown_options", *LAYERS)
+    )
 
 
-def with_violations(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """Resolved requests joined to their file, with an array of broken rules.
+def with_files(requests: DataFrame, files: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Resolved requests joined to their file, and the condition of each rule on them.
 
     ``files`` has one row per path; only ``path`` and ``size_bytes`` are read. A
     path that very many requests share is a skewed probe side, which adaptive
     execution splits; the file side is never grown for it.
     """
-    resolved = resolve_requests(requests)
-    known = files.select("path", "size_bytes", F.lit(True).alias("_found"))
-    no_path = first_non_empty(F.col("path")).isNull()
-    broken = {
+    joined = resolve_requests(requests).join(
+        files.select("path", "size_bytes", F.lit(True).alias("found")), "path", "left"
+    )
+    real = ~F.col("self_test")
+    no_path = F.coalesce(F.col("path") == "", F.lit(True))
+    no_target = ~is_true(F.col("only_gist")) & ~is_true(F.col("only_repository"))
+    return joined, {
         "public_private_conflict": F.col("public").isNotNull() & F.col("private").isNotNull(),
         "only_conflict": F.col("only_gist").isNotNull() & F.col("only_repository").isNotNull(),
-        "no_auto_needs_target": ~F.col("self_test")
-        & ~F.col("auto")
-        & ~is_true(F.col("only_gist"))
-        & ~is_true(F.col("only_repository")),
-        "path_required": ~F.col("self_test") & no_path,
-        "file_missing": ~F.col("self_test") & ~no_path & F.col("_found").isNull(),
-        "unknown_option": F.size("unknown_options") > 0,
+        "no_auto_needs_target": real & ~F.col("auto") & no_target,
+        "path_required": real & no_path,
+        "file_missing": real & ~no_path & F.col("found").isNull(),
+        "unknown_option": F.col("has_unknown"),
     }
-    rules = F.array_compact(F.array(*(F.when(broken[rule], F.lit(rule)) for rule in RULES)))
-    return resolved.join(known, "path", "left").withColumn("violations", rules).drop("_found")
+
+
+def valid_requests(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """Requests that break no rule and ask for an upload rather than a self-test."""
+    joined, broken = with_files(requests, files)
+    # One condition on both sides of the join: taken apart and pushed below it,
+    # every option would be folded twice.
+    upload = F.when(F.col("found"), ~reduce(or_, broken.values()) & ~F.col("self_test"))
+    return joined.where(upload).drop("found", "has_unknown", "self_test")
 
 
 def validate_requests(requests: DataFrame, files: DataFrame) -> DataFrame:
     """One row per request and broken rule; none for a valid request."""
-    return with_violations(requests, files).select(
-        "request_id", F.explode("violations").alias("rule")
-    )
+    joined, broken = with_files(requests, files)
+    codes = F.array(*(F.when(condition, F.lit(rule)) for rule, condition in broken.items()))
+    return joined.select("request_id", F.explode(codes).alias("rule")).where("rule is not null")

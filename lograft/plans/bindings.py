@@ -21,8 +21,18 @@ HOT_DOC = 11
 LIMITS = {"gist_limit": GIST_LIMIT, "chunk_size": CHUNK_SIZE}
 
 
+# The columns that are used. Timestamps without zone are read as UTC.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, source string",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string",
+    "orders": "o_orderkey bigint, o_orderpriority string",
+    "customer": "c_custkey bigint",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _cat(*parts) -> Column:
@@ -37,20 +47,19 @@ def _case(selector: Column, cases: dict[int, Column | str], default: Column | st
 
 
 def path_of(doc: Column) -> Column:
-    pair = int_div(doc, 8)
-    return _case(
-        doc % 8,
-        {
-            0: _cat("/var/log/app", doc % 5, "/", doc, ".log"),
-            1: _cat("./logs/", doc, ".log"),
-            2: _cat("C:\\logs\\", doc, ".log"),
-            3: _cat("///srv//", doc, ".log.txt"),
-            4: _cat("var/log/", doc, ".txt"),
-            5: _cat("/var/tmp/", doc),
-            6: _cat("/a/b/", pair, ".log"),
-        },
-        _cat("/a-b/", pair, ".log"),
-    )
+    kind = doc % 8
+    heads = {
+        0: _cat("/var/log/app", doc % 5, "/"),
+        1: "./logs/",
+        2: "C:\\logs\\",
+        3: "///srv//",
+        4: "var/log/",
+        5: "/var/tmp/",
+        6: "/a/b/",
+    }
+    tails = {3: ".log.txt", 4: ".txt", 5: ""}
+    number = F.when(kind < 6, doc).otherwise(int_div(doc, 8))
+    return _cat(_case(kind, heads, "/a-b/"), number, _case(kind, tails, ".log"))
 
 
 def line_of(text: Column, n: int) -> Column:
@@ -74,54 +83,49 @@ def n_docs(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
 
 
-def utc(ts: Column) -> Column:
-    """TIMESTAMP_NTZ read as UTC, whatever the session time zone is."""
-    return F.timestamp_micros(
-        F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000
-        + F.hour(ts).cast("bigint") * 3_600_000_000
-        + F.minute(ts).cast("bigint") * 60_000_000
-        + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    )
+def _options(**values: Column) -> Column:
+    return F.struct(*(value.alias(name) for name, value in values.items()))
 
 
-def _options(**values: Column) -> Column:
-    pairs = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, v in values.items()]
-    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+def _flag(number: Column, modulus: int) -> Column:
+    """True, false or unset."""
+    return F.when(number % modulus == 0, True).when(number % modulus == 1, False)
 
 
 def requests_from(events: DataFrame, docs: Column) -> DataFrame:
     n = F.col("event_id")
-    target = F.when(n % 3 == 0, F.lit(HOT_DOC)).otherwise(n % docs)
-    return events.select(
+    # A column of its own, so that the count of documents is looked up once per row.
+    aimed = events.withColumn("target", F.when(n % 3 == 0, F.lit(HOT_DOC)).otherwise(n % docs))
+    return aimed.select(
         n.alias("request_id"),
-        utc(F.col("ts")).alias("requested_at"),
+        F.col("ts").alias("requested_at"),
         F.when(n % 3 < 2, F.lit("nation_0")).otherwise(_cat("nation_", F.col("user_id") % 30)).alias("owner"),
         F.when(n % 97 == 96, _cat("/missing/", n, ".log"))
         .when(n % 101 == 100, F.when(n % 2 == 0, F.lit("")))
-        .otherwise(path_of(target))
+        .otherwise(path_of(F.col("target")))
         .alias("path"),
         _options(
-            public=_case(n % 5, {0: "true", 1: "false"}),
-            private=_case(n % 7, {0: "true", 1: "false"}),
-            only_gist=_case(n % 11, {0: "true", 1: "false"}),
-            only_repository=F.when(n % 6 == 0, "true"),
-            auto=F.when(n % 13 == 0, "false"),
-            v=F.when(n % 9 == 0, "true"),
-            dry=F.when(n % 8 == 3, "true"),
+            public=_flag(n, 5),
+            private=_flag(n, 7),
+            only_gist=_flag(n, 11),
+            only_repository=F.when(n % 6 == 0, True),
+            auto=F.when(n % 13 == 0, False),
+            verbose=F.when(n % 9 == 0, True),
+            dry_mode=F.when(n % 8 == 3, True),
             description=F.when(n % 10 == 4, _cat("note ", n)),
-            colour=F.when(n % 53 == 52, "red"),
-            test=F.when(n % 61 == 60, "true"),
+            test=F.when(n % 61 == 60, True),
         ).alias("cli"),
         _options(
-            public=F.when(n % 17 == 3, "true"),
-            shared_repository=F.when(n % 4 == 1, "false"),
-            dry_mode=F.when(n % 23 == 5, "true"),
+            public=F.when(n % 17 == 3, True),
+            shared_repository=F.when(n % 4 == 1, False),
+            dry_mode=F.when(n % 23 == 5, True),
         ).alias("env"),
         _options(
-            shared_repository=F.when(n % 4 < 2, "true"),
+            shared_repository=F.when(n % 4 < 2, True),
             description=F.when(n % 10 == 5, "from file"),
-            private=F.when(n % 19 == 7, "false"),
+            private=F.when(n % 19 == 7, False),
         ).alias("lenv"),
+        F.when(n % 53 == 52, F.array(F.lit("colour"))).alias("unknown_options"),
     )
 
 

@@ -26,7 +26,7 @@ from lograft.operators import (
     summaries,
 )
 from lograft.plans import bindings as b
-from lograft.session import scratch_path
+from lograft.session import scratch_path, stored
 from lograft.sources.archive import read_archive, write_archive
 from lograft.sources.bytechunks import ByteChunks
 from lograft.streaming.archive_stream import stream_archive
@@ -53,6 +53,11 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.plan_uploads(b.requests(spark, sf_dir), b.log_files(spark, sf_dir), **b.LIMITS)
 
 
+def _stored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan as a table of its own, for queries that read it more than once."""
+    return stored(_plan(spark, sf_dir).drop("upload_description", "file_name"), "plan")
+
+
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.explode_listing(b.archive_listings(spark, sf_dir), "listing", "folder")
 
@@ -132,7 +137,7 @@ def plan_uploads(spark, sf_dir):
 
 
 def dedup_uploads(spark, sf_dir):
-    return dedup.dedup_uploads(_plan(spark, sf_dir), _contents(spark, sf_dir)).select(
+    return dedup.dedup_uploads(_stored_plan(spark, sf_dir), _contents(spark, sf_dir)).select(
         "request_id",
         "owner",
         "repository_name",
@@ -201,7 +206,7 @@ def _archived(spark: SparkSession, root: str) -> DataFrame:
 def archive_write(spark, sf_dir):
     files = b.log_files(spark, sf_dir)
     marked = dedup.dedup_uploads(
-        _plan(spark, sf_dir), _contents(spark, sf_dir), b.shared_repositories(spark, sf_dir)
+        _stored_plan(spark, sf_dir), _contents(spark, sf_dir), b.shared_repositories(spark, sf_dir)
     )
     uploads = dedup.uploads_to_write(marked).select(*dedup.KEY, "path", "size_bytes")
     bodies = uploads.join(files.select("path", "content"), "path")
@@ -222,7 +227,7 @@ def corpus_summary(spark, sf_dir):
 
 
 def resolve_name_collisions(spark, sf_dir):
-    return repositories.resolve_name_collisions(_plan(spark, sf_dir), b.taken_names(spark, sf_dir))
+    return repositories.resolve_name_collisions(_stored_plan(spark, sf_dir), b.taken_names(spark, sf_dir))
 
 
 def link_commits_to_prs(spark, sf_dir):
@@ -293,7 +298,7 @@ def failure_counts(spark, sf_dir):
 
 
 def resolve_outcomes(spark, sf_dir):
-    marked = dedup.dedup_uploads(_plan(spark, sf_dir), _contents(spark, sf_dir))
+    marked = dedup.dedup_uploads(_stored_plan(spark, sf_dir), _contents(spark, sf_dir))
     return failures.resolve_outcomes(marked, b.attempts(spark, sf_dir), b.GIST_LIMIT)
 
 
@@ -336,8 +341,7 @@ def clean_release_notes(spark, sf_dir):
 
 def stream_archive_query(spark, sf_dir):
     """Requests stream in from the events table; the archive is read back."""
-    events = b.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    stream = spark.readStream.schema(b.SCHEMAS["events"]).parquet(f"{sf_dir}/[e]vents.parquet")
     docs = F.lit(b.table(spark, sf_dir, "documents").count())
     root, checkpoint = scratch_path(spark, "archive"), scratch_path(spark, "stream")
     stream_archive(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "lograft", memory: str = "8g") -> SparkSession:
@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, app: str = "lograft", memory: str = "8g"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Above 8000 bytes the JVM never compiles a method; smaller methods beat one big one.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
@@ -37,3 +39,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lograft-")
     return os.path.join(shared, "lograft", f"{label}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    This cuts the lineage, survives lost executors, and lets each reader prune
+    columns and plan with true sizes.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

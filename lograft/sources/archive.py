@@ -8,54 +8,61 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lograft.constants import DEFAULT_BRANCH, PUBLIC_REPOSITORY
+from lograft.sources.catalogue import plain_path
 
 CONTENT = "content"
 LISTING = "listing"
-LAYOUT = ["owner", "repository", "repository_path"]
+KEY = ["owner", "repository", "repository_path"]
 CHUNK_SCHEMA = (
-    "chunk_name string, content binary, size_bytes bigint, writer string, batch bigint, "
-    "owner string, repository string, repository_path string"
+    "owner string, repository_path string, chunk_name string, content binary, size_bytes bigint, "
+    "writer string, batch bigint, repository string"
 )
 LISTING_SCHEMA = (
     "owner string, repository string, repository_path string, chunk_name string, "
-    "size_bytes bigint, writer string, batch bigint"
+    "size_bytes bigint, file_path string, writer string, batch bigint"
 )
-COMMIT_MARK = "_SUCCESS"
 
 
 def _part(base_path: str, kind: str, writer: str, batch: int) -> str:
     return os.path.join(base_path, kind, f"writer={writer}", f"batch={batch}")
 
 
-def write_archive(chunks: DataFrame, base_path: str, writer: str = "batch", batch: int = 0) -> None:
-    """Write chunk bodies below ``repository=.../repository_path=...``, then list them.
+def write_archive(
+    chunks: DataFrame, base_path: str, writer: str = "batch", batch: int = 0, by_folder: bool = False
+) -> None:
+    """Write chunk bodies, then list them.
 
     ``chunks`` holds only folders that are new. Each ``(writer, batch)`` owns a
     directory of its own, which a retry of the same batch replaces as a whole, so
     nothing that another batch wrote is ever touched. The listing is written last:
     a batch that died half-way is not listed, and is written afresh when retried.
     Task failures are covered by Spark's output commit.
+
+    Bodies are laid out by ``repository``. ``by_folder`` adds a directory per
+    ``repository_path`` below it; that suits folders of many megabytes, while for
+    millions of small ones the directories would cost more than the data. Either
+    way the listing names the file of each chunk, for ``read_folder``.
     """
     spark = chunks.sparkSession
     body_path = _part(base_path, CONTENT, writer, batch)
     (
         chunks.select(
-            F.col("chunk_name"),
-            F.col("content"),
-            F.octet_length("content").cast("bigint").alias("size_bytes"),
-            F.col("owner"),
+            "owner",
             F.col("repository_name").alias("repository"),
-            F.col("repository_path"),
+            "repository_path",
+            "chunk_name",
+            "content",
+            F.octet_length("content").cast("bigint").alias("size_bytes"),
         )
         .write.mode("overwrite")
-        .partitionBy(*LAYOUT)
+        .partitionBy("repository", *(["repository_path"] if by_folder else []))
         .parquet(body_path)
     )
     written = (
         spark.read.schema(CHUNK_SCHEMA)
         .option("basePath", os.path.join(base_path, CONTENT))
         .parquet(body_path)
-        .select(*LAYOUT, "chunk_name", "size_bytes")
+        .select(*KEY, "chunk_name", "size_bytes", plain_path(F.col("_metadata.file_path")).alias("file_path"))
     )
     written.write.mode("overwrite").parquet(_part(base_path, LISTING, writer, batch))
 
@@ -75,7 +82,7 @@ def read_listing(spark: SparkSession, base_path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, base_path: str) -> DataFrame:
-    """Archived bodies. Filters on the layout columns prune directories.
+    """Archived bodies. A filter on ``repository`` prunes directories.
 
     Bodies whose batch is not in the listing (it died half-way) are left out.
     """
@@ -83,6 +90,16 @@ def read_archive(spark: SparkSession, base_path: str) -> DataFrame:
     return _read(spark, base_path, CONTENT, CHUNK_SCHEMA).join(committed, ["writer", "batch"], "left_semi")
 
 
+def read_folder(spark: SparkSession, base_path: str, owner: str, repository: str, path: str) -> DataFrame:
+    """The chunks of one folder, read from the few files that hold them."""
+    wanted = (F.col("owner") == owner) & (F.col("repository") == repository) & (F.col("repository_path") == path)
+    rows = read_listing(spark, base_path).where(wanted).select("file_path").distinct().collect()
+    if not rows:
+        return spark.createDataFrame([], CHUNK_SCHEMA)
+    reader = spark.read.schema(CHUNK_SCHEMA).option("basePath", os.path.join(base_path, CONTENT))
+    return reader.parquet(*(row.file_path for row in rows)).where(wanted)
+
+
 def archive_contents(listing: DataFrame) -> DataFrame:
     """A listing in the form that the dedup and roll-up operators take."""
     return listing.select(

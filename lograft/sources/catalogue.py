@@ -28,9 +28,9 @@ BATCH_ROWS = 10_000
 
 
 def plain_path(uri: Column) -> Column:
-    """``file:`` URIs, as Spark reports them, to the form the catalogue uses."""
-    local = F.url_decode(F.replace(F.regexp_replace(uri, r"\Afile:/+", "/"), F.lit("+"), F.lit("%2B")))
-    return F.when(uri.startswith("file:"), local).otherwise(uri)
+    """A file URI, as Spark reports it, to the form the catalogue uses."""
+    bare = F.regexp_replace(uri, r"\Afile:/+", "/")
+    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
 
 
 def plain_root(location: str) -> str:

@@ -11,6 +11,7 @@ from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, MAX_PARTS, SMALL_TI
 from lograft.operators.chunks import chunk_manifest, split_content
 from lograft.operators.dedup import dedup_uploads, uploads_to_write
 from lograft.operators.planning import plan_uploads
+from lograft.session import stored
 from lograft.sources.archive import archive_contents, read_listing, write_archive
 from lograft.sources.bytechunks import with_range_content
 
@@ -31,13 +32,13 @@ def archive_batch(
 ) -> None:
     """Plan, deduplicate, cut and write one batch of requests.
 
-    The plan is made from paths and sizes alone; bodies are read for the survivors
-    only. With a ``content`` column in ``files`` they come from there, else each
+    The plan is made from paths and sizes alone and stored, since several steps
+    read it; bodies are read for the survivors only. With a ``content`` column in ``files`` they come from there, else each
     chunk is read from storage by its own row. Folders that this very batch wrote
     before a crash do not count as archived, so a replay writes the same again.
     """
     spark = requests.sparkSession
-    plan = plan_uploads(requests, files, gist_limit, chunk_size)
+    plan = stored(plan_uploads(requests, files, gist_limit, chunk_size), "plan")
     earlier = read_listing(spark, archive).where(
         ~((F.col("writer") == writer) & (F.col("batch") == batch))
     )
