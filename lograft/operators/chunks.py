@@ -27,19 +27,19 @@ def chunk_manifest(
     parts = F.when(split, ceil_div(size, part_bytes)).otherwise(F.lit(1).cast("bigint"))
     overflow = parts > max_parts
     numbers = F.when(~overflow, F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    offset = F.col("chunk_no") * part_bytes
-    name = F.when(
-        split, part_name(F.col("path"), F.col("chunk_no"), len(str(max_parts - 1)))
-    ).otherwise(uploaded_name(F.col("path")))
+    chunk = F.col("chunk_no")
+    offset = chunk * part_bytes
+    length = F.when(split, F.least(F.lit(part_bytes), size - offset)).otherwise(size)
+    name = F.when(split, part_name(F.col("path"), chunk, len(str(max_parts - 1)))).otherwise(
+        uploaded_name(F.col("path"))
+    )
     return files.select(
         "*", overflow.alias("overflow"), F.explode_outer(numbers).alias("chunk_no")
     ).withColumns(
         {
             "offset": offset,
-            "length": F.when(split, F.least(F.lit(part_bytes), size - offset)).when(
-                F.col("chunk_no").isNotNull(), size
-            ),
-            "chunk_name": F.when(F.col("chunk_no").isNotNull(), name),
+            "length": F.when(chunk.isNotNull(), length),
+            "chunk_name": F.when(chunk.isNotNull(), name),
         }
     )
 

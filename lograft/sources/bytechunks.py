@@ -155,7 +155,7 @@ def with_range_content(manifest: DataFrame) -> DataFrame:
     by many tasks.
     """
     schema = T.StructType([*manifest.schema.fields, T.StructField("content", T.BinaryType())])
-    dealt = manifest.where(F.col("length").isNotNull()).repartition("path", "chunk_no")
+    dealt = manifest.where(F.col("chunk_no").isNotNull()).repartition("path", "chunk_no")
     return dealt.mapInArrow(_fill, schema)
 
 
