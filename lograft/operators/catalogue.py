@@ -24,7 +24,8 @@ def scan_log_files(
     the fragments. Zero-byte files are kept.
     """
     spark.dataSource.register(FileCatalogue)
-    reader = spark.read.format(FileCatalogue.name())
+    tasks = max(64, 4 * spark.sparkContext.defaultParallelism)
+    reader = spark.read.format(FileCatalogue.name()).option("fanOut", tasks)
     if exclude:
         reader = reader.option("exclude", "\n".join(exclude))
     files = reader.load(root)

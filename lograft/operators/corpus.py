@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lograft.constants import CONSTANT_LINE, LINE_MARK, MIB, NUMBERED_LINE
 from lograft.functions.sizes import ceil_div
+from lograft.session import spread
 
 BLOCK = 1 << 16
+TASK_BYTES = 256 * MIB
 
 
 def corpus_lines(sizes: DataFrame, template: str = NUMBERED_LINE) -> DataFrame:
@@ -24,14 +26,15 @@ def corpus_lines(sizes: DataFrame, template: str = NUMBERED_LINE) -> DataFrame:
         sizes.withColumn("n_lines", ceil_div(F.col("target_bytes"), len(template)))
         .where("n_lines > 0")
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), ceil_div(F.col("n_lines"), BLOCK) - 1)))
-        .repartition("_block", *sizes.columns)
     )
     first = F.col("_block") * BLOCK + 1
     last = F.least(first + (BLOCK - 1), F.col("n_lines"))
+    sized = blocks.withColumn("_work", (last - first + 1) * len(template))
+    dealt = spread(sized, "_work", TASK_BYTES, "_block", *sizes.columns)
     text = template.removesuffix("\n")
     return (
-        blocks.withColumn("line_no", F.explode(F.sequence(first, last)))
-        .drop("_block", "n_lines")
+        dealt.withColumn("line_no", F.explode(F.sequence(first, last)))
+        .drop("_block", "_work", "n_lines")
         .withColumn("line", F.replace(F.lit(text), F.lit(LINE_MARK), F.col("line_no").cast("string")))
     )
 

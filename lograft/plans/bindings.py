@@ -46,24 +46,24 @@ def _case(selector: Column, cases: dict[int, Column | str], default: Column | st
     return out.otherwise(default) if default is not None else out
 
 
-def path_of(doc: Column) -> Column:
-    kind = doc % 8
-    heads = {
-        0: _cat("/var/log/app", doc % 5, "/"),
-        1: "./logs/",
-        2: "C:\\logs\\",
-        3: "///srv//",
-        4: "var/log/",
-        5: "/var/tmp/",
-        6: "/a/b/",
-    }
-    tails = {3: ".log.txt", 4: ".txt", 5: ""}
-    number = F.when(kind < 6, doc).otherwise(int_div(doc, 8))
-    return _cat(_case(kind, heads, "/a-b/"), number, _case(kind, tails, ".log"))
+def path_of(doc: str) -> Column:
+    """The path of a document, by its number (a column name or SQL expression)."""
+    return F.expr(
+        f"""concat(
+        CASE {doc} % 8 WHEN 0 THEN concat('/var/log/app', {doc} % 5, '/') WHEN 1 THEN './logs/'
+            WHEN 2 THEN 'C:\\\\logs\\\\' WHEN 3 THEN '///srv//' WHEN 4 THEN 'var/log/'
+            WHEN 5 THEN '/var/tmp/' WHEN 6 THEN '/a/b/' ELSE '/a-b/' END,
+        CASE WHEN {doc} % 8 < 6 THEN {doc} ELSE {doc} div 8 END,
+        CASE {doc} % 8 WHEN 3 THEN '.log.txt' WHEN 4 THEN '.txt' WHEN 5 THEN '' ELSE '.log' END)"""
+    )
 
 
 def line_of(text: Column, n: int) -> Column:
-    return F.coalesce(F.get(F.split(text, "\n", -1), F.lit(n - 1)), F.lit(""))
+    """The first or second line; only that much of the text is looked at."""
+    if n == 1:
+        return F.substring_index(text, "\n", 1)
+    second = F.substring_index(F.substring_index(text, "\n", 2), "\n", -1)
+    return F.when(F.contains(text, F.lit("\n")), second).otherwise("")
 
 
 def short_sha(number: Column) -> Column:
@@ -73,7 +73,7 @@ def short_sha(number: Column) -> Column:
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        path_of(F.col("doc_id")).alias("path"),
+        path_of("doc_id").alias("path"),
         F.octet_length("text").cast("bigint").alias("size_bytes"),
         F.col("text").cast("binary").alias("content"),
     )
@@ -83,49 +83,42 @@ def n_docs(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
 
 
-def _options(**values: Column) -> Column:
-    return F.struct(*(value.alias(name) for name, value in values.items()))
-
-
-def _flag(number: Column, modulus: int) -> Column:
-    """True, false or unset."""
-    return F.when(number % modulus == 0, True).when(number % modulus == 1, False)
+# The option layers of request n: true, false or unset by its remainders.
+CLI = """named_struct(
+    'public', CASE n % 5 WHEN 0 THEN true WHEN 1 THEN false END,
+    'private', CASE n % 7 WHEN 0 THEN true WHEN 1 THEN false END,
+    'only_gist', CASE n % 11 WHEN 0 THEN true WHEN 1 THEN false END,
+    'only_repository', CASE WHEN n % 6 = 0 THEN true END,
+    'auto', CASE WHEN n % 13 = 0 THEN false END,
+    'verbose', CASE WHEN n % 9 = 0 THEN true END,
+    'dry_mode', CASE WHEN n % 8 = 3 THEN true END,
+    'description', CASE WHEN n % 10 = 4 THEN concat('note ', n) END,
+    'test', CASE WHEN n % 61 = 60 THEN true END) AS cli"""
+ENV = """named_struct(
+    'public', CASE WHEN n % 17 = 3 THEN true END,
+    'shared_repository', CASE WHEN n % 4 = 1 THEN false END,
+    'dry_mode', CASE WHEN n % 23 = 5 THEN true END) AS env"""
+LENV = """named_struct(
+    'shared_repository', CASE WHEN n % 4 < 2 THEN true END,
+    'description', CASE WHEN n % 10 = 5 THEN 'from file' END,
+    'private', CASE WHEN n % 19 = 7 THEN false END) AS lenv"""
 
 
 def requests_from(events: DataFrame, docs: Column) -> DataFrame:
     n = F.col("event_id")
-    # A column of its own, so that the count of documents is looked up once per row.
-    aimed = events.withColumn("target", F.when(n % 3 == 0, F.lit(HOT_DOC)).otherwise(n % docs))
-    return aimed.select(
-        n.alias("request_id"),
-        F.col("ts").alias("requested_at"),
-        F.when(n % 3 < 2, F.lit("nation_0")).otherwise(_cat("nation_", F.col("user_id") % 30)).alias("owner"),
-        F.when(n % 97 == 96, _cat("/missing/", n, ".log"))
-        .when(n % 101 == 100, F.when(n % 2 == 0, F.lit("")))
-        .otherwise(path_of(F.col("target")))
-        .alias("path"),
-        _options(
-            public=_flag(n, 5),
-            private=_flag(n, 7),
-            only_gist=_flag(n, 11),
-            only_repository=F.when(n % 6 == 0, True),
-            auto=F.when(n % 13 == 0, False),
-            verbose=F.when(n % 9 == 0, True),
-            dry_mode=F.when(n % 8 == 3, True),
-            description=F.when(n % 10 == 4, _cat("note ", n)),
-            test=F.when(n % 61 == 60, True),
-        ).alias("cli"),
-        _options(
-            public=F.when(n % 17 == 3, True),
-            shared_repository=F.when(n % 4 == 1, False),
-            dry_mode=F.when(n % 23 == 5, True),
-        ).alias("env"),
-        _options(
-            shared_repository=F.when(n % 4 < 2, True),
-            description=F.when(n % 10 == 5, "from file"),
-            private=F.when(n % 19 == 7, False),
-        ).alias("lenv"),
-        F.when(n % 53 == 52, F.array(F.lit("colour"))).alias("unknown_options"),
+    aimed = events.select(
+        n.alias("n"), "ts", "user_id", F.when(n % 3 == 0, F.lit(HOT_DOC)).otherwise(n % docs).alias("target")
+    )
+    return aimed.withColumn("wanted", path_of("target")).selectExpr(
+        "n AS request_id",
+        "ts AS requested_at",
+        "CASE WHEN n % 3 < 2 THEN 'nation_0' ELSE concat('nation_', user_id % 30) END AS owner",
+        """CASE WHEN n % 97 = 96 THEN concat('/missing/', n, '.log')
+            WHEN n % 101 = 100 THEN CASE WHEN n % 2 = 0 THEN '' END ELSE wanted END AS path""",
+        CLI,
+        ENV,
+        LENV,
+        "CASE WHEN n % 53 = 52 THEN array('colour') END AS unknown_options",
     )
 
 
@@ -135,7 +128,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
-    folder = folder_name(path_of(doc))
+    folder = folder_name(path_of("doc_id"))
     public = (doc % 20 != 0)
     entry = F.concat(
         F.lit('{"name":"'), folder, F.lit('.log.txt","download_url":"https://raw.example.org/'), folder,
@@ -199,7 +192,7 @@ def taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dedicated repositories that exist: bare names, and some suffixed ones."""
     doc, n = F.col("doc_id"), F.col("event_id")
     bare = table(spark, sf_dir, "documents").where(doc % 6 == 0).select(
-        F.lit("nation_0").alias("owner"), folder_name(path_of(doc)).alias("name")
+        F.lit("nation_0").alias("owner"), folder_name(path_of("doc_id")).alias("name")
     )
     asked = requests(spark, sf_dir)
     suffixed = asked.where(F.col("request_id") % 33 == 0).select(

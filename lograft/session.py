@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "lograft", memory: str = "8g") -> SparkSession:
@@ -50,3 +50,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, size_column: str, task_bytes: int, *keys: str) -> DataFrame:
+    """Deal out small rows that stand for ``size_column`` bytes of work each.
+
+    The number of partitions comes from the total work, in one cheap pass over
+    the rows. It has to be given: left to itself, adaptive execution would merge
+    partitions by the size of the rows, and one task would get all the work.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(size_column)).first()[0] or 0
+    partitions = max(spark.sparkContext.defaultParallelism, -(-int(total) // task_bytes))
+    return rows.repartition(partitions, *keys)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lograft.constants import CHUNK_SIZE
+from lograft.session import spread
 from lograft.sources import catalogue
 from lograft.sources.catalogue import open_filesystem
 
@@ -31,6 +32,7 @@ ARROW_SCHEMA = pa.schema(
 )
 
 BATCH_BYTES = 8 * 1024 * 1024
+TASK_BYTES = 1024 * 1024 * 1024
 
 
 def read_range(location: str, offset: int, length: int) -> bytes:
@@ -147,16 +149,16 @@ def _fill(batches):
             )
 
 
-def with_range_content(manifest: DataFrame) -> DataFrame:
+def with_range_content(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Add ``content`` to a chunk manifest whose ``path`` is a readable location.
 
-    For catalogues that are tables: nothing is listed or planned by the driver.
-    The manifest is dealt out by chunk first, so the chunks of one file are read
-    by many tasks.
+    For catalogues that are tables: nothing is listed by the driver. The manifest
+    is dealt out by chunk first, about ``task_bytes`` of content to a task, so the
+    chunks of one file are read by many tasks.
     """
     schema = T.StructType([*manifest.schema.fields, T.StructField("content", T.BinaryType())])
-    dealt = manifest.where(F.col("chunk_no").isNotNull()).repartition("path", "chunk_no")
-    return dealt.mapInArrow(_fill, schema)
+    chunks = manifest.where(F.col("chunk_no").isNotNull())
+    return spread(chunks, "length", task_bytes, "path", "chunk_no").mapInArrow(_fill, schema)
 
 
 for _module in (catalogue, sys.modules[__name__]):

@@ -9,13 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, MAX_PARTS, SMALL_TIER_LIMIT
 from lograft.operators.chunks import chunk_manifest, split_content
-from lograft.operators.dedup import dedup_uploads, uploads_to_write
+from lograft.operators.dedup import KEY, dedup_uploads, uploads_to_write
 from lograft.operators.planning import plan_uploads
+from lograft.operators.repositories import uses_shared
 from lograft.session import stored
 from lograft.sources.archive import archive_contents, read_listing, write_archive
 from lograft.sources.bytechunks import with_range_content
 
-UPLOAD = ["owner", "repository_name", "repository_path", "path", "size_bytes"]
+UPLOAD = [*KEY, "path", "size_bytes"]
 
 
 def archive_batch(
@@ -39,10 +40,13 @@ def archive_batch(
     """
     spark = requests.sparkSession
     plan = stored(plan_uploads(requests, files, gist_limit, chunk_size), "plan")
-    earlier = read_listing(spark, archive).where(
-        ~((F.col("writer") == writer) & (F.col("batch") == batch))
+    earlier = archive_contents(
+        read_listing(spark, archive).where(~((F.col("writer") == writer) & (F.col("batch") == batch)))
     )
-    uploads = uploads_to_write(dedup_uploads(plan, archive_contents(earlier), repositories)).select(*UPLOAD)
+    # Only the folders asked for: the whole listing is scanned, but not shuffled for a small batch.
+    asked = plan.where(uses_shared()).select(*KEY).distinct()
+    known = earlier.join(asked, KEY, "left_semi")
+    uploads = uploads_to_write(dedup_uploads(plan, known, repositories)).select(*UPLOAD)
     limits = (chunk_size, granularity, max_parts)
     if "content" in files.columns:
         bodies = uploads.join(files.select("path", "content"), "path")
@@ -84,7 +88,7 @@ def stream_archive(
 def dedup_within_watermark(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """For planned request streams without an archive: first per folder within ``delay``."""
     return requests.withWatermark("requested_at", delay).dropDuplicatesWithinWatermark(
-        ["owner", "repository_name", "repository_path"]
+        KEY
     )
 
 
