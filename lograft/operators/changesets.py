@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lograft.constants import CHANGESET_PREFIX, CHANGESET_README, CHANGESET_SUFFIX
 from lograft.functions.text import LINE_START, WS, js_trim
+from lograft.operators.joins import left_join_present
 
 # --- Fixed values: bumps by rank ---------------------------------------------
 BUMPS = ("patch", "minor", "major")
@@ -166,11 +167,9 @@ def changeset_gate(prs: DataFrame, diff: DataFrame, changesets: DataFrame, packa
     )
     n = F.coalesce("n_added", F.lit(0).cast("bigint"))
     single = F.when(F.col("n_added") == 1, F.col("file"))
+    counted = prs.select("pr_id").distinct().join(added.withColumn("file", single), "pr_id", "left")
     return (
-        prs.select("pr_id")
-        .distinct()
-        .join(added.withColumn("file", single), "pr_id", "left")
-        .join(judged, "file", "left")
+        left_join_present(counted, judged, ["file"], F.col("file").isNotNull(), "pr_id")
         .select(
             "pr_id",
             n.alias("n_added"),

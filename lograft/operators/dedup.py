@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lograft.constants import DEFAULT_BRANCH
 from lograft.functions.urls import tree_url
 from lograft.operators.folders import count_folders
+from lograft.operators.joins import left_join_present
 from lograft.operators.repositories import check_shared_repositories, uses_shared
 
 KEY = ["owner", "repository_name", "repository_path"]
@@ -57,10 +58,7 @@ def dedup_uploads(
             F.col("error").alias("_error"),
         )
         state = state.join(checks, ["owner", "repository_name"], "left")
-    spread = F.when(shared, F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64("request_id"), F.lit(65536)))
-    joined = plan.withColumn("_spread", spread).join(
-        state.withColumn("_spread", F.lit(0).cast("bigint")), [*KEY, "_spread"], "left"
-    )
+    joined = left_join_present(plan, state, KEY, shared, "request_id")
     refused = F.coalesce(F.col("_action") == "error", F.lit(False))
     active = F.col("_first").isNotNull() & ~refused
     in_archive = active & F.col("_listed").isNotNull()
@@ -81,7 +79,7 @@ def dedup_uploads(
             "action": F.col("_action"),
             "error": F.col("_error"),
         }
-    ).drop("_spread", "_first", "_listed", "_listed_url", "_listed_branch", "_action", "_branch", "_error")
+    ).drop("_first", "_listed", "_listed_url", "_listed_branch", "_action", "_branch", "_error")
 
 
 def uploads_to_write(deduplicated: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lograft.constants import BADGE_HOST, VERSION_BUMP_TITLE
 from lograft.functions.text import WS, first_non_empty, has, js_trim
+from lograft.operators.joins import left_join_present
 
 # --- Fixed values: the change section and what is cut from its text ----------
 CHANGES = (
@@ -47,7 +48,8 @@ def link_commits_to_prs(releases: DataFrame, commit_pulls: DataFrame) -> DataFra
         .groupBy("commit_sha")
         .agg(F.min_by("number", "position").alias("pr_number"))
     )
-    return commits.join(chosen, "commit_sha", "left").select("release_id", "commit_sha", "pr_number")
+    known = F.col("commit_sha").isNotNull()
+    return left_join_present(commits, chosen, ["commit_sha"], known, "release_id").select("release_id", "commit_sha", "pr_number")
 
 
 def cleaned_description(raw: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lograft.functions.text import is_true
 
 # Layers in order of precedence; each is a STRUCT column with some of the options.
-LAYERS = ("cli", "env", "lenv")
+LAYERS = ("cli", "env", "settings")
 
 # --- Fixed values: option names, short forms and defaults --------------------
 FLAG_DEFAULTS = {

@@ -98,10 +98,10 @@ ENV = """named_struct(
     'public', CASE WHEN n % 17 = 3 THEN true END,
     'shared_repository', CASE WHEN n % 4 = 1 THEN false END,
     'dry_mode', CASE WHEN n % 23 = 5 THEN true END) AS env"""
-LENV = """named_struct(
+SETTINGS = """named_struct(
     'shared_repository', CASE WHEN n % 4 < 2 THEN true END,
     'description', CASE WHEN n % 10 = 5 THEN 'from file' END,
-    'private', CASE WHEN n % 19 = 7 THEN false END) AS lenv"""
+    'private', CASE WHEN n % 19 = 7 THEN false END) AS settings"""
 
 
 def requests_from(events: DataFrame, docs: Column) -> DataFrame:
@@ -117,7 +117,7 @@ def requests_from(events: DataFrame, docs: Column) -> DataFrame:
             WHEN n % 101 = 100 THEN CASE WHEN n % 2 = 0 THEN '' END ELSE wanted END AS path""",
         CLI,
         ENV,
-        LENV,
+        SETTINGS,
         "CASE WHEN n % 53 = 52 THEN array('colour') END AS unknown_options",
     )
 

@@ -9,7 +9,7 @@ from lograft.operators import catalogue, planning, requests
 WHEN = dt.datetime(2024, 1, 1)
 FLAGS = "struct<public:boolean,private:boolean,auto:boolean,only_gist:boolean,only_repository:boolean,"
 FLAGS += "shared_repository:boolean,dry_mode:boolean,verbose:boolean,test:boolean,quick:boolean,description:string>"
-SCHEMA = f"request_id bigint, owner string, path string, requested_at timestamp, cli {FLAGS}, env {FLAGS}, lenv {FLAGS}"
+SCHEMA = f"request_id bigint, owner string, path string, requested_at timestamp, cli {FLAGS}, env {FLAGS}, settings {FLAGS}"
 
 
 def layer(**options):
@@ -21,7 +21,7 @@ def layer(**options):
 def asked(spark):
     def make(*specs):
         data = [
-            (i, "me", s.get("path", "/f.log"), WHEN, layer(**s.get("cli", {})), layer(**s.get("env", {})), layer(**s.get("lenv", {})))
+            (i, "me", s.get("path", "/f.log"), WHEN, layer(**s.get("cli", {})), layer(**s.get("env", {})), layer(**s.get("settings", {})))
             for i, s in enumerate(specs)
         ]
         return spark.createDataFrame(data, SCHEMA)
@@ -40,8 +40,8 @@ def test_layers_in_order(asked):
     df = requests.resolve_requests(
         asked(
             {"cli": {"public": True}, "env": {"public": False}},
-            {"env": {"shared_repository": False}, "lenv": {"shared_repository": True}},
-            {"lenv": {"dry_mode": True, "description": "d"}},
+            {"env": {"shared_repository": False}, "settings": {"shared_repository": True}},
+            {"settings": {"dry_mode": True, "description": "d"}},
             {},
         )
     )
