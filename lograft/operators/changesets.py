@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lograft.constants import CHANGESET_PREFIX, CHANGESET_README, CHANGESET_SUFFIX
 from lograft.functions.text import LINE_START, WS, js_trim
 from lograft.operators.joins import left_join_present
+from lograft.session import stored
 
 # --- Fixed values: bumps by rank ---------------------------------------------
 BUMPS = ("patch", "minor", "major")
@@ -74,11 +75,12 @@ def merge_changesets(
     The header is made of counts and a max, combined before the shuffle. The text
     ``merged`` is only put together for batches whose descriptions fit in
     ``inline_bytes``; for larger ones it is NULL and ``merged_entries`` has it as
-    sorted rows, so no group is ever gathered beyond that size.
+    sorted rows, so no group is ever gathered beyond that size. The header is
+    stored, as it decides which records are read again for their text.
     """
     rank = F.array_position(F.array(*map(F.lit, BUMPS)), F.col("bump"))
     parsed = parse_changesets(df, package)
-    header = (
+    header = stored(
         parsed.groupBy(batch)
         .agg(
             F.count("*").alias("n_files"),
@@ -97,14 +99,14 @@ def merge_changesets(
                 ),
             }
         )
-        .drop("_rank")
+        .drop("_rank"),
+        "batches",
     )
     inline = header.where((F.col("action") == "merged") & (F.col("body_bytes") <= inline_bytes))
+    # Empty descriptions are left out as NULLs: a filter would be pushed down and parse twice.
+    text = "listagg(nullif(description, ''), '\\n\\n') WITHIN GROUP (ORDER BY mtime, file)"
     bodies = (
-        parsed.where("description <> ''")
-        .join(inline.select(batch), batch, "left_semi")
-        .groupBy(batch)
-        .agg(F.expr("listagg(description, '\\n\\n') WITHIN GROUP (ORDER BY mtime, file)").alias("_body"))
+        parsed.join(inline.select(batch), batch, "left_semi").groupBy(batch).agg(F.expr(text).alias("_body"))
     )
     record = F.concat(
         F.lit(RECORD_HEAD.format(package=package)),
