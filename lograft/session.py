@@ -9,11 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def local_session(cores: int | str = 8, app: str = "lograft", memory: str = "8g") -> SparkSession:
-    """A ``local[cores]`` session with the settings a cluster job would also want."""
+def local_session(
+    cores: int | str = 8, app: str = "lograft", memory: str = "8g", shared: str | None = None
+) -> SparkSession:
+    """A ``local[cores]`` session with the settings a cluster job would also want.
+
+    ``shared`` names the folder for derived tables; a single machine may use a new
+    temporary one, as every executor thread sees it.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="lograft-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
@@ -27,18 +34,17 @@ def local_session(cores: int | str = 8, app: str = "lograft", memory: str = "8g"
     )
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for derived data under the folder all executors share.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master may fall back to a temporary folder of this machine.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="lograft-")
-    return os.path.join(shared, "lograft", f"{label}-{uuid.uuid4().hex}")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for derived data under the shared folder."""
+    return os.path.join(shared_folder(spark), "lograft", f"{label}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
