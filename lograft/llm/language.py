@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lograft.llm.common import cut_slices, document_remainder, unit_hash
 
 # A dictionary's raw content: this many documents of a language, this many characters of each.
-DICTIONARY_DOCS = 96
-DICTIONARY_CHARS = 1000
-LEVEL = 3
+DICTIONARY_DOCS = 100
+DICTIONARY_CHARS = 500
+LEVEL = 6
 # Texts are coded in blocks, so that a long one does not become its own dictionary.
-BLOCK_BYTES = 2048
+BLOCK_BYTES = 4096
 BATCH_BYTES = 4 << 20
 UNKNOWN = "und"
 # Below this score two languages are too close: a lead of less than half a byte.
@@ -28,7 +28,7 @@ def train_dictionaries(docs: DataFrame, most_docs: int = DICTIONARY_DOCS) -> dic
     """Raw-content dictionaries of every non-NULL ``lang``, from documents that are not held out.
 
     Of each language the documents with the smallest hash of id count, ``most_docs`` of them,
-    with the first 1000 characters each: a bounded sample, about 100 kB a language. Ids are
+    with the first 500 characters each, in lower case: a bounded sample, about 50 kB a language. Ids are
     ranked without their texts and cut before the shuffle; the ranking reads all rows.
     """
     learnt = docs.where(F.col("lang").isNotNull() & (document_remainder(F.col("doc_id"), 5) != 0))
@@ -38,7 +38,7 @@ def train_dictionaries(docs: DataFrame, most_docs: int = DICTIONARY_DOCS) -> dic
     chosen = chosen.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"), "__rank")
     texts = (
         learnt.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-        .select("lang", "__rank", F.substring("text", 1, DICTIONARY_CHARS).alias("text"))
+        .select("lang", "__rank", F.lower(F.substring("text", 1, DICTIONARY_CHARS)).alias("text"))
         .where("text <> ''")
         .collect()
     )
@@ -76,8 +76,8 @@ def coded_sizes(text: bytes, compressors: list) -> list[int]:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float = LEAST_SCORE) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``accepted`` to every row.
 
-    The language whose dictionary makes the whole text smallest; of equals the
-    first by code point. ``score`` is its share if each byte less counts e-fold
+    The language whose dictionary makes the whole text, in lower case, smallest; of equals
+    the first by code point. ``score`` is its share if each byte less counts e-fold
     (0 to 1; a half: two are level). Texts that are NULL or have no letter are
     ``und`` with score 0, so are all if no language was learnt. ``accepted``: not ``und`` and the lead is not
     narrow. Only ``text`` is an input. Other columns are kept, columns of the three names are replaced.
@@ -93,7 +93,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float
             for part in cut_slices(batch, "text", BATCH_BYTES):
                 texts = part.column("text")
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
-                raw = texts.cast(pa.binary()).to_pylist()
+                raw = pc.utf8_lower(texts).cast(pa.binary()).to_pylist()
                 langs, scores = [], []
                 for text, has_letter in zip(raw, lettered, strict=True):
                     if not has_letter or not known:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lograft.llm.common import SPACE
 from lograft.session import stored
 
 # Rows that costs and selectivities are estimated on; they only decide the order of the rules.
@@ -25,55 +24,68 @@ class Rule:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _removed(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def _without(text: Column, chars: str) -> Column:
+    """The text without these characters; plain byte searches, far cheaper than a pattern."""
+    for char in chars:
+        text = F.replace(text, F.lit(char), F.lit(""))
+    return text
+
+
+def _removed(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(_without(text, chars))
 
 
 def add_measures(docs: DataFrame) -> DataFrame:
     """Adds the base measures (long) to every row; columns of these names are replaced.
 
-    A NULL text has no words, lines or symbols. All is done within the row by
-    sorting the text's own three-word windows: n log n in its length, no shuffle.
+    A NULL text has no words, lines or symbols. All is done within the row, with no
+    shuffle: hashes of the three-word windows tell whether any can be equal, and
+    only then are the windows themselves sorted, n log n in the text's length.
     """
     kept = [c for c in docs.columns if c not in MEASURES]
     text = F.coalesce(docs["text"], F.lit(""))
+    spaced = text
+    for char in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(char), F.lit(" "))
     rows = docs.select(
         *(docs[c] for c in kept),
         text.alias("__text"),
-        F.array_remove(F.split(text, rf"[{SPACE}]+"), "").alias("__words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(rf"[^{SPACE}]")).alias("__lines"),
+        F.array_remove(F.split(spaced, " "), "").alias("__words"),
+        F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t\x0b\x0c\r")) != "").alias("__lines"),
     )
-    rows = rows.withColumn("n_words", F.size("__words").cast("long"))
     windows = F.greatest(F.size("__words") - 2, F.lit(0))
     zipped = F.arrays_zip(
-        F.col("__words").alias("a"),
-        F.slice("__words", F.lit(2), windows + 2).alias("b"),
-        F.slice("__words", F.lit(3), windows + 2).alias("c"),
+        F.slice("__words", F.lit(1), windows).alias("a"),
+        F.slice("__words", F.lit(2), windows).alias("b"),
+        F.slice("__words", F.lit(3), windows).alias("c"),
     )
-    rows = rows.withColumn("__windows", F.slice(zipped, F.lit(1), windows))
-    # Windows sorted by their words, each with its place; equal ones then stand side by side.
-    rows = rows.withColumn(
-        "__sorted",
-        F.sort_array(
-            F.transform(
-                "__windows",
-                lambda w, i: F.struct(F.concat_ws(" ", w["a"], w["b"], w["c"]).alias("gram"), i.alias("at")),
-            )
-        ),
-    )
-    pairs = F.greatest(F.size("__sorted") - 1, F.lit(0))
     rows = rows.select(
         *kept,
         "__text",
-        "n_words",
         "__lines",
-        F.col("__sorted.at").alias("__at"),
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        zipped.alias("__windows"),
+    )
+    rows = rows.withColumn("__hashes", F.transform("__windows", lambda w: F.xxhash64(w["a"], w["b"], w["c"])))
+    # Windows sorted by their words, each with its place; equal ones then stand side by side.
+    in_order = F.sort_array(
+        F.transform(
+            "__windows", lambda w, i: F.struct(F.concat_ws(" ", w["a"], w["b"], w["c"]).alias("gram"), i.alias("at"))
+        )
+    )
+    some_equal = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
+    none = F.array().cast("array<struct<gram:string,at:int>>")
+    rows = rows.withColumn("__sorted", F.when(some_equal, in_order).otherwise(none)).drop("__windows", "__hashes")
+    pairs = F.greatest(F.size("__sorted") - 1, F.lit(0))
+    rows = rows.withColumn(
+        "__same",
         F.zip_with(
             F.slice("__sorted.gram", F.lit(1), pairs), F.slice("__sorted.gram", F.lit(2), pairs), lambda x, y: x == y
-        ).alias("__same"),
+        ),
     )
     first, last = F.concat(F.array(F.lit(False)), "__same"), F.concat("__same", F.array(F.lit(False)))
-    repeated = F.zip_with("__at", F.zip_with(first, last, lambda x, y: x | y), lambda i, r: F.when(r, i))
+    repeated = F.zip_with("__sorted.at", F.zip_with(first, last, lambda x, y: x | y), lambda i, r: F.when(r, i))
     rows = rows.withColumn("__repeated", F.sort_array(F.array_compact(repeated)))
     # A window covers three words, fewer new ones if the next begins within it.
     gaps = F.greatest(F.size("__repeated") - 1, F.lit(0))
@@ -86,8 +98,8 @@ def add_measures(docs: DataFrame) -> DataFrame:
     return rows.select(
         *kept,
         "n_words",
-        F.length(F.regexp_replace("__text", rf"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-        _removed(F.col("__text"), r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
+        "word_chars",
+        _removed(F.col("__text"), "#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("__repeated") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
     )
@@ -100,13 +112,14 @@ def base_failed() -> Column:
 def standard_rules() -> list[Rule]:
     """Rules over ``text`` and the base measures; marks, shouting, odd word lengths, repeated lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.length(text) - F.length(F.regexp_replace(text, "\n", "")) + 1
+    lines = _removed(text, "\n") + 1
+    capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * lines),
-        Rule("shouting", 2 * _removed(text, "[A-Z]+") > F.col("word_chars")),
-        Rule("exclamations", 5 * _removed(text, "!+") > F.col("n_words")),
+        Rule("shouting", 2 * capitals > F.col("word_chars")),
+        Rule("exclamations", 5 * _removed(text, "!") > F.col("n_words")),
     ]
 
 
@@ -121,13 +134,13 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-4)
 
 
-def estimate(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Rejected share and cost of every rule on a bounded sample, best rejection per cost first.
+def estimate(rows: DataFrame, rules: list[Rule]) -> list[Estimate]:
+    """Rejected share and cost of every rule on the rows of a bounded sample, best rejection per cost first.
 
     Costs are measured: the seconds a pass with the rule takes beyond one without.
     They vary from run to run; the order of the rules then may too, but no result does.
     """
-    sample = stored(rows.limit(sample_rows), "rules-sample")
+    sample = stored(rows, "rules-sample")
 
     def run(share: Column) -> tuple[float, float]:
         start = time.perf_counter()
@@ -160,7 +173,9 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: i
     empty table gives an empty result. ``kept`` does not depend on the order of the
     rules, so neither on the sample. ``rules`` replace :func:`standard_rules`.
     """
-    measured = add_measures(docs.drop("base_failed", "kept")).withColumn("base_failed", base_failed())
-    ordered = [e.rule for e in estimate(measured, rules or standard_rules(), sample_rows)]
+    docs = docs.drop("base_failed", "kept")
+    measured = add_measures(docs).withColumn("base_failed", base_failed())
+    sample = add_measures(stored(docs.limit(sample_rows), "rules-docs"))
+    ordered = [e.rule for e in estimate(sample, rules or standard_rules())]
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered))
     return measured.withColumn("kept", verdict)
