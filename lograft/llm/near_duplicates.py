@@ -274,7 +274,8 @@ def verified_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     )
     with_text = (
         docs.select("doc_id", "text")
-        .join(placed, docs["doc_id"].eqNullSafe(placed["__id"]))
+        # One plan for all sizes: the texts meet their classes by id, in one shuffle.
+        .join(placed.hint("merge"), docs["doc_id"].eqNullSafe(placed["__id"]))
         .select(
             "node", "component", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "text"
         )
