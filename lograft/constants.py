@@ -11,7 +11,8 @@ MIB = 1024 * 1024
 SMALL_TIER_LIMIT = 25 * MIB
 CHUNK_SIZE = 100 * MIB
 CHUNK_GRANULARITY = MIB
-MAX_PARTS = 100
+# Part numbers have two digits at least, more where a file has more parts.
+LEAST_PART_DIGITS = 2
 
 GIST = "gist"
 REPO = "repo"
@@ -83,3 +84,5 @@ NUMBERED_LINE = (
 CONSTANT_LINE = (
     "[2025-01-07T12:00:00.000Z] INFO  Test log entry - Lorem ipsum dolor sit amet.\n"
 )
+
+BROKEN_LISTING = "The listing of this folder cannot be parsed"

@@ -46,7 +46,7 @@ def shared_repository(is_public: Column) -> Column:
     return F.when(is_public, PUBLIC_REPOSITORY).otherwise(PRIVATE_REPOSITORY)
 
 
-def part_name(path: Column, part_no: Column, digits: int) -> Column:
+def part_name(path: Column, part_no: Column, digits: Column) -> Column:
     """``a.log`` -> ``a.part-03.log.txt``."""
     number = F.lpad(part_no.cast("string"), digits, "0")
     return F.concat(_stem(path), F.lit(PART_INFIX), number, F.lit(LOG_TEXT_SUFFIX))

@@ -15,7 +15,6 @@ from lograft.sources.catalogue import plain_path, plain_root
 # What Spark's file sources skip: names that start with "." or "_", and copies in progress.
 _HIDDEN = r"(?:\A|/)[._]|\._COPYING_\z"
 _REPORT = ("path", "relative_path", "size_bytes")
-_NO_LIMIT = 10**9
 
 
 def _newlines(text: Column) -> Column:
@@ -65,7 +64,7 @@ def _visible_lines(
 
 
 def _hidden_lines(catalogue: DataFrame) -> DataFrame:
-    ranges = chunk_manifest(catalogue.select(*_REPORT), max_parts=_NO_LIMIT)
+    ranges = chunk_manifest(catalogue.select(*_REPORT))
     return (
         with_range_content(ranges)
         .groupBy(*_REPORT)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lograft.constants import CHANGESET_PREFIX, CHANGESET_README, CHANGESET_SUFFIX
 from lograft.functions.text import LINE_START, WS, js_trim
 from lograft.operators.joins import left_join_present
-from lograft.session import stored
 
 # --- Fixed values: bumps by rank ---------------------------------------------
 BUMPS = ("patch", "minor", "major")
@@ -18,8 +17,6 @@ MARKER = "---"
 RECORD_HEAD = "---\n'{package}': "
 RECORD_MIDDLE = "\n---\n\n"
 
-INLINE_BODY_BYTES = 64 * 1024 * 1024
-
 
 def bump_of(content: Column, package: str, quoted: bool) -> Column:
     """The bump named for ``package``, or NULL.
@@ -50,44 +47,18 @@ def parse_changesets(df: DataFrame, package: str, strict: bool = False) -> DataF
     ).drop("content")
 
 
-def merged_entries(df: DataFrame, package: str, batch: str = "batch") -> DataFrame:
-    """The merged descriptions as rows, in order of batch, time and file.
-
-    This is the form for batches of any size: the order is a range-partitioned
-    sort, so even a batch with most of all records is spread over many tasks.
-    """
-    return (
-        parse_changesets(df, package)
-        .where("description <> ''")
-        .select(batch, "mtime", "file", "description")
-        .orderBy(batch, "mtime", "file")
-    )
-
-
-def merge_changesets(
-    df: DataFrame, package: str, batch: str = "batch", inline_bytes: int = INLINE_BODY_BYTES
-) -> DataFrame:
-    """One row per batch: highest bump, counts, and the merged record.
-
-    ``action`` is ``none`` for a single file, ``error`` when no file of several
-    can be parsed, else ``merged``. Unparseable files count as files.
-
-    The header is made of counts and a max, combined before the shuffle. The text
-    ``merged`` is only put together for batches whose descriptions fit in
-    ``inline_bytes``; for larger ones it is NULL and ``merged_entries`` has it as
-    sorted rows, so no group is ever gathered beyond that size. The header is
-    stored, as it decides which records are read again for their text.
-    """
+def _batches(parsed: DataFrame, batch: str) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, BUMPS)), F.col("bump"))
-    parsed = parse_changesets(df, package)
-    header = stored(
+    described = F.col("description") != ""
+    return (
         parsed.groupBy(batch)
         .agg(
             F.count("*").alias("n_files"),
             F.count("bump").alias("n_parsed"),
-            F.count_if(F.col("description") != "").alias("n_descriptions"),
+            F.count_if(described).alias("n_descriptions"),
             F.coalesce(F.sum(F.octet_length("description")), F.lit(0)).alias("body_bytes"),
             F.max(rank).alias("_rank"),
+            F.min(F.when(described, F.struct("mtime", "file"))).alias("_first"),
         )
         .withColumns(
             {
@@ -99,26 +70,48 @@ def merge_changesets(
                 ),
             }
         )
-        .drop("_rank"),
-        "batches",
+        .drop("_rank")
     )
-    inline = header.where((F.col("action") == "merged") & (F.col("body_bytes") <= inline_bytes))
-    # Empty descriptions are left out as NULLs: a filter would be pushed down and parse twice.
-    text = "listagg(nullif(description, ''), '\\n\\n') WITHIN GROUP (ORDER BY mtime, file)"
+
+
+def merge_changesets(df: DataFrame, package: str, batch: str = "batch") -> DataFrame:
+    """One row per batch: highest bump and counts; ``merged_entries`` has the record's text.
+
+    ``action`` is ``none`` for a single file, ``error`` when no file of several
+    can be parsed, else ``merged``. Unparseable files count as files. All is
+    counts and a max, combined before the shuffle.
+    """
+    return _batches(parse_changesets(df, package), batch).drop("_first")
+
+
+def merged_entries(df: DataFrame, package: str, batch: str = "batch") -> DataFrame:
+    """The merged records in pieces: read by (``piece``, ``mtime``, ``file``), their ``text`` is the record.
+
+    Piece 0 is the head with the bump, piece 1 stands for each description (with the
+    blank line before it, unless it is the first), piece 2 is the end. A batch of any size is rows, so
+    nothing is gathered in one task. Within a batch (mtime, file) must differ.
+    """
+    parsed = parse_changesets(df, package)
+    merged = _batches(parsed, batch).where("action = 'merged'")
+    head = F.concat(F.lit(RECORD_HEAD.format(package=package)), F.col("bump"), F.lit(RECORD_MIDDLE))
+    no_time, no_file = F.lit(None).cast(df.schema["mtime"].dataType), F.lit(None).cast("string")
+    ends = merged.select(
+        batch,
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("piece"), head.alias("text")),
+                F.struct(F.lit(2).alias("piece"), F.lit("\n").alias("text")),
+            )
+        ).alias("_end"),
+    ).select(batch, "_end.piece", no_time.alias("mtime"), no_file.alias("file"), "_end.text")
+    first = F.col("_first") == F.struct("mtime", "file")
+    text = F.when(first, F.col("description")).otherwise(F.concat(F.lit("\n\n"), F.col("description")))
     bodies = (
-        parsed.join(inline.select(batch), batch, "left_semi").groupBy(batch).agg(F.expr(text).alias("_body"))
-    )
-    record = F.concat(
-        F.lit(RECORD_HEAD.format(package=package)),
-        F.col("bump"),
-        F.lit(RECORD_MIDDLE),
-        F.coalesce("_body", F.lit("")),
-        F.lit("\n"),
-    )
-    merged = F.when(
-        (F.col("action") == "merged") & (F.col("body_bytes") <= inline_bytes), record
+        parsed.where("description <> ''")
+        .join(merged.select(batch, "_first"), batch)
+        .select(batch, F.lit(1).alias("piece"), "mtime", "file", text.alias("text"))
     )
-    return header.join(bodies, batch, "left").withColumn("merged", merged).drop("_body")
+    return ends.unionByName(bodies)
 
 
 def manual_changeset(df: DataFrame, package: str) -> DataFrame:

@@ -2,81 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, MAX_PARTS
+from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, LEAST_PART_DIGITS
 from lograft.functions.naming import part_name, uploaded_name
 from lograft.functions.sizes import ceil_div
 
 
+def part_bytes(chunk_size: int, granularity: int) -> int:
+    """The size of a full chunk: rounded up to ``granularity``."""
+    return -(-chunk_size // granularity) * granularity
+
+
+def part_count(size: Column, chunk_size: int = CHUNK_SIZE, granularity: int = CHUNK_GRANULARITY) -> Column:
+    """How many chunks a file is stored as; one up to ``chunk_size``."""
+    parts = ceil_div(size, part_bytes(chunk_size, granularity))
+    return F.when(size > chunk_size, parts).otherwise(F.lit(1)).cast("bigint")
+
+
 def chunk_manifest(
-    files: DataFrame,
-    chunk_size: int = CHUNK_SIZE,
-    granularity: int = CHUNK_GRANULARITY,
-    max_parts: int = MAX_PARTS,
+    files: DataFrame, chunk_size: int = CHUNK_SIZE, granularity: int = CHUNK_GRANULARITY
 ) -> DataFrame:
     """One row per chunk: number, offset, length and name; no bodies are read.
 
-    Files up to ``chunk_size`` stay whole. Chunks are rounded up to
-    ``granularity``. A file with more than ``max_parts`` chunks gives a single row
-    with ``overflow`` set and no chunk, since part names have no number left.
+    Files up to ``chunk_size`` stay whole. Every byte of a file is in a chunk,
+    however many that takes; part numbers are as wide as the file needs.
     """
-    part_bytes = -(-chunk_size // granularity) * granularity
-    size = F.col("size_bytes")
+    size, full = F.col("size_bytes"), part_bytes(chunk_size, granularity)
     split = size > chunk_size
-    parts = F.when(split, ceil_div(size, part_bytes)).otherwise(F.lit(1).cast("bigint"))
-    overflow = parts > max_parts
-    numbers = F.when(~overflow, F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    last = part_count(size, chunk_size, granularity) - 1
     chunk = F.col("chunk_no")
-    offset = chunk * part_bytes
-    length = F.when(split, F.least(F.lit(part_bytes), size - offset)).otherwise(size)
-    name = F.when(split, part_name(F.col("path"), chunk, len(str(max_parts - 1)))).otherwise(
-        uploaded_name(F.col("path"))
-    )
-    return files.select(
-        "*", overflow.alias("overflow"), F.explode_outer(numbers).alias("chunk_no")
-    ).withColumns(
+    digits = F.greatest(F.lit(LEAST_PART_DIGITS), F.length(last.cast("string")))
+    name = F.when(split, part_name(F.col("path"), chunk, digits)).otherwise(uploaded_name(F.col("path")))
+    return files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_no")).withColumns(
         {
-            "offset": offset,
-            "length": F.when(chunk.isNotNull(), length),
-            "chunk_name": F.when(chunk.isNotNull(), name),
+            "offset": chunk * full,
+            "length": F.when(split, F.least(F.lit(full), size - chunk * full)).otherwise(size),
+            "chunk_name": name,
         }
     )
 
 
 def split_content(
-    files: DataFrame,
-    chunk_size: int = CHUNK_SIZE,
-    granularity: int = CHUNK_GRANULARITY,
-    max_parts: int = MAX_PARTS,
+    files: DataFrame, chunk_size: int = CHUNK_SIZE, granularity: int = CHUNK_GRANULARITY
 ) -> DataFrame:
     """Cut bodies that are already in a table; ``content`` becomes the chunk.
 
     Narrow: each body is sliced in the task that holds it. Files on storage are
     better read chunk by chunk (``lograft.sources.bytechunks``).
     """
-    manifest = chunk_manifest(files, chunk_size, granularity, max_parts).where("not overflow")
-    return manifest.withColumn(
-        "content",
-        F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int")),
-    )
+    return chunk_manifest(files, chunk_size, granularity).withColumn("content", _range_of("content"))
 
 
-def check_coverage(chunks: DataFrame) -> DataFrame:
-    """Files whose chunks leave a gap, overlap or miss the end; none when whole.
+def _range_of(column: str) -> Column:
+    return F.substring(F.col(column), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
 
-    Combined before the shuffle: lengths add up to the size, the last chunk ends
-    at it, and the numbers are distinct and start at zero.
-    """
+
+def _covered(chunks: DataFrame, *more: Column) -> DataFrame:
+    whole = (
+        (F.col("distinct") == F.col("n"))
+        & (F.col("low") == 0)
+        & (F.col("high") == F.col("n") - 1)
+        & (F.col("covered") == F.col("size_bytes"))
+        & (F.col("end") == F.col("size_bytes"))
+    )
     return (
-        chunks.where("not overflow")
-        .groupBy("path", "size_bytes")
+        chunks.groupBy("path", "size_bytes")
         .agg(
             F.count("*").alias("n"),
+            F.count_distinct("chunk_no").alias("distinct"),
             F.min("chunk_no").alias("low"),
             F.max("chunk_no").alias("high"),
             F.sum("length").alias("covered"),
             F.max(F.col("offset") + F.col("length")).alias("end"),
+            *more,
         )
-        .where("low <> 0 or high <> n - 1 or covered <> size_bytes or end <> size_bytes")
+        .withColumn("whole", whole)
     )
+
+
+def check_coverage(chunks: DataFrame) -> DataFrame:
+    """Files whose chunks leave a gap, overlap, repeat or miss the end; none when whole.
+
+    Combined before the shuffle: lengths add up to the size, the last chunk ends
+    at it, and the numbers are distinct and start at zero.
+    """
+    return _covered(chunks).where("not whole").drop("distinct", "whole")
+
+
+def verify_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per file with chunks: their number and bytes, whether they are whole, and the same as the file.
+
+    ``chunks`` hold what was stored, ``files`` the bodies (``path``, ``content``). The
+    hash of every chunk is set against that of its range, so no file is put together in a task.
+    """
+    own = files.select("path", F.col("content").alias("_original"))
+    measured = chunks.withColumn("length", F.octet_length("content").cast("bigint")).join(own, "path")
+    equal = F.sha2("content", 256) == F.sha2(_range_of("_original"), 256)
+    checked = measured.select("path", "size_bytes", "chunk_no", "offset", "length", equal.alias("_equal"))
+    found = _covered(checked, F.every("_equal").alias("same"))
+    return found.select("path", "n", F.col("covered").alias("bytes"), "whole", "same")

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lograft.constants import DEFAULT_BRANCH
+from lograft.constants import BROKEN_LISTING, CHUNK_GRANULARITY, CHUNK_SIZE, DEFAULT_BRANCH, REPO
 from lograft.functions.urls import tree_url
+from lograft.operators.chunks import part_count
 from lograft.operators.folders import count_folders
 from lograft.operators.joins import left_join_present
-from lograft.operators.repositories import check_shared_repositories, uses_shared
+from lograft.operators.repositories import check_shared_repositories, resolve_name_collisions, uses_shared
 
 KEY = ["owner", "repository_name", "repository_path"]
 
 
 def dedup_uploads(
-    plan: DataFrame, archive_contents: DataFrame, repositories: DataFrame | None = None
+    plan: DataFrame,
+    archive_contents: DataFrame,
+    repositories: DataFrame | None = None,
+    chunk_size: int = CHUNK_SIZE,
+    granularity: int = CHUNK_GRANULARITY,
 ) -> DataFrame:
     """Mark shared-archive uploads whose folder exists or was asked for earlier.
 
@@ -25,11 +30,12 @@ def dedup_uploads(
     Rows that cannot be duplicates get a spread-out key that matches nothing.
 
     With ``repositories``, targets that fail their visibility check are marked
-    ``error`` and never count as duplicates. ``plan`` is read twice; hand in a
+    ``error`` and never count as duplicates; so are uploads to a folder whose
+    listing cannot be parsed. ``plan`` is read twice; hand in a
     written or checkpointed one where its join is costly.
     """
     shared = uses_shared()
-    staged = F.when(F.col("needs_split"), F.coalesce("num_chunks", F.lit(1))).otherwise(F.lit(1))
+    staged = part_count(F.col("size_bytes"), chunk_size, granularity)
     state = (
         plan.where(shared)
         .groupBy(*KEY)
@@ -40,6 +46,7 @@ def dedup_uploads(
                 F.col("file_count").alias("_listed"),
                 F.col("raw_url").alias("_listed_url"),
                 F.col("branch").alias("_listed_branch"),
+                F.col("malformed").alias("_broken"),
             ),
             KEY,
             "left",
@@ -59,7 +66,8 @@ def dedup_uploads(
         )
         state = state.join(checks, ["owner", "repository_name"], "left")
     joined = left_join_present(plan, state, KEY, shared, "request_id")
-    refused = F.coalesce(F.col("_action") == "error", F.lit(False))
+    broken = F.col("_first").isNotNull() & F.coalesce("_broken", F.lit(False))
+    refused = F.coalesce(F.col("_action") == "error", F.lit(False)) | broken
     active = F.col("_first").isNotNull() & ~refused
     in_archive = active & F.col("_listed").isNotNull()
     repeated = active & ~in_archive & (F.col("_first.request_id") != F.col("request_id"))
@@ -76,10 +84,10 @@ def dedup_uploads(
             "url": F.when(active, tree_url(*(F.col(c) for c in KEY[:2]), branch, F.col(KEY[2])))
             .when(refused, F.lit(None))
             .otherwise(F.col("url")),
-            "action": F.col("_action"),
-            "error": F.col("_error"),
+            "action": F.when(refused, "error").otherwise(F.col("_action")),
+            "error": F.coalesce("_error", F.when(broken, BROKEN_LISTING)),
         }
-    ).drop("_first", "_listed", "_listed_url", "_listed_branch", "_action", "_branch", "_error")
+    ).drop("_first", "_listed", "_listed_url", "_listed_branch", "_broken", "_action", "_branch", "_error")
 
 
 def uploads_to_write(deduplicated: DataFrame) -> DataFrame:
@@ -87,3 +95,19 @@ def uploads_to_write(deduplicated: DataFrame) -> DataFrame:
     return deduplicated.where(
         uses_shared() & ~F.col("deduplicated") & F.coalesce(F.col("action") != "error", F.lit(True))
     )
+
+
+def dedicated_to_write(plan: DataFrame, taken: DataFrame) -> DataFrame:
+    """Files that get a repository of their own, under its final name; failed claims are left out.
+
+    ``taken``: (owner, name) of repositories that exist. The rows have the
+    columns of a shared upload, without a ``repository_path``.
+    """
+    names = resolve_name_collisions(plan, taken).where("not failed").select("request_id", "final_name")
+    return plan.where(F.col("type") == REPO).join(names, "request_id").select(
+        "owner",
+        F.col("final_name").alias("repository_name"),
+        F.lit(None).cast("string").alias("repository_path"),
+        "path",
+        "size_bytes",
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lograft.constants import (
+    CHUNK_GRANULARITY,
+    CHUNK_SIZE,
     DEFAULT_BRANCH,
     GIST,
     GIST_FAILURE_HEAD,
@@ -27,10 +29,11 @@ from lograft.constants import (
     STATUS_DUPLICATE,
     UNKNOWN_ERROR,
 )
-from lograft.functions.naming import folder_name
+from lograft.functions.naming import folder_name, uploaded_name
 from lograft.functions.sizes import readable_size
 from lograft.functions.text import first_non_empty, has, has_any_case, is_true, js_trim
 from lograft.functions.urls import found_gist_url, found_repository_url, repository_url, tree_url
+from lograft.operators.chunks import part_count
 from lograft.operators.planning import target_repository
 
 LABELS = ("no_space", "name_conflict", "not_found", "missing_ref")
@@ -112,9 +115,17 @@ def no_space_error(operation: str) -> Column:
 
 
 def resolve_outcomes(
-    plan: DataFrame, attempts: DataFrame, gist_limit: int = SMALL_TIER_LIMIT
+    plan: DataFrame,
+    attempts: DataFrame,
+    gist_limit: int = SMALL_TIER_LIMIT,
+    chunk_size: int = CHUNK_SIZE,
+    granularity: int = CHUNK_GRANULARITY,
 ) -> DataFrame:
-    """What each planned request came to, fallback included.
+    """What each planned request came to, fallback included, as the full result record.
+
+    ``plan`` is what ``dedup_uploads`` returns: its URLs stand for duplicates, dry runs and
+    shared uploads, with the branch it has checked, and what it refused is an error. A column
+    ``final_name`` names dedicated repositories whose bare name was taken.
 
     The last attempt of each stage counts. Attempts are cut down to what the
     decision needs and combined per request before the shuffle, so both sides of
@@ -186,24 +197,44 @@ def resolve_outcomes(
     )
     owner, path, shared = F.col("owner"), F.col("path"), F.col("shared_repository")
     name = target_repository(path, F.col("is_public"), shared)
-    repo_url = F.when(
-        shared, tree_url(owner, name, F.lit(DEFAULT_BRANCH), folder_name(path))
-    ).otherwise(F.coalesce(repo["url"], repository_url(owner, name)))
-    done = is_true(gist_done) | is_true(repo_done)
+    if "final_name" in plan.columns:
+        name = F.when(shared, name).otherwise(F.coalesce("final_name", name))
+    refused = F.col("action") == "error" if "action" in plan.columns else F.lit(False)
+    refused = planned_repo & is_true(refused)
+    shared_url = F.when(F.col("type") == REPO, F.col("url")).otherwise(
+        tree_url(owner, name, F.lit(DEFAULT_BRANCH), folder_name(path))
+    )
+    repo_url = F.when(shared, shared_url).otherwise(F.coalesce(repo["url"], repository_url(owner, name)))
+    as_planned = dry | duplicate
+    by_gist = is_true(gist_done)
+    by_repo = is_true(repo_done) & ~refused
+    kind = F.when(as_planned, F.col("type")).when(by_gist, GIST).when(by_repo, REPO)
+    if "error" in plan.columns:
+        error = F.when(refused, F.col("error")).otherwise(error)
     return plan.join(stages, "request_id", "left").select(
         "request_id",
-        F.when(dry | duplicate, F.col("type"))
-        .when(is_true(gist_done), GIST)
-        .when(is_true(repo_done), REPO)
-        .alias("type"),
+        kind.alias("type"),
         F.when(dry, STATUS_DRY)
         .when(duplicate, STATUS_DUPLICATE)
-        .when(done, STATUS_CREATED)
+        .when(by_gist | by_repo, STATUS_CREATED)
         .when(error.isNotNull(), "error")
         .otherwise("pending")
         .alias("status"),
-        (is_true(fallback) & is_true(repo_done)).alias("fell_back"),
-        F.when(is_true(gist_done), gist["url"]).when(is_true(repo_done), repo_url).alias("url"),
-        operation.alias("error_operation"),
+        (is_true(fallback) & by_repo).alias("fell_back"),
+        F.when(as_planned, F.col("url")).when(by_gist, gist["url"]).when(by_repo, repo_url).alias("url"),
+        F.when(duplicate & ~dry, F.col("raw_url")).alias("raw_url"),
+        F.when(kind == GIST, uploaded_name(path)).alias("file_name"),
+        F.when(as_planned, F.col("file_count"))
+        .when(by_gist, F.lit(1))
+        .when(by_repo, part_count(F.col("size_bytes"), chunk_size, granularity))
+        .cast("bigint")
+        .alias("file_count"),
+        "is_public",
+        F.when(as_planned, F.col("repository_name")).when(by_repo, name).alias("repository_name"),
+        F.when(as_planned, F.col("repository_path"))
+        .when(by_repo & shared, folder_name(path))
+        .alias("repository_path"),
+        "deduplicated",
+        F.when(~refused, operation).alias("error_operation"),
         error.alias("error"),
     )

@@ -23,10 +23,13 @@ def count_folders(
 ) -> DataFrame:
     """File count and single-file URL per key, for folders that are present.
 
+    A listing that cannot be parsed is ``malformed`` and has no count.
+
     Count and max are combined before the shuffle, so a folder of any size sends
     one row per input partition.
     """
     counted = _counted(include_dotfiles)
+    broken = F.col("malformed") if "malformed" in archive_contents.columns else F.lit(False)
     others = [c for c in ("branch", "visibility") if c not in keys]
     rolled = (
         archive_contents.where("present")
@@ -34,8 +37,10 @@ def count_folders(
         .agg(
             F.count_if(counted).alias("file_count"),
             F.max(F.when(counted, F.col("download_url"))).alias("_url"),
+            F.max(F.coalesce(broken, F.lit(False))).alias("malformed"),
             *(F.max(c).alias(c) for c in others),
         )
+        .withColumn("file_count", F.when(~F.col("malformed"), F.col("file_count")))
     )
     single = F.when(F.col("file_count") == 1, F.nullif(F.col("_url"), F.lit("")))
     return rolled.withColumn("raw_url", single).drop("_url")

@@ -58,14 +58,6 @@ def path_of(doc: str) -> Column:
     )
 
 
-def line_of(text: Column, n: int) -> Column:
-    """The first or second line; only that much of the text is looked at."""
-    if n == 1:
-        return F.substring_index(text, "\n", 1)
-    second = F.substring_index(F.substring_index(text, "\n", 2), "\n", -1)
-    return F.when(F.contains(text, F.lit("\n")), second).otherwise("")
-
-
 def short_sha(number: Column) -> Column:
     return F.substring(F.md5(number.cast("string")), 1, 7)
 
@@ -137,14 +129,14 @@ def archive_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = F.lit('{"name":".keep","download_url":null}')
     return (
         table(spark, sf_dir, "documents")
-        .where(doc % 10 == 0)
         .select(
             F.lit("nation_0").alias("owner"),
             F.when(public, "public-logs").otherwise("private-logs").alias("repository_name"),
             F.when(doc % 50 == 0, "trunk").otherwise("main").alias("branch"),
             folder.alias("repository_path"),
             F.when(public, "public").otherwise("private").alias("visibility"),
-            F.when(doc % 70 == 10, F.lit(None))
+            F.when((doc % 10 != 0) | (doc % 70 == 10), F.lit(None))
+            .when(doc % 110 == 30, "{broken")
             .when(doc % 40 == 0, F.lit(" \n"))
             .when(doc % 30 == 0, F.concat(F.lit("["), entry, F.lit(","), hidden, F.lit("]")))
             .otherwise(F.concat(F.lit("["), entry, F.lit("]\n")))
@@ -234,7 +226,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     bump = _case(doc % 3, {0: "patch", 1: "minor"}, "major")
-    text = line_of(F.col("text"), 1)
+    text = F.col("text")
     head = F.concat(F.lit(f"---\n'{PACKAGE}': "), bump, F.lit("\n"))
     content = _case(
         doc % 13,
@@ -271,7 +263,7 @@ def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changelogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
-    one, two = line_of(F.col("text"), 1), line_of(F.col("text"), 2)
+    one = two = F.col("text")
     entry = F.concat(
         _cat("## 1.", doc, ".10\n\n### Minor Changes\n\n- "), one,
         _cat("\n\n## Unnumbered\n\n## 1.", doc, ".1\n\n### Patch Changes\n\n- "), two, F.lit("\n"),
@@ -294,7 +286,7 @@ def wanted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
-    text = line_of(F.col("text"), 1)
+    text = F.col("text")
     head = F.lit("### Patch Changes\n\n- ")
     with_sha = F.concat(head, short_sha(doc), F.lit(": "))
     body = _case(

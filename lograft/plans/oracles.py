@@ -103,11 +103,12 @@ TABLES = {
     "dirs": f"""SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'private-logs' ELSE 'public-logs' END AS repository_name,
         {folder(path_of('doc_id'))} AS folder,
         CASE WHEN doc_id % 50 = 0 THEN 'trunk' ELSE 'main' END AS branch,
-        doc_id % 70 <> 10 AS present,
-        CASE WHEN doc_id % 40 = 0 THEN 0 WHEN doc_id % 30 = 0 THEN 2 ELSE 1 END AS n,
+        doc_id % 10 = 0 AND doc_id % 70 <> 10 AS present,
+        doc_id % 10 = 0 AND doc_id % 70 <> 10 AND doc_id % 110 = 30 AS broken,
+        CASE WHEN doc_id % 110 = 30 OR doc_id % 40 = 0 THEN 0 WHEN doc_id % 30 = 0 THEN 2 ELSE 1 END AS n,
         'https://raw.example.org/' || {folder(path_of('doc_id'))}
             || CASE WHEN doc_id % 20 = 0 THEN '?token=abc' ELSE '' END AS download_url
-        FROM documents WHERE doc_id % 10 = 0""",
+        FROM documents""",
     "repos": """SELECT lower(n_name) AS owner,
         CASE WHEN n_nationkey % 2 = 0 THEN 'private-logs' ELSE 'public-logs' END AS name,
         CASE n_nationkey % 4 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'trunk' END AS default_branch,
@@ -124,7 +125,8 @@ TABLES = {
         FROM plan WHERE type = 'repo' AND shared_repository AND NOT dry_mode
         WINDOW w AS (PARTITION BY owner, repository_name, repository_path ORDER BY requested_at, request_id)""",
     "dedup": """SELECT p.*, t.turn, t.staged, d.n AS listed, d.branch AS listed_branch, d.download_url AS listed_url,
-        t.turn IS NOT NULL AND d.n IS NOT NULL AS in_archive,
+        t.turn IS NOT NULL AND d.n IS NOT NULL AND NOT d.broken AS in_archive,
+        t.turn IS NOT NULL AND coalesce(d.broken, false) AS broken,
         t.turn > 1 AND d.n IS NULL AS repeated
         FROM plan p LEFT JOIN turns t USING (request_id)
         LEFT JOIN dirs d ON d.present AND t.turn IS NOT NULL AND p.owner = 'nation_0'
@@ -150,7 +152,7 @@ TABLES = {
     "records": f"""SELECT doc_id, source AS batch, 'cs-' || doc_id || '.md' AS file,
         1700000000 + (doc_id * 7919) % 997 AS mtime, doc_id % 13 AS v,
         CASE doc_id % 3 WHEN 0 THEN 'patch' WHEN 1 THEN 'minor' ELSE 'major' END AS kind,
-        split_part(text, {NL}, 1) AS line FROM documents""",
+        text AS line FROM documents""",
     "raw_text": f"""SELECT *, CASE v WHEN 0 THEN NULL WHEN 3 THEN ''
         WHEN 4 THEN {trim(f"line || {NL} || '---' || {NL} || 'more'")}
         ELSE {trim('line')} END AS body FROM records""",
@@ -160,7 +162,7 @@ TABLES = {
              WHEN v = 2 THEN CASE WHEN position('---' IN line) > 0
                 THEN {trim("substr(line, position('---' IN line) + 3)")} ELSE '' END
              ELSE body END AS description FROM raw_text""",
-    "notes": f"""SELECT doc_id AS release_id, doc_id % 11 AS v, text, split_part(text, {NL}, 1) AS line,
+    "notes": """SELECT doc_id AS release_id, doc_id % 11 AS v, text, text AS line,
         left(md5(doc_id::VARCHAR), 7) AS sha, CASE WHEN doc_id % 5 <> 4 THEN left(md5((doc_id + 1)::VARCHAR), 7) END AS passed,
         '1.' || doc_id || '.0' AS version FROM documents""",
     "found": f"""SELECT *, CASE WHEN v IN (1, 2, 10) THEN NULL WHEN v = 3 THEN 'add' ELSE sha END AS commit,
@@ -179,11 +181,11 @@ TABLES = {
             SELECT left(md5((CASE WHEN o_orderkey % 4 = 0 THEN {HOT_DOC} ELSE o_orderkey % 5000 END)::VARCHAR), 7) AS sha,
                 o_orderkey AS number, (o_orderkey * 7) % 1009 * 1000000 + o_orderkey AS position
             FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY sha) pr ON pr.sha = coalesce(commit, passed)""",
-    "logs": f"""SELECT doc_id, split_part(text, {NL}, 1) AS one, split_part(text, {NL}, 2) AS two,
+    "logs": f"""SELECT doc_id, text AS one, text AS two,
         CASE doc_id % 8 WHEN 5 THEN 'title' WHEN 6 THEN 'bare' ELSE 'full' END AS shape,
-        '## 1.' || doc_id || '.10' || {NL} || {NL} || '### Minor Changes' || {NL} || {NL} || '- ' || split_part(text, {NL}, 1)
+        '## 1.' || doc_id || '.10' || {NL} || {NL} || '### Minor Changes' || {NL} || {NL} || '- ' || text
         || {NL} || {NL} || '## Unnumbered' || {NL} || {NL} || '## 1.' || doc_id || '.1' || {NL} || {NL}
-        || '### Patch Changes' || {NL} || {NL} || '- ' || split_part(text, {NL}, 2) || {NL} AS entry FROM documents""",
+        || '### Patch Changes' || {NL} || {NL} || '- ' || text || {NL} AS entry FROM documents""",
     "sections": f"""SELECT doc_id, 0 AS position, '1.' || doc_id || '.10' AS version,
         '### Minor Changes' || {NL} || {NL} || '- ' || one || {NL} || {NL} || '## Unnumbered' AS section
         FROM logs WHERE shape = 'full'
@@ -223,9 +225,35 @@ def archived(first_rows: str) -> str:
               JOIN ({CHUNKS.format('files')}) c ON c.path = u.path)"""
 
 
-STATE = f"""SELECT d.*, g.gist_url, r.repository_url, g.no_space AS g_full, r.no_space AS r_full,
+MERGED = """SELECT batch, count(*) AS n_files, count(bump) AS n_parsed,
+    count(*) FILTER (WHERE description <> '') AS n_descriptions,
+    coalesce(sum(strlen(description)), 0)::BIGINT AS body_bytes,
+    CASE WHEN count(*) < 2 THEN 'none' WHEN count(bump) = 0 THEN 'error' ELSE 'merged' END AS action,
+    CASE WHEN bool_or(bump = 'major') THEN 'major' WHEN bool_or(bump = 'minor') THEN 'minor' ELSE 'patch' END AS bump
+    FROM parsed GROUP BY batch"""
+
+
+def named(taken: str) -> str:
+    """Dedicated repositories and the names they end up with."""
+    return f"""SELECT *, collided AND (retry_taken OR rn > 1) AS failed FROM (
+        SELECT *, CASE WHEN collided THEN retry ELSE folder END AS final,
+            EXISTS (SELECT 1 FROM {taken} t WHERE t.owner = c.owner AND t.name = c.retry) AS retry_taken,
+            row_number() OVER (PARTITION BY owner, retry, collided ORDER BY requested_at, request_id) AS rn
+        FROM (SELECT *, folder || '-' || (epoch_us(requested_at) // 1000) AS retry,
+            EXISTS (SELECT 1 FROM {taken} t WHERE t.owner = p.owner AND t.name = p.folder)
+            OR row_number() OVER (PARTITION BY owner, folder ORDER BY requested_at, request_id) > 1 AS collided
+            FROM plan p WHERE type = 'repo' AND NOT shared_repository AND NOT dry_mode) c)"""
+
+
+def dedicated(taken: str) -> str:
+    return f"""SELECT owner, final, NULL, path, size_bytes FROM ({named(taken)}) WHERE NOT failed"""
+
+
+STATE = f"""SELECT d.*, t.default_branch, t.visibility, t.action, m.final,
+    CASE WHEN coalesce(t.default_branch, '') = '' THEN 'main' ELSE t.default_branch END AS checked_branch,
+    d.broken OR (turn IS NOT NULL AND t.action = 'error') AS refused, g.gist_url, r.repository_url, g.no_space AS g_full, r.no_space AS r_full,
     g.gist_url IS NOT NULL AS g_ok, r.v = 0 AS r_ok,
-    in_archive OR coalesce(repeated, false) AS dup,
+    (in_archive OR coalesce(repeated, false)) AND coalesce(t.action, '') <> 'error' AS dup,
     CASE g.v WHEN 2 THEN 'Error: No space left on device' WHEN 5 THEN 'Failed to create gist: gh: Not Found (HTTP 404)'
         WHEN 4 THEN 'Failed to create gist: GraphQL: Name already exists on this account (createRepository)'
         WHEN 6 THEN 'Failed to create gist: secondary rate limit'
@@ -233,8 +261,10 @@ STATE = f"""SELECT d.*, g.gist_url, r.repository_url, g.no_space AS g_full, r.no
         WHEN 8 THEN 'Failed to create gist: Unknown error' END AS g_error,
     CASE r.v WHEN 2 THEN 'Error: No space left on device' ELSE r.detail END AS r_error
     FROM dedup d JOIN tries g ON g.request_id = d.request_id AND g.stage = 'gist'
-    JOIN tries r ON r.request_id = d.request_id AND r.stage = 'repo'"""
-OUTCOME = f"""SELECT *, CASE WHEN dry_mode THEN 'dry' WHEN dup THEN 'dup'
+    JOIN tries r ON r.request_id = d.request_id AND r.stage = 'repo'
+    LEFT JOIN targets t ON turn IS NOT NULL AND t.owner = d.owner AND t.repository_name = d.repository_name
+    LEFT JOIN ({named('taken')}) m ON m.request_id = d.request_id"""
+OUTCOME = f"""SELECT *, CASE WHEN dry_mode THEN 'dry' WHEN dup THEN 'dup' WHEN refused THEN 'refused'
     WHEN type = 'gist' AND g_ok THEN 'gist' WHEN type = 'gist' AND g_full THEN 'gist full'
     WHEN type = 'gist' AND coalesce(only_gist, false) THEN 'gist failed'
     WHEN r_ok THEN CASE type WHEN 'gist' THEN 'fallback' ELSE 'repo' END
@@ -246,7 +276,7 @@ _QUERIES = {
     "o01_scan_log_files": "SELECT source, sum(strlen(text) + 1)::BIGINT AS total_bytes FROM documents GROUP BY source",
     "o01_missing_inputs": """SELECT n AS request_id, path, 'File does not exist: ' || path AS error
         FROM asked WHERE path <> '' AND path NOT IN (SELECT path FROM files)""",
-    "o02_folder_listing": """SELECT repository_name, folder AS repository_path, present, false AS malformed,
+    "o02_folder_listing": """SELECT repository_name, folder AS repository_path, present, broken AS malformed,
         CASE WHEN present AND n > 0 THEN folder || '.log.txt' END AS name,
         CASE WHEN present AND n > 0 THEN download_url END AS download_url FROM dirs
         UNION ALL SELECT repository_name, folder, present, false, '.keep', NULL FROM dirs WHERE present AND n = 2""",
@@ -292,9 +322,11 @@ _QUERIES = {
     "o08_dedup_uploads": f"""SELECT request_id, owner, repository_name, repository_path,
         in_archive OR coalesce(repeated, false) AS deduplicated,
         CASE WHEN in_archive THEN 'archive' WHEN repeated THEN 'batch' END AS duplicate_of,
-        (CASE WHEN in_archive THEN listed WHEN turn IS NOT NULL THEN staged ELSE 1 END)::BIGINT AS file_count,
+        (CASE WHEN in_archive THEN listed WHEN turn IS NOT NULL AND NOT broken THEN staged ELSE 1 END)::BIGINT AS file_count,
         CASE WHEN in_archive AND listed = 1 THEN listed_url END AS raw_url,
-        CASE WHEN turn IS NOT NULL THEN {TREE.format("coalesce(listed_branch, 'main')")}
+        CASE WHEN broken THEN 'error' END AS action,
+        CASE WHEN broken THEN 'The listing of this folder cannot be parsed' END AS error,
+        CASE WHEN broken THEN NULL WHEN turn IS NOT NULL THEN {TREE.format("coalesce(listed_branch, 'main')")}
              WHEN type = 'gist' THEN '[DRY MODE] Would create gist'
              WHEN shared_repository THEN '[DRY MODE] Would upload to ' || repository_name || '/' || repository_path
              ELSE '[DRY MODE] Would create repository' END AS url FROM dedup""",
@@ -305,29 +337,29 @@ _QUERIES = {
     "o10_bytechunks": f"""SELECT source, sum(strlen(text) + 1)::BIGINT AS total_bytes,
         sum(strlen(text) + 1)::BIGINT AS content_bytes,
         sum(len(string_split(text, {NL})))::BIGINT AS newlines FROM documents GROUP BY source""",
-    "o11_chunk_manifest": f"""SELECT path, size_bytes, false AS overflow, no AS chunk_no,
+    "o11_chunk_manifest": f"""SELECT path, size_bytes, no AS chunk_no,
         {CHUNK_OFFSET} AS "offset", {CHUNK_LENGTH} AS length, {CHUNK_NAME} AS chunk_name FROM ({CHUNKS.format('files')})""",
-    "o11_chunk_overflow": f"""SELECT path, size_bytes, NULL::BIGINT AS chunk_no FROM files
-        WHERE size_bytes > {3 * CHUNK_SIZE}""",
+    "o11_chunk_overflow": f"""SELECT path, size_bytes, parts AS n_parts, size_bytes AS total_bytes,
+        stem || repeat('0', digits) || '.log.txt' AS first_name,
+        stem || (parts - 1) || '.log.txt' AS last_name
+        FROM (SELECT *, greatest(2, length((parts - 1)::VARCHAR)) AS digits,
+            replace({uploaded('path')} || '<', '.log.txt<', '') || '.part-' AS stem
+            FROM (SELECT path, size_bytes, (size_bytes + 15) // 16 AS parts FROM files WHERE size_bytes > 1600))""",
     "o11_split_content": f"""SELECT path, {CHUNK_NAME} AS chunk_name, {CHUNK_OFFSET} AS "offset",
         {CHUNK_LENGTH} AS length, sha256({CHUNK_BODY}) AS sha FROM ({CHUNKS.format('files')})""",
-    "o11_check_coverage": "SELECT path, 0::BIGINT AS n, 0::BIGINT AS covered FROM files WHERE size_bytes < 0",
+    "o11_check_coverage": f"""SELECT path, CASE WHEN size_bytes > {CHUNK_SIZE} THEN (size_bytes + {CHUNK_SIZE - 1}) // {CHUNK_SIZE}
+        ELSE 1 END AS n, size_bytes AS bytes, true AS whole, true AS same FROM files""",
     "o12_write_archive": archived(
-        """SELECT p.owner, p.repository_name, p.repository_path, p.path, p.size_bytes FROM dedup p
-           JOIN targets USING (owner, repository_name) WHERE turn = 1 AND NOT in_archive AND action <> 'error'"""
+        f"""SELECT p.owner, p.repository_name, p.repository_path, p.path, p.size_bytes FROM dedup p
+            JOIN targets USING (owner, repository_name)
+            WHERE turn = 1 AND NOT in_archive AND NOT broken AND action <> 'error'
+            UNION ALL {dedicated('taken')}"""
     ),
     "o13_generate_log_corpus": f"SELECT source, line_no, {CORPUS_LINE} AS line FROM ({CORPUS})",
     "o13_corpus_summary": f"""SELECT source, count(*) AS n_lines, sum(strlen({CORPUS_LINE}) + 1)::BIGINT AS bytes
         FROM ({CORPUS}) GROUP BY source""",
-    "o14_resolve_name_collisions": f"""SELECT request_id, folder AS base_name, final AS final_name, collided,
-        collided AND (retry_taken OR rn > 1) AS failed FROM (
-        SELECT *, CASE WHEN collided THEN retry ELSE folder END AS final,
-            EXISTS (SELECT 1 FROM taken t WHERE t.owner = c.owner AND t.name = c.retry) AS retry_taken,
-            row_number() OVER (PARTITION BY owner, retry, collided ORDER BY requested_at, request_id) AS rn
-        FROM (SELECT *, folder || '-' || (epoch_us(requested_at) // 1000) AS retry,
-            EXISTS (SELECT 1 FROM taken t WHERE t.owner = p.owner AND t.name = p.folder)
-            OR row_number() OVER (PARTITION BY owner, folder ORDER BY requested_at, request_id) > 1 AS collided
-            FROM plan p WHERE type = 'repo' AND NOT shared_repository AND NOT dry_mode) c)""",
+    "o14_resolve_name_collisions": f"""SELECT request_id, folder AS base_name, final AS final_name, collided, failed
+        FROM ({named('taken')})""",
     "o15_link_commits_to_prs": "SELECT release_id, commit_sha, pr_number FROM links",
     "o16_strategy_summary": f"""SELECT type, is_public, level, n_files, total_bytes, n_split, n_chunks,
         {readable('total_bytes')} AS readable_total FROM (
@@ -335,11 +367,13 @@ _QUERIES = {
             sum(size_bytes)::BIGINT AS total_bytes, count(*) FILTER (WHERE needs_split) AS n_split,
             coalesce(sum(num_chunks), 0)::BIGINT AS n_chunks FROM plan GROUP BY ROLLUP (type, is_public))""",
     "o17_folder_rollup": """SELECT 'nation_0' AS owner, repository_name, branch, folder AS repository_path,
-        CASE repository_name WHEN 'public-logs' THEN 'public' ELSE 'private' END AS visibility, n::BIGINT AS file_count,
+        CASE repository_name WHEN 'public-logs' THEN 'public' ELSE 'private' END AS visibility,
+        broken AS malformed, CASE WHEN NOT broken THEN n::BIGINT END AS file_count,
         CASE WHEN n = 1 THEN download_url END AS raw_url,
         'https://github.com/nation_0/' || repository_name || '/tree/' || branch || '/' || folder AS url,
-        n = 1 AND repository_name = 'private-logs' AS token_expires FROM dirs WHERE present""",
-    "o17_folder_rollup_local": """SELECT repository_name, folder AS repository_path, least(n, 1)::BIGINT AS file_count,
+        n = 1 AND NOT broken AND repository_name = 'private-logs' AS token_expires FROM dirs WHERE present""",
+    "o17_folder_rollup_local": """SELECT repository_name, folder AS repository_path,
+        CASE WHEN NOT broken THEN least(n, 1)::BIGINT END AS file_count,
         CASE WHEN n > 0 THEN download_url END AS raw_url FROM dirs WHERE present""",
     "o17_gist_rollup": """SELECT doc_id AS gist_id,
         (CASE doc_id % 9 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END)::BIGINT AS file_count,
@@ -350,17 +384,14 @@ _QUERIES = {
     "o18_body_line_report": f"""SELECT doc_id, len(string_split(text, {NL}))::BIGINT AS lines FROM documents
         WHERE len(string_split(text, {NL})) > 40""",
     "o19_parse_changesets": "SELECT file, bump, description FROM parsed",
-    "o19_merge_changesets": f"""SELECT batch, n_files, n_parsed, n_descriptions, body_bytes, action, bump,
-        CASE WHEN action = 'merged' THEN '---' || {NL} || '''{PACKAGE}'': ' || bump || {NL} || '---' || {NL} || {NL}
-            || coalesce(body, '') || {NL} END AS merged
-        FROM (SELECT batch, count(*) AS n_files, count(bump) AS n_parsed,
-            count(*) FILTER (WHERE description <> '') AS n_descriptions,
-            coalesce(sum(strlen(description)), 0)::BIGINT AS body_bytes,
-            CASE WHEN count(*) < 2 THEN 'none' WHEN count(bump) = 0 THEN 'error' ELSE 'merged' END AS action,
-            CASE WHEN bool_or(bump = 'major') THEN 'major' WHEN bool_or(bump = 'minor') THEN 'minor' ELSE 'patch' END AS bump,
-            string_agg(description, {NL} || {NL} ORDER BY mtime, file) FILTER (WHERE description <> '') AS body
-            FROM parsed GROUP BY batch)""",
-    "o19_merged_entries": "SELECT batch, file, description FROM parsed WHERE description <> ''",
+    "o19_merge_changesets": MERGED,
+    "o19_merged_entries": f"""SELECT batch, 0::INTEGER AS piece, NULL::VARCHAR AS file,
+            '---' || {NL} || '''{PACKAGE}'': ' || bump || {NL} || '---' || {NL} || {NL} AS text
+        FROM ({MERGED}) WHERE action = 'merged'
+        UNION ALL SELECT batch, 2, NULL, {NL} FROM ({MERGED}) WHERE action = 'merged'
+        UNION ALL SELECT batch, 1, file,
+            CASE WHEN row_number() OVER (PARTITION BY batch ORDER BY mtime, file) > 1 THEN {NL} || {NL} ELSE '' END || description
+        FROM parsed JOIN (SELECT batch FROM ({MERGED}) WHERE action = 'merged') USING (batch) WHERE description <> ''""",
     "o20_changeset_gate": """SELECT p.doc_id AS pr_id, coalesce(n, 0)::BIGINT AS n_added,
         CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n > 1 THEN 'multiple' ELSE verdict END AS verdict,
         CASE WHEN n = 1 AND verdict = 'valid' THEN bump END AS bump
@@ -389,9 +420,27 @@ _QUERIES = {
              WHEN 'repo' THEN 'created' WHEN 'fallback' THEN 'created' ELSE 'error' END AS status,
         what = 'fallback' AS fell_back,
         CASE WHEN what = 'gist' THEN gist_url
-             WHEN what IN ('repo', 'fallback') AND shared_repository THEN 'https://github.com/' || owner || '/'
+             WHEN what = 'dup' OR (what = 'repo' AND shared_repository) THEN {TREE.format('checked_branch')}
+             WHEN what = 'dry' AND type = 'gist' THEN '[DRY MODE] Would create gist'
+             WHEN what = 'dry' AND shared_repository THEN '[DRY MODE] Would upload to ' || repository_name || '/' || repository_path
+             WHEN what = 'dry' THEN '[DRY MODE] Would create repository'
+             WHEN what = 'fallback' AND shared_repository THEN 'https://github.com/' || owner || '/'
                 || CASE WHEN is_public THEN 'public-logs' ELSE 'private-logs' END || '/tree/main/' || folder
              WHEN what IN ('repo', 'fallback') THEN repository_url END AS url,
+        CASE WHEN what = 'dup' AND in_archive AND listed = 1 THEN listed_url END AS raw_url,
+        CASE WHEN what = 'gist' OR (what = 'dry' AND type = 'gist') THEN uploaded END AS file_name,
+        (CASE WHEN what = 'dup' AND in_archive THEN listed WHEN what = 'dup' THEN staged WHEN what IN ('gist', 'dry') THEN 1
+             WHEN what IN ('repo', 'fallback')
+             THEN CASE WHEN size_bytes > {CHUNK_SIZE} THEN (size_bytes + {CHUNK_SIZE - 1}) // {CHUNK_SIZE} ELSE 1 END
+             END)::BIGINT AS file_count,
+        is_public,
+        CASE WHEN what IN ('dup', 'dry') THEN repository_name
+             WHEN what IN ('repo', 'fallback') AND shared_repository
+             THEN CASE WHEN is_public THEN 'public-logs' ELSE 'private-logs' END
+             WHEN what IN ('repo', 'fallback') THEN coalesce(final, folder) END AS repository_name,
+        CASE WHEN what IN ('dup', 'dry') THEN repository_path
+             WHEN what IN ('repo', 'fallback') AND shared_repository THEN folder END AS repository_path,
+        dup AS deduplicated,
         CASE what WHEN 'gist full' THEN 'gist upload' WHEN 'fallback full' THEN 'repository upload (requires temp disk space)'
              WHEN 'repo full' THEN 'repository upload' WHEN 'repo full small' THEN 'repository upload' END AS error_operation,
         CASE what WHEN 'gist full' THEN {no_space('gist upload')} WHEN 'gist failed' THEN g_error
@@ -399,6 +448,10 @@ _QUERIES = {
              WHEN 'repo full' THEN {no_space('repository upload')}
              WHEN 'repo full small' THEN {no_space('repository upload')} || {quoted(HINT_HEAD)} || {readable('size_bytes')}
                 || {quoted(HINT_TAIL)}
+             WHEN 'refused' THEN CASE WHEN visibility IS NOT NULL AND action = 'error'
+                THEN 'Shared repository ' || repository_name || ' exists with visibility ' || visibility
+                    || ', expected ' || CASE WHEN is_public THEN 'public' ELSE 'private' END
+                ELSE 'The listing of this folder cannot be parsed' END
              WHEN 'repo failed' THEN r_error END AS error FROM ({OUTCOME})""",
     "o24_extract_urls": """SELECT attempt_id, repository_url, gist_url, string_split(gist_url, '/')[-1] AS gist_id FROM tries""",
     "o24_url_targets": """SELECT stage AS kind, coalesce(repository_url, gist_url) AS url, count(*) AS uses FROM tries
@@ -431,8 +484,9 @@ _QUERIES = {
                 || '-blue.svg)](https://www.npmjs.com/package/{PACKAGE}/v/' || version || ')' END AS body
         FROM cut LEFT JOIN links USING (release_id)""",
     "o27_stream_archive": archived(
-        """SELECT p.owner, p.repository_name, p.repository_path, p.path, p.size_bytes FROM turns p
-           JOIN targets USING (owner, repository_name) WHERE turn = 1 AND action <> 'error'"""
+        f"""SELECT p.owner, p.repository_name, p.repository_path, p.path, p.size_bytes FROM turns p
+            JOIN targets USING (owner, repository_name) WHERE turn = 1 AND action <> 'error'
+            UNION ALL {dedicated('(SELECT * FROM taken WHERE false)')}"""
     ),
 }
 

@@ -47,6 +47,7 @@ PLAN_COLUMNS = (
     "deduplicated",
 )
 MAX_BODY_LINES = 40
+SMALL_CHUNK = 16
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ def plan_uploads(spark, sf_dir):
 
 
 def dedup_uploads(spark, sf_dir):
-    return dedup.dedup_uploads(_stored_plan(spark, sf_dir), _contents(spark, sf_dir)).select(
+    return dedup.dedup_uploads(_stored_plan(spark, sf_dir), _contents(spark, sf_dir), **CHUNKING).select(
         "request_id",
         "owner",
         "repository_name",
@@ -147,6 +148,8 @@ def dedup_uploads(spark, sf_dir):
         "file_count",
         "raw_url",
         "url",
+        "action",
+        "error",
     )
 
 
@@ -175,8 +178,14 @@ def chunk_manifest(spark, sf_dir):
 
 
 def chunk_overflow(spark, sf_dir):
-    small = chunks.chunk_manifest(b.log_files(spark, sf_dir).drop("content"), max_parts=3, **CHUNKING)
-    return small.where("overflow").select("path", "size_bytes", "chunk_no")
+    """Files of so many parts that their numbers have three digits and more."""
+    small = chunks.chunk_manifest(b.log_files(spark, sf_dir).drop("content"), SMALL_CHUNK, 1)
+    return small.where(F.col("size_bytes") > 100 * SMALL_CHUNK).groupBy("path", "size_bytes").agg(
+        F.count("*").alias("n_parts"),
+        F.sum("length").alias("total_bytes"),
+        F.min("chunk_name").alias("first_name"),
+        F.max("chunk_name").alias("last_name"),
+    )
 
 
 def split_content(spark, sf_dir):
@@ -186,10 +195,9 @@ def split_content(spark, sf_dir):
 
 
 def check_coverage(spark, sf_dir):
-    """Files whose cut bodies do not add up; there are none."""
-    cut = chunks.split_content(b.log_files(spark, sf_dir), **CHUNKING)
-    measured = cut.withColumn("length", F.octet_length("content").cast("bigint"))
-    return chunks.check_coverage(measured).select("path", "n", "covered")
+    """Every file's stored chunks against its own bytes."""
+    files = b.log_files(spark, sf_dir)
+    return chunks.verify_chunks(stored(chunks.split_content(files, **CHUNKING), "chunks"), files)
 
 
 def _archived(spark: SparkSession, root: str) -> DataFrame:
@@ -205,10 +213,12 @@ def _archived(spark: SparkSession, root: str) -> DataFrame:
 
 def archive_write(spark, sf_dir):
     files = b.log_files(spark, sf_dir)
+    plan = _stored_plan(spark, sf_dir)
     marked = dedup.dedup_uploads(
-        _stored_plan(spark, sf_dir), _contents(spark, sf_dir), b.shared_repositories(spark, sf_dir)
+        plan, _contents(spark, sf_dir), b.shared_repositories(spark, sf_dir), **CHUNKING
     )
-    uploads = dedup.uploads_to_write(marked).select(*dedup.KEY, "path", "size_bytes")
+    shared = dedup.uploads_to_write(marked).select(*dedup.KEY, "path", "size_bytes")
+    uploads = stored(shared.unionByName(dedup.dedicated_to_write(plan, b.taken_names(spark, sf_dir))), "uploads")
     bodies = uploads.join(files.select("path", "content"), "path")
     root = scratch_path(spark, "archive")
     write_archive(chunks.split_content(bodies, **CHUNKING), root)
@@ -274,7 +284,7 @@ def merge_changesets(spark, sf_dir):
 
 
 def merged_entries(spark, sf_dir):
-    return changesets.merged_entries(b.changesets(spark, sf_dir), b.PACKAGE).select("batch", "file", "description")
+    return changesets.merged_entries(b.changesets(spark, sf_dir), b.PACKAGE).select("batch", "piece", "file", "text")
 
 
 def changeset_gate(spark, sf_dir):
@@ -298,8 +308,12 @@ def failure_counts(spark, sf_dir):
 
 
 def resolve_outcomes(spark, sf_dir):
-    marked = dedup.dedup_uploads(_stored_plan(spark, sf_dir), _contents(spark, sf_dir))
-    return failures.resolve_outcomes(marked, b.attempts(spark, sf_dir), b.GIST_LIMIT)
+    plan = _stored_plan(spark, sf_dir)
+    names = repositories.resolve_name_collisions(plan, b.taken_names(spark, sf_dir))
+    marked = dedup.dedup_uploads(
+        plan, _contents(spark, sf_dir), b.shared_repositories(spark, sf_dir), **CHUNKING
+    ).join(names.select("request_id", "final_name"), "request_id", "left")
+    return failures.resolve_outcomes(marked, b.attempts(spark, sf_dir), b.GIST_LIMIT, **CHUNKING)
 
 
 def extract_urls(spark, sf_dir):

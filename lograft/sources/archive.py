@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,10 +13,11 @@ from lograft.sources.catalogue import plain_path
 
 CONTENT = "content"
 LISTING = "listing"
+DEDICATED = "dedicated"
 KEY = ["owner", "repository", "repository_path"]
 CHUNK_SCHEMA = (
     "owner string, repository_path string, chunk_name string, content binary, size_bytes bigint, "
-    "writer string, batch bigint, repository string"
+    "writer string, batch bigint, repository string, layout string"
 )
 LISTING_SCHEMA = (
     "owner string, repository string, repository_path string, chunk_name string, "
@@ -28,23 +30,27 @@ def _part(base_path: str, kind: str, writer: str, batch: int) -> str:
 
 
 def write_archive(
-    chunks: DataFrame, base_path: str, writer: str = "batch", batch: int = 0, by_folder: bool = False
+    chunks: DataFrame, base_path: str, writer: str = "batch", batch: int | None = None, by_folder: bool = False
 ) -> None:
     """Write chunk bodies, then list them.
 
     ``chunks`` holds only folders that are new. Each ``(writer, batch)`` owns a
-    directory of its own, which a retry of the same batch replaces as a whole, so
-    nothing that another batch wrote is ever touched. The listing is written last:
+    directory of its own. Without a ``batch`` the call gets a fresh one; a retry names the batch
+    it repeats, and replaces that as a whole. So nothing that another batch wrote is ever touched.
+    Writers do not see each other's unfinished batches: let one writer at a time add a folder. The listing is written last:
     a batch that died half-way is not listed, and is written afresh when retried.
     Task failures are covered by Spark's output commit.
 
-    Bodies are laid out by ``repository``. ``by_folder`` adds a directory per
+    Bodies are laid out by shared repository, those of dedicated ones (without a
+    ``repository_path``) side by side. ``by_folder`` adds a directory per
     ``repository_path`` below it; that suits folders of many megabytes, while for
     millions of small ones the directories would cost more than the data. Either
     way the listing names the file of each chunk, for ``read_folder``.
     """
     spark = chunks.sparkSession
+    batch = uuid.uuid4().int >> 66 if batch is None else batch
     body_path = _part(base_path, CONTENT, writer, batch)
+    layout = F.when(F.col("repository_path").isNull(), DEDICATED).otherwise(F.col("repository_name"))
     (
         chunks.select(
             "owner",
@@ -53,9 +59,10 @@ def write_archive(
             "chunk_name",
             "content",
             F.octet_length("content").cast("bigint").alias("size_bytes"),
+            layout.alias("layout"),
         )
         .write.mode("overwrite")
-        .partitionBy("repository", *(["repository_path"] if by_folder else []))
+        .partitionBy("layout", *(["repository_path"] if by_folder else []))
         .parquet(body_path)
     )
     written = (
@@ -82,7 +89,7 @@ def read_listing(spark: SparkSession, base_path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, base_path: str) -> DataFrame:
-    """Archived bodies. A filter on ``repository`` prunes directories.
+    """Archived bodies. A filter on ``layout`` (the shared repository, or ``dedicated``) prunes directories.
 
     Bodies whose batch is not in the listing (it died half-way) are left out.
     """
@@ -109,6 +116,7 @@ def archive_contents(listing: DataFrame) -> DataFrame:
         "repository_path",
         F.when(F.col("repository") == PUBLIC_REPOSITORY, "public").otherwise("private").alias("visibility"),
         F.lit(True).alias("present"),
+        F.lit(False).alias("malformed"),
         F.col("chunk_name").alias("name"),
         F.lit(None).cast("string").alias("download_url"),
     )

@@ -157,8 +157,7 @@ def with_range_content(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> Dat
     chunks of one file are read by many tasks.
     """
     schema = T.StructType([*manifest.schema.fields, T.StructField("content", T.BinaryType())])
-    chunks = manifest.where(F.col("chunk_no").isNotNull())
-    return spread(chunks, "length", task_bytes, "path", "chunk_no").mapInArrow(_fill, schema)
+    return spread(manifest, "length", task_bytes, "path", "chunk_no").mapInArrow(_fill, schema)
 
 
 for _module in (catalogue, sys.modules[__name__]):

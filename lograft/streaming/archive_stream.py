@@ -7,9 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, MAX_PARTS, SMALL_TIER_LIMIT
+from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, SMALL_TIER_LIMIT
 from lograft.operators.chunks import chunk_manifest, split_content
-from lograft.operators.dedup import KEY, dedup_uploads, uploads_to_write
+from lograft.operators.dedup import KEY, dedicated_to_write, dedup_uploads, uploads_to_write
 from lograft.operators.planning import plan_uploads
 from lograft.operators.repositories import uses_shared
 from lograft.session import stored
@@ -29,7 +29,6 @@ def archive_batch(
     gist_limit: int = SMALL_TIER_LIMIT,
     chunk_size: int = CHUNK_SIZE,
     granularity: int = CHUNK_GRANULARITY,
-    max_parts: int = MAX_PARTS,
 ) -> None:
     """Plan, deduplicate, cut and write one batch of requests.
 
@@ -40,14 +39,16 @@ def archive_batch(
     """
     spark = requests.sparkSession
     plan = stored(plan_uploads(requests, files, gist_limit, chunk_size), "plan")
-    earlier = archive_contents(
-        read_listing(spark, archive).where(~((F.col("writer") == writer) & (F.col("batch") == batch)))
-    )
+    listing = read_listing(spark, archive).where(~((F.col("writer") == writer) & (F.col("batch") == batch)))
+    earlier = archive_contents(listing.where(F.col("repository_path").isNotNull()))
+    taken = listing.where(F.col("repository_path").isNull()).select("owner", F.col("repository").alias("name"))
     # Only the folders asked for: the whole listing is scanned, but not shuffled for a small batch.
     asked = plan.where(uses_shared()).select(*KEY).distinct()
     known = earlier.join(asked, KEY, "left_semi")
-    uploads = uploads_to_write(dedup_uploads(plan, known, repositories)).select(*UPLOAD)
-    limits = (chunk_size, granularity, max_parts)
+    limits = (chunk_size, granularity)
+    shared = uploads_to_write(dedup_uploads(plan, known, repositories, *limits)).select(*UPLOAD)
+    # Small rows, stored so that the joins behind them run once.
+    uploads = stored(shared.unionByName(dedicated_to_write(plan, taken)), "uploads")
     if "content" in files.columns:
         bodies = uploads.join(files.select("path", "content"), "path")
         chunks = split_content(bodies, *limits)
@@ -86,10 +87,16 @@ def stream_archive(
 
 
 def dedup_within_watermark(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """For planned request streams without an archive: first per folder within ``delay``."""
-    return requests.withWatermark("requested_at", delay).dropDuplicatesWithinWatermark(
-        KEY
-    )
+    """For planned request streams without an archive: first per folder within ``delay``.
+
+    Rows without a folder (gists, dedicated repositories) and dry runs are all kept, and claim nothing.
+    """
+    claims = F.col("repository_path").isNotNull() & F.col("repository_name").isNotNull()
+    if "dry_mode" in requests.columns:
+        claims &= ~F.coalesce("dry_mode", F.lit(False))
+    own = requests.withColumn("_own", F.when(~claims, F.col("request_id")))
+    kept = own.withWatermark("requested_at", delay).dropDuplicatesWithinWatermark([*KEY, "_own"])
+    return kept.drop("_own")
 
 
 def stream_requests(spark: SparkSession, folder: str, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lograft.constants import CHUNK_SIZE
 from lograft.operators import dedup, folders, listings, repositories
 from lograft.sources import archive
 
@@ -22,7 +23,7 @@ CONTENTS = (
 def upload(i, path="log-a", at=0, owner="me", public=False, kind="repo", shared=True, dry=False, chunks=None):
     repository = "public-logs" if public else "private-logs"
     return (
-        i, owner, f"/{path.removeprefix('log-')}.log", T0 + dt.timedelta(milliseconds=at), 10, kind, bool(chunks), chunks, "planned", None,
+        i, owner, f"/{path.removeprefix('log-')}.log", T0 + dt.timedelta(milliseconds=at), (chunks or 0) * CHUNK_SIZE or 10, kind, bool(chunks), chunks, "planned", None,
         repository if kind == "repo" and shared else None, path if kind == "repo" and shared else None, 1, public, shared, dry,
     )
 
@@ -209,5 +210,34 @@ def test_half_written_batch_is_not_visible(spark, tmp_path):
     chunk = spark.createDataFrame([("me", "private-logs", "log-a", "a.log.txt", b"abc")], CHUNK)
     archive.write_archive(chunk, base, "w", 0)
     half = chunk.withColumnRenamed("repository_name", "repository").withColumn("size_bytes", F.lit(3).cast("bigint"))
-    half.write.partitionBy("repository").parquet(f"{base}/content/writer=w/batch=1")
+    half.withColumn("layout", F.col("repository")).write.partitionBy("layout").parquet(f"{base}/content/writer=w/batch=1")
     assert archive.read_archive(spark, base).count() == 1
+
+
+def test_calls_without_a_batch_add_to_the_archive(spark, rows, tmp_path):
+    base = str(tmp_path)
+    for name in ("log-a", "log-b"):
+        archive.write_archive(spark.createDataFrame([("me", "private-logs", name, "x.log.txt", b"x")], CHUNK), base)
+    assert rows(archive.read_listing(spark, base), "repository_path") == [("log-a",), ("log-b",)]
+
+
+def test_broken_listing_is_an_error(spark, plan):
+    listed = spark.createDataFrame([("me", "private-logs", "main", "log-a", "private", "{oops")], "owner string, repository_name string, branch string, repository_path string, visibility string, listing string")
+    have = listings.explode_listing(listed, "listing", "folder")
+    df = dedup.dedup_uploads(plan(upload(0), upload(1, at=1)), have)
+    assert [(r.deduplicated, r.action, r.error is not None) for r in df.collect()] == [(False, "error", True)] * 2
+    assert dedup.uploads_to_write(df).count() == 0
+    row = folders.folder_rollup(have).first()
+    assert row.malformed and row.file_count is None
+
+
+def test_part_counts_agree_with_the_manifest(spark, plan, contents):
+    uploads = plan(upload(0)).withColumn("size_bytes", F.lit(4 << 20).cast("bigint"))
+    row = dedup.dedup_uploads(uploads, contents(), chunk_size=3 << 19, granularity=1 << 20).first()
+    assert row.file_count == 2
+
+
+def test_dedicated_repositories_are_written(spark, plan, rows):
+    taken = spark.createDataFrame([("me", "log-a")], "owner string, name string")
+    df = dedup.dedicated_to_write(plan(upload(0, shared=False), upload(1, "log-b", shared=False), upload(2, "log-c")), taken)
+    assert rows(df, "repository_name", "repository_path") == [("log-a-1704067200000", None), ("log-b", None)]

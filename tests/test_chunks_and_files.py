@@ -26,12 +26,11 @@ def test_part_counts(spark, size, parts):
     assert df.first().chunk_name == ("a.log.txt" if parts == 1 else "a.part-00.log.txt")
 
 
-def test_more_parts_than_names(spark):
-    df = chunks.chunk_manifest(spark.createDataFrame([("a.log", 100 * CHUNK_SIZE + 1)], FILES))
-    row = df.first()
-    assert df.count() == 1 and row.overflow and row.chunk_no is None and row.length is None and row.chunk_name is None
-    wide = chunks.chunk_manifest(df.select("path", "size_bytes"), max_parts=1000)
-    assert wide.count() == 101 and wide.where("chunk_no = 100").first().chunk_name == "a.part-100.log.txt"
+def test_part_numbers_are_as_wide_as_needed(spark):
+    df = chunks.chunk_manifest(spark.createDataFrame([("a.log", 100 * CHUNK_SIZE + 1), ("b.log", 2 * CHUNK_SIZE)], FILES))
+    assert df.where("path = 'a.log'").count() == 101 and df.agg(F.sum("length")).first()[0] == 102 * CHUNK_SIZE + 1
+    names = {r.chunk_name for r in df.where("chunk_no in (1, 100)").collect()}
+    assert names == {"a.part-001.log.txt", "a.part-100.log.txt", "b.part-01.log.txt"}
 
 
 def test_chunks_are_rounded_up(spark, rows):
@@ -51,6 +50,12 @@ def test_cut_bodies_put_together_again(spark):
         again[row.path] = again.get(row.path, b"") + bytes(row.content)
     assert again == bodies
     assert chunks.check_coverage(cut.where("chunk_no <> 1")).count() == 4
+    twice = cut.where("path = '/b/21.log'").withColumn("chunk_no", F.when(F.col("chunk_no") == 1, 0).otherwise(F.col("chunk_no")))
+    assert chunks.check_coverage(twice).count() == 1
+    checked = chunks.verify_chunks(cut, df).collect()
+    assert len(checked) == len(bodies) and all(r.whole and r.same for r in checked)
+    bad = cut.withColumn("content", F.when(F.col("chunk_no") == 1, F.reverse("content").cast("binary")).otherwise(F.col("content")))
+    assert {r.path for r in chunks.verify_chunks(bad, df).where("not same").collect()} <= {"/b/11.log", "/b/20.log", "/b/21.log", "/b/57.log"}
 
 
 @pytest.fixture

@@ -97,6 +97,20 @@ REPO_BAD = {"stage": "repo", "exit_code": 1, "stderr": "denied"}
 SHARED = "https://github.com/me/private-logs/tree/main/log-f"
 
 
+def as_planned(spark, *row):
+    """A row of a plan after dedup."""
+    url = F.when(F.col("type") == "repo", SHARED).otherwise("planned")
+    return spark.createDataFrame([row], PLAN).withColumns(
+        {
+            "url": url,
+            "raw_url": F.lit(None).cast("string"),
+            "file_count": F.lit(1).cast("bigint"),
+            "repository_name": F.when(F.col("type") == "repo", "private-logs"),
+            "repository_path": F.when(F.col("type") == "repo", "log-f"),
+        }
+    )
+
+
 @pytest.mark.parametrize(
     "planned, tries, expected",
     [
@@ -113,14 +127,14 @@ SHARED = "https://github.com/me/private-logs/tree/main/log-f"
         ({"type": "repo"}, [REPO_BAD, REPO_OK], ("repo", "created", False, SHARED, None)),
         ({"type": "repo"}, [REPO_FULL], (None, "error", False, None, "repository upload")),
         ({"type": "repo"}, [REPO_BAD], (None, "error", False, None, None)),
-        ({"dry_mode": True}, [], ("gist", "would be created", False, None, None)),
-        ({"type": "repo", "deduplicated": True}, [], ("repo", "already exists", False, None, None)),
+        ({"dry_mode": True}, [], ("gist", "would be created", False, "planned", None)),
+        ({"type": "repo", "deduplicated": True}, [], ("repo", "already exists", False, SHARED, None)),
     ],
 )
 def test_outcomes(spark, attempts, planned, tries, expected):
     base = {"type": "gist", "only_gist": None, "dry_mode": False, "deduplicated": False, **planned}
-    plan = spark.createDataFrame(
-        [(0, "me", "/f.log", 10, base["type"], base["only_gist"], False, True, base["dry_mode"], base["deduplicated"])], PLAN
+    plan = as_planned(
+        spark, 0, "me", "/f.log", 10, base["type"], base["only_gist"], False, True, base["dry_mode"], base["deduplicated"]
     )
     row = failures.resolve_outcomes(plan, attempts(*tries)).first()
     assert (row.type, row.status, row.fell_back, row.url, row.error_operation) == expected
@@ -129,14 +143,26 @@ def test_outcomes(spark, attempts, planned, tries, expected):
 
 @pytest.mark.parametrize("size, hint", [(25 * MIB, True), (25 * MIB + 1, False)])
 def test_hint_only_where_the_small_tier_would_do(spark, attempts, size, hint):
-    plan = spark.createDataFrame([(0, "me", "/f.log", size, "repo", None, False, True, False, False)], PLAN)
+    plan = as_planned(spark, 0, "me", "/f.log", size, "repo", None, False, True, False, False)
     error = failures.resolve_outcomes(plan, attempts(REPO_FULL)).first().error
     assert error.startswith("No space left on device during repository upload. Suggestion: Free disk space and retry.")
     assert ("(25.00 MB) fits in a gist. Try --only-gist" in error) is hint
 
 
+def test_result_record(spark, attempts):
+    plan = as_planned(spark, 0, "me", "/f.log", 10, "repo", None, True, False, False, False).withColumn("final_name", F.lit("log-f-7"))
+    row = failures.resolve_outcomes(plan, attempts(REPO_OK)).first()
+    assert (row.repository_name, row.repository_path, row.url) == ("log-f-7", None, "https://github.com/me/log-f-7")
+    assert (row.file_count, row.file_name, row.is_public, row.deduplicated) == (1, None, True, False)
+    refused = as_planned(spark, 0, "me", "/f.log", 10, "repo", None, True, True, False, False).withColumns(
+        {"action": F.lit("error"), "error": F.lit("wrong visibility")}
+    )
+    row = failures.resolve_outcomes(refused, attempts(REPO_OK)).first()
+    assert (row.status, row.error, row.url) == ("error", "wrong visibility", None)
+
+
 def test_gist_error_texts(spark, attempts):
-    plan = spark.createDataFrame([(0, "me", "/f.log", 1, "gist", True, False, True, False, False)], PLAN)
+    plan = as_planned(spark, 0, "me", "/f.log", 1, "gist", True, False, True, False, False)
     assert failures.resolve_outcomes(plan, attempts(GIST_BAD)).first().error == "Failed to create gist: secondary rate limit"
     silent = {"stage": "gist", "stdout": "nothing"}
     assert failures.resolve_outcomes(plan, attempts(silent)).first().error == "Failed to create gist: Unknown error"

@@ -96,3 +96,22 @@ def test_dedup_without_an_archive(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r.path for r in spark.table("kept").collect()) == ["/a.log", "/b.log"]
+
+
+def test_dedup_keeps_what_has_no_folder(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    put(spark, inbox, "/a.log", "/b.log", "/c.log", "/c.log", first_id=10)  # a time of 0 would be late
+    folder = F.when(F.col("path") == "/c.log", "log-c")
+    stream = stream_requests(spark, inbox, SCHEMA).withColumns(
+        {"repository_name": F.lit("private-logs"), "repository_path": folder, "dry_mode": F.col("request_id") == 12}
+    )
+    query = (
+        dedup_within_watermark(stream)
+        .writeStream.format("memory")
+        .queryName("all_kept")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert sorted(r.request_id for r in spark.table("all_kept").collect()) == [10, 11, 12, 13]
