@@ -461,7 +461,8 @@ _QUERIES = {
         FROM logs l JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '9.' || doc_id ELSE '1.' || doc_id || '.1' END AS version
             FROM documents) w USING (doc_id) LEFT JOIN sections s ON s.doc_id = w.doc_id AND s.version = w.version""",
     "o25_release_notes_legacy": f"""SELECT l.doc_id, version, CASE WHEN shape = 'full' AND l.doc_id % 4 <> 3
-        THEN '0' || {NL} || {NL} || '### Minor Changes' || {NL} || {NL} || '- ' || one || {NL} || {NL} || '## Unnumbered'
+        THEN {trim("regexp_replace('0' || " + NL + " || " + NL + " || '### Minor Changes' || " + NL + " || " + NL
+                   + " || '- ' || one || " + NL + " || " + NL + " || '## Unnumbered', '(?s)## [0-9].*', '')")}
         ELSE 'Release ' || version END AS notes
         FROM logs l JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '9.' || doc_id ELSE '1.' || doc_id || '.1' END AS version
             FROM documents) w USING (doc_id)""",
