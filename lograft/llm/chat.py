@@ -77,7 +77,9 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 PIECES = "n_turns long, piece int, formatted string, loss_spans array<struct<start:int,length:int>>"
 
 
-def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+def format_conversations(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
     """One row per conversation (or per piece of a huge one): its text and the spans to learn from.
 
     Takes the conversation, turn, ``role`` and ``text`` columns; others are left
@@ -88,7 +90,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     ``loss_spans`` are byte ranges in ``formatted``: the texts of the assistant.
 
     Each task gets whole conversations, sorted, and streams through them. One of
-    more than 16 MB comes as several rows with rising ``piece``, in order, cut
+    more than ``piece_bytes`` comes as several rows with rising ``piece``, in order, cut
     between turns; so memory is bounded by that and the longest single text.
     """
     spark = turns.sparkSession
@@ -140,9 +142,9 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
             first = 0
             while first < len(ids):
                 end = first
-                while end < len(ids) and ids[end] == ids[first] and starts[end] - starts[first] < PIECE_BYTES:
+                while end < len(ids) and ids[end] == ids[first] and starts[end] - starts[first] < piece_bytes:
                     end += 1
-                if held and ids[first] != current or held_bytes >= PIECE_BYTES:
+                if held and ids[first] != current or held_bytes >= piece_bytes:
                     yield emit()
                 if ids[first] != current:
                     piece = 0
