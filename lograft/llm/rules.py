@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lograft.session import stored
 
-# Rows that costs and selectivities are estimated on; they only decide the order of the rules.
+# About so many rows are drawn to estimate costs and selectivities; they only decide the order of the rules.
 SAMPLE_ROWS = 2000
 
 
@@ -175,7 +175,9 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: i
     """
     docs = docs.drop("base_failed", "kept")
     measured = add_measures(docs).withColumn("base_failed", base_failed())
-    sample = add_measures(stored(docs.limit(sample_rows), "rules-docs"))
+    # A share of every partition; a limit would send its number of rows from each to one task.
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = add_measures(stored(docs.sample(share, seed=9), "rules-docs"))
     ordered = [e.rule for e in estimate(sample, rules or standard_rules())]
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered))
     return measured.withColumn("kept", verdict)
