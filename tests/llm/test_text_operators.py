@@ -54,6 +54,12 @@ def test_ids_of_odd_texts(ranks):
     assert [ids.tolist() for ids in packing.token_ids(column(ODD), BYTES, ranks)] == expected
 
 
+@pytest.mark.parametrize("text", [" " * 400_000, "\n" * 400_000, "a" + "\t " * 200_000 + "b", "^" * 400_000, "x" * 400_000])
+def test_ids_of_very_long_runs(text):
+    expected = Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+    assert [ids.tolist() for ids in packing.token_ids(column([text]), BYTES, RANKS)] == [expected]
+
+
 def tightest(sizes, window):
     """Best fit by looking at every open window."""
     left, placed = [], []
