@@ -15,8 +15,9 @@ from lograft.llm.common import byte_lengths, cut_slices
 
 # A batch for the tokenizer, in bytes of text.
 BATCH_BYTES = 4 << 20
-# Words whose counts a worker remembers; later ones are encoded each time.
+# Words whose counts a worker remembers; longer and later ones are encoded each time.
 MEMO_WORDS = 300_000
+MEMO_CHARS = 64
 
 
 @lru_cache(maxsize=4)
@@ -34,7 +35,7 @@ def _word_counts(words: list[str], path: str) -> np.ndarray:
     fresh = dict(zip(unknown, map(len, tokenizer.encode_batch_fast(unknown, add_special_tokens=False)), strict=True))
     counts = np.fromiter((memo[w] if w in memo else fresh[w] for w in words), np.int64, len(words))
     if len(memo) < MEMO_WORDS:
-        memo.update(fresh)
+        memo.update((w, n) for w, n in fresh.items() if len(w) <= MEMO_CHARS)
     return counts
 
 

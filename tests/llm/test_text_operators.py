@@ -35,6 +35,14 @@ def test_token_lengths_of_odd_texts():
     assert tokens.lengths(column(ODD), WORDS).tolist() == [len(e) for e in exact]
 
 
+def test_only_short_words_are_remembered():
+    text = "kurz " + "x" * 100_000 + " kurz"
+    exact = Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False)
+    for _ in range(2):
+        assert tokens.lengths(column([text]), WORDS).tolist() == [len(exact)]
+    assert max(map(len, tokens.word_tokenizer(WORDS)[1])) <= tokens.MEMO_CHARS
+
+
 def test_token_counts(spark, texts, odd_documents, no_documents):
     tokenizer = Tokenizer.from_file(WORDS)
     got = QUERIES["op4_token_counts"](spark, SF_DIR).collect()
