@@ -10,7 +10,7 @@ from lograft.constants import AUDIT_EXCLUDES, AUDIT_MAX_LINES, AUDIT_SUFFIXES
 from lograft.operators.catalogue import scan_log_files
 from lograft.operators.chunks import chunk_manifest
 from lograft.sources.bytechunks import with_range_content
-from lograft.sources.catalogue import plain_path, plain_root
+from lograft.sources.catalogue import plain_path, plain_root, qualified
 
 # What Spark's file sources skip: names that start with "." or "_", and copies in progress.
 _HIDDEN = r"(?:\A|/)[._]|\._COPYING_\z"
@@ -35,6 +35,7 @@ def count_lines(
     byte order mark, hence the two values that mean "ended with a newline".
     Files that the text reader takes for hidden are read as byte ranges instead.
     """
+    root = qualified(spark, root)
     catalogue = scan_log_files(spark, root, suffixes, exclude)
     hidden = F.col("relative_path").rlike(_HIDDEN)
     return _visible_lines(spark, root, suffixes, exclude, catalogue.where(~hidden)).unionByName(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lograft.functions.text import first_non_empty
-from lograft.sources.catalogue import FileCatalogue
+from lograft.sources.catalogue import FileCatalogue, qualified
 
 
 def scan_log_files(
@@ -28,7 +28,7 @@ def scan_log_files(
     reader = spark.read.format(FileCatalogue.name()).option("fanOut", tasks)
     if exclude:
         reader = reader.option("exclude", "\n".join(exclude))
-    files = reader.load(root)
+    files = reader.load(qualified(spark, root))
     if suffixes:
         files = files.where(reduce(lambda a, b: a | b, (F.col("name").endswith(s) for s in suffixes)))
     if not include_dotfiles:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, LEAST_PART_DIGITS
 from lograft.functions.naming import part_name, uploaded_name
 from lograft.functions.sizes import ceil_div
+from lograft.operators.catalogue import scan_log_files
+from lograft.sources.bytechunks import byte_ranges, with_range_content
 
 
 def part_bytes(chunk_size: int, granularity: int) -> int:
@@ -43,6 +47,23 @@ def chunk_manifest(
     )
 
 
+def scan_chunks(
+    spark: SparkSession,
+    root: str,
+    chunk_bytes: int = CHUNK_SIZE,
+    suffixes: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    content: bool = True,
+) -> DataFrame:
+    """All files below ``root`` in byte ranges: path, chunk_no, offset, length and, if asked for, content.
+
+    Tasks list the tree, and names are judged before a body is opened; a file of
+    any size is read by as many tasks as its ranges need.
+    """
+    ranges = byte_ranges(scan_log_files(spark, root, suffixes, exclude), chunk_bytes)
+    return with_range_content(ranges) if content else ranges
+
+
 def split_content(
     files: DataFrame, chunk_size: int = CHUNK_SIZE, granularity: int = CHUNK_GRANULARITY
 ) -> DataFrame:

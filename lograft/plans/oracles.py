@@ -273,7 +273,8 @@ OUTCOME = f"""SELECT *, CASE WHEN dry_mode THEN 'dry' WHEN dup THEN 'dup' WHEN r
     ELSE 'repo failed' END AS what FROM ({STATE})"""
 
 _QUERIES = {
-    "o01_scan_log_files": "SELECT source, sum(strlen(text) + 1)::BIGINT AS total_bytes FROM documents GROUP BY source",
+    "o01_scan_log_files": """SELECT doc_id // 100 AS part, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS size_bytes
+        FROM documents GROUP BY part""",
     "o01_missing_inputs": """SELECT n AS request_id, path, 'File does not exist: ' || path AS error
         FROM asked WHERE path <> '' AND path NOT IN (SELECT path FROM files)""",
     "o02_folder_listing": """SELECT repository_name, folder AS repository_path, present, broken AS malformed,
@@ -334,9 +335,12 @@ _QUERIES = {
         CASE WHEN action <> 'error' THEN CASE WHEN coalesce(default_branch, '') = '' THEN 'main' ELSE default_branch END END AS branch,
         CASE WHEN action = 'error' THEN 'Shared repository ' || repository_name || ' exists with visibility ' || visibility
             || ', expected ' || CASE WHEN is_public THEN 'public' ELSE 'private' END END AS error FROM targets""",
-    "o10_bytechunks": f"""SELECT source, sum(strlen(text) + 1)::BIGINT AS total_bytes,
-        sum(strlen(text) + 1)::BIGINT AS content_bytes,
-        sum(len(string_split(text, {NL})))::BIGINT AS newlines FROM documents GROUP BY source""",
+    "o10_bytechunks": f"""SELECT part, chunk_no, chunk_no * 65536 AS "offset", least(65536, size - chunk_no * 65536) AS length,
+        sha256(substr(digits, chunk_no * 131072 + 1, 131072)) AS sha
+        FROM (SELECT *, unnest(range((size + 65535) // 65536)) AS chunk_no
+            FROM (SELECT part, hex(encode(body)) AS digits, strlen(body) AS size
+                FROM (SELECT doc_id // 100 AS part, string_agg(coalesce(text, '') || {NL}, '' ORDER BY doc_id) AS body
+                    FROM documents GROUP BY part)))""",
     "o11_chunk_manifest": f"""SELECT path, size_bytes, no AS chunk_no,
         {CHUNK_OFFSET} AS "offset", {CHUNK_LENGTH} AS length, {CHUNK_NAME} AS chunk_name FROM ({CHUNKS.format('files')})""",
     "o11_chunk_overflow": f"""SELECT path, size_bytes, parts AS n_parts, size_bytes AS total_bytes,
@@ -379,8 +383,10 @@ _QUERIES = {
         (CASE doc_id % 9 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END)::BIGINT AS file_count,
         CASE WHEN doc_id % 9 NOT IN (1, 2, 3, 4) THEN 'https://gist.example.org/' || doc_id || '/raw' END AS raw_url
         FROM documents""",
-    "o18_line_limit_report": f"""SELECT source, sum(len(string_split(text, {NL})))::BIGINT AS newlines,
-        sum(strlen(text) + 1)::BIGINT AS total_bytes FROM documents GROUP BY source""",
+    "o18_line_limit_report": f"""SELECT * FROM (SELECT doc_id // 100 AS part,
+        sum(coalesce(strlen(text), 0) + 1)::BIGINT AS size_bytes,
+        (sum(len(string_split(coalesce(text, ''), {NL}))) + 1)::BIGINT AS lines
+        FROM documents GROUP BY part) WHERE lines > 900""",
     "o18_body_line_report": f"""SELECT doc_id, len(string_split(text, {NL}))::BIGINT AS lines FROM documents
         WHERE len(string_split(text, {NL})) > 40""",
     "o19_parse_changesets": "SELECT file, bump, description FROM parsed",

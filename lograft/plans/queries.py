@@ -28,7 +28,6 @@ from lograft.operators import (
 from lograft.plans import bindings as b
 from lograft.session import scratch_path, stored
 from lograft.sources.archive import read_archive, write_archive
-from lograft.sources.bytechunks import ByteChunks
 from lograft.streaming.archive_stream import stream_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +46,9 @@ PLAN_COLUMNS = (
     "deduplicated",
 )
 MAX_BODY_LINES = 40
+DOCS_PER_FILE = 100
+MAX_FILE_LINES = 900
+RANGE_BYTES = 1 << 16
 SMALL_CHUNK = 16
 
 
@@ -63,20 +65,30 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.explode_listing(b.archive_listings(spark, sf_dir), "listing", "folder")
 
 
+_TEXT_FILES: dict[tuple[str, str], str] = {}
+
+
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as text files, one folder per source, in the shared scratch folder."""
-    root = scratch_path(spark, "text")
-    b.table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(root)
-    return root
+    """The documents as text files of 100 each, in order, in the shared scratch folder; once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TEXT_FILES:
+        root = scratch_path(spark, "text")
+        docs = b.table(spark, sf_dir, "documents").select(
+            "doc_id", F.expr(f"doc_id div {DOCS_PER_FILE}").alias("part"), "text"
+        )
+        dealt = docs.repartition("part").sortWithinPartitions("part", "doc_id")
+        dealt.select("part", "text").write.partitionBy("part").text(root)
+        _TEXT_FILES[key] = root
+    return _TEXT_FILES[key]
 
 
-def _source() -> Column:
-    return F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source")
+def _part() -> Column:
+    return F.regexp_extract("path", r"/part=(\d+)/", 1).cast("bigint").alias("part")
 
 
 def scan_log_files(spark, sf_dir):
     files = catalogue.scan_log_files(spark, _text_files(spark, sf_dir), (".txt",), include_dotfiles=False)
-    return files.groupBy(_source()).agg(F.sum("size_bytes").alias("total_bytes"))
+    return files.select(_part(), "size_bytes")
 
 
 def missing_inputs(spark, sf_dir):
@@ -158,19 +170,9 @@ def check_shared_repositories(spark, sf_dir):
 
 
 def bytechunks(spark, sf_dir):
-    spark.dataSource.register(ByteChunks)
-    read = spark.read.format("bytechunks").option("chunkBytes", 1 << 16).load(_text_files(spark, sf_dir))
-    text = F.col("content").cast("string")
-    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-    return (
-        read.where(F.col("path").endswith(".txt"))
-        .groupBy(_source())
-        .agg(
-            F.sum("length").alias("total_bytes"),
-            F.sum(F.octet_length("content")).alias("content_bytes"),
-            F.sum(newlines).alias("newlines"),
-        )
-    )
+    """Every byte range of every file; the hash is one of the hexadecimal digits, as SQL can cut those."""
+    ranges = chunks.scan_chunks(spark, _text_files(spark, sf_dir), RANGE_BYTES, (".txt",))
+    return ranges.select(_part(), "chunk_no", "offset", "length", F.sha2(F.hex("content"), 256).alias("sha"))
 
 
 def chunk_manifest(spark, sf_dir):
@@ -263,11 +265,9 @@ def gist_rollup(spark, sf_dir):
 
 
 def line_limit_report(spark, sf_dir):
-    lines = audit.count_lines(spark, _text_files(spark, sf_dir), (".txt",), exclude=("_temporary",))
-    visible = lines.where(~F.col("relative_path").rlike(r"(?:\A|/)\."))
-    return visible.groupBy(_source()).agg(
-        F.sum(F.col("lines") - 1).alias("newlines"), F.sum("size_bytes").alias("total_bytes")
-    )
+    root = _text_files(spark, sf_dir)
+    report = audit.line_limit_report(spark, root, MAX_FILE_LINES, (".txt",), exclude=("_temporary",))
+    return report.select(_part(), "size_bytes", "lines")
 
 
 def body_line_report(spark, sf_dir):

@@ -118,7 +118,8 @@ class ChunkReader(DataSourceReader):
 class ByteChunks(DataSource):
     """``spark.read.format("bytechunks").option("chunkBytes", n).load(path)``.
 
-    Options: ``chunkBytes`` (default 100 MiB); ``taskBytes``, how much one task
+    For a file or a folder whose listing is small, as the sizes of all files are planned
+    with; ``scan_chunks`` lists in tasks and suits trees of any size. Options: ``chunkBytes`` (default 100 MiB); ``taskBytes``, how much one task
     reads when files are small (default 128 MiB).
     """
 
@@ -139,14 +140,22 @@ class ByteChunks(DataSource):
 
 def _fill(batches):
     for batch in batches:
-        columns = batch.schema.names
-        at = {name: columns.index(name) for name in ("path", "offset", "length")}
-        for row in range(batch.num_rows):
-            one = batch.slice(row, 1)
-            body = read_range(*(one.column(at[n])[0].as_py() for n in ("path", "offset", "length")))
-            yield pa.RecordBatch.from_arrays(
-                [*one.columns, pa.array([body], type=pa.binary())], names=[*columns, "content"]
-            )
+        ranges = zip(*(batch.column(n).to_pylist() for n in ("path", "offset", "length")), strict=True)
+        first, bodies, held = 0, [], 0
+        for path, offset, length in ranges:
+            if bodies and held + length > BATCH_BYTES:
+                yield _filled(batch.slice(first, len(bodies)), bodies)
+                first, bodies, held = first + len(bodies), [], 0
+            bodies.append(read_range(path, offset, length))
+            held += length
+        if bodies:
+            yield _filled(batch.slice(first, len(bodies)), bodies)
+
+
+def _filled(rows: pa.RecordBatch, bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [*rows.columns, pa.array(bodies, type=pa.binary())], names=[*rows.schema.names, "content"]
+    )
 
 
 def with_range_content(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -160,6 +169,19 @@ def with_range_content(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> Dat
     return spread(manifest, "length", task_bytes, "path", "chunk_no").mapInArrow(_fill, schema)
 
 
+def byte_ranges(files: DataFrame, chunk_bytes: int = CHUNK_SIZE) -> DataFrame:
+    """The ranges that a catalogue's files are read in: path, chunk_no, offset, length; no body is opened.
+
+    An empty file has one empty range. Filter the catalogue or the ranges first and read
+    (``with_range_content``) what is left.
+    """
+    last = F.greatest(F.lit(0), F.ceil(F.col("size_bytes") / chunk_bytes) - 1).cast("bigint")
+    ranges = files.select("path", "size_bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_no"))
+    offset = F.col("chunk_no") * chunk_bytes
+    length = F.least(F.lit(chunk_bytes), F.col("size_bytes") - offset)
+    return ranges.select("path", "chunk_no", offset.alias("offset"), length.cast("bigint").alias("length"))
+
+
 for _module in (catalogue, sys.modules[__name__]):
     try:
         cloudpickle.register_pickle_by_value(_module)

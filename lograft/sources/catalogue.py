@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, relative_path string, name string, size_bytes bigint, modified_at timestamp"
@@ -39,16 +39,33 @@ def plain_root(location: str) -> str:
     return prefix + path
 
 
+# Clients of a worker, one per scheme and host.
+_CLIENTS: dict = {}
+
+
 def open_filesystem(location: str) -> tuple[pafs.FileSystem, str, str]:
     """File system, path inside it, and the prefix that turns such paths back into locations."""
-    if "://" not in location and not location.startswith("file:"):
-        return pafs.LocalFileSystem(), location.rstrip("/") or "/", ""
-    filesystem, path = pafs.FileSystem.from_uri(location)
-    path = path.rstrip("/")
     if location.startswith("file:"):
-        return filesystem, path, ""
-    bare = location.rstrip("/")
-    return filesystem, path, bare[: len(bare) - len(path)]
+        filesystem, path = pafs.FileSystem.from_uri(location)
+        return filesystem, path.rstrip("/") or "/", ""
+    scheme, found, rest = location.partition("://")
+    if not found:
+        return pafs.LocalFileSystem(), location.rstrip("/") or "/", ""
+    host, _, path = rest.partition("/")
+    if (scheme, host) not in _CLIENTS:
+        _CLIENTS[scheme, host] = pafs.FileSystem.from_uri(f"{scheme}://{host}/")
+    filesystem, base = _CLIENTS[scheme, host]
+    base = base.rstrip("/")
+    prefix = f"{scheme}://{host}"
+    return filesystem, f"{base}/{path}".rstrip("/") or "/", prefix[: len(prefix) - len(base)]
+
+
+def qualified(spark: SparkSession, location: str) -> str:
+    """A location without a scheme lies on the cluster's default file system, as for Spark's own sources."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if ":/" in location or default.startswith("file:"):
+        return location
+    return default.rstrip("/") + "/" + location.lstrip("/")
 
 
 def _excluded(relative: str, fragments: tuple[str, ...]) -> bool:
@@ -57,10 +74,11 @@ def _excluded(relative: str, fragments: tuple[str, ...]) -> bool:
 
 @dataclass
 class Subtree(InputPartition):
-    """A directory to list with all below it, or a few files found while planning."""
+    """A directory to list, with all below it or (``deep`` false) for its own files; or a root that is a file."""
 
     directory: str | None
-    files: tuple = ()
+    deep: bool = True
+    file: tuple | None = None
 
     def __post_init__(self):
         super().__init__(self.directory)
@@ -77,32 +95,30 @@ class CatalogueReader(DataSourceReader):
     def partitions(self):
         """Open directories level by level until there are enough to deal out.
 
-        Only the top of the tree is listed here, never a directory past the
-        ``fanOut``-th; the rest is listed by the tasks.
+        Only the top of the tree is opened here, never a directory past the
+        ``fanOut``-th, and only names of directories go into the plan: files are
+        listed by the tasks, those of an opened directory by a task of its own.
         """
         filesystem, path, _ = open_filesystem(self.root)
         info = filesystem.get_file_info(path)
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.root)
         if info.type == pafs.FileType.File:
-            return [Subtree(None, (self._row(info),))]
+            return [Subtree(None, file=self._row(info))]
         parts, frontier = [], [path]
         while frontier and len(parts) + len(frontier) < self.fan_out:
             directory = frontier.pop(0)
-            found, below = [], []
+            has_files = False
             for entry in filesystem.get_file_info(pafs.FileSelector(directory)):
-                if _excluded(self._relative(entry.path), self.exclude):
-                    continue
-                if entry.type == pafs.FileType.Directory:
-                    below.append(entry.path)
-                elif entry.type == pafs.FileType.File:
-                    found.append(self._row(entry))
-            frontier += below
-            parts += [Subtree(None, tuple(found[i : i + BATCH_ROWS])) for i in range(0, len(found), BATCH_ROWS)]
+                if entry.type == pafs.FileType.Directory and not _excluded(self._relative(entry.path), self.exclude):
+                    frontier.append(entry.path)
+                has_files |= entry.type == pafs.FileType.File
+            if has_files:
+                parts.append(Subtree(directory, deep=False))
         return parts + [Subtree(d) for d in frontier] or [Subtree(None)]
 
     def read(self, partition: Subtree):
-        rows = list(partition.files)
+        rows = [partition.file] if partition.file else []
         if partition.directory is not None:
             filesystem, _, _ = open_filesystem(self.root)
             pending = [partition.directory]
@@ -110,7 +126,7 @@ class CatalogueReader(DataSourceReader):
                 for entry in filesystem.get_file_info(pafs.FileSelector(pending.pop())):
                     if _excluded(self._relative(entry.path), self.exclude):
                         continue
-                    if entry.type == pafs.FileType.Directory:
+                    if entry.type == pafs.FileType.Directory and partition.deep:
                         pending.append(entry.path)
                     elif entry.type == pafs.FileType.File:
                         rows.append(self._row(entry))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lograft.constants import CHUNK_SIZE, CONSTANT_LINE, MIB, NUMBERED_LINE
 from lograft.operators import audit, catalogue, chunks, corpus
 from lograft.sources.bytechunks import ByteChunks, with_range_content
+from lograft.sources.catalogue import CatalogueReader, qualified
 
 FILES = "path string, size_bytes bigint"
 
@@ -97,6 +98,35 @@ def test_catalogue(spark, rows, tree):
     assert deep.count() == len(made)
 
 
+def test_no_file_goes_through_the_plan(tree):
+    """Whatever the fan-out, the plan names directories alone; a flat folder is one that a task lists."""
+    root, made = tree
+    for fan_out in (1, 3, 100):
+        reader = CatalogueReader(root, (), fan_out)
+        parts = reader.partitions()
+        assert all(p.file is None and os.path.isdir(p.directory) for p in parts)
+        found = [name for p in parts for batch in reader.read(p) for name in batch.column("relative_path").to_pylist()]
+        assert sorted(found) == sorted(made)
+    assert CatalogueReader(f"{root}/a.js", (), 9).partitions()[0].file[1:4] == (f"{root}/a.js", "a.js", 6)
+
+
+def test_locations_without_scheme(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)) == str(tmp_path) and qualified(spark, "s3://b/x") == "s3://b/x"
+
+
+def test_scanned_chunks(spark, tree):
+    root, made = tree
+    got = chunks.scan_chunks(spark, root, 4, (".js", ".mjs"), ("node_modules",)).collect()
+    wanted = {f"{root}/{n}": b for n, b in made.items() if n.endswith((".js", ".mjs")) and "node_modules" not in n}
+    again = dict.fromkeys(wanted, b"")
+    for row in sorted(got, key=lambda r: (r.path, r.chunk_no)):
+        assert row.offset == row.chunk_no * 4 and row.length == len(row.content)
+        again[row.path] += bytes(row.content)
+    assert again == wanted and {r.path for r in got} == set(wanted)
+    plain = chunks.scan_chunks(spark, root, 4, content=False)
+    assert "content" not in plain.columns and "MapInArrow" not in plain._jdf.queryExecution().toString()
+
+
 def test_line_counts(spark, tree):
     root, made = tree
     got = {r.relative_path: r.lines for r in audit.count_lines(spark, root).collect()}
