@@ -34,14 +34,15 @@ def with_changes(releases: DataFrame) -> DataFrame:
     )
 
 
-def link_commits_to_prs(releases: DataFrame, commit_pulls: DataFrame) -> DataFrame:
-    """The first listed pull request of each release commit that is no version bump.
+def with_pull_requests(releases: DataFrame, commit_pulls: DataFrame) -> DataFrame:
+    """Add the change section, and the pull request of the commit, to every release.
 
-    The commit named in the notes goes before the one passed along. The choice
-    per commit is a ``min_by`` combined before the shuffle.
+    That is the first listed one that is no version bump. The commit named in the
+    notes goes before the one passed along, and replaces it. The choice per commit
+    is a ``min_by`` combined before the shuffle.
     """
-    commits = with_changes(releases).select(
-        "release_id", first_non_empty(F.col("found_commit"), F.col("commit_sha")).alias("commit_sha")
+    commits = with_changes(releases).withColumn(
+        "commit_sha", first_non_empty(F.col("found_commit"), F.col("commit_sha"))
     )
     chosen = (
         commit_pulls.where(~F.col("title").contains(VERSION_BUMP_TITLE))
@@ -49,7 +50,12 @@ def link_commits_to_prs(releases: DataFrame, commit_pulls: DataFrame) -> DataFra
         .agg(F.min_by("number", "position").alias("pr_number"))
     )
     known = F.col("commit_sha").isNotNull()
-    return left_join_present(commits, chosen, ["commit_sha"], known, "release_id").select("release_id", "commit_sha", "pr_number")
+    return left_join_present(commits, chosen, ["commit_sha"], known, "release_id")
+
+
+def link_commits_to_prs(releases: DataFrame, commit_pulls: DataFrame) -> DataFrame:
+    """Commit and pull request of each release (``with_pull_requests``), without its text."""
+    return with_pull_requests(releases, commit_pulls).select("release_id", "commit_sha", "pr_number")
 
 
 def cleaned_description(raw: Column) -> Column:
@@ -61,9 +67,17 @@ def cleaned_description(raw: Column) -> Column:
 
 
 def clean_release_notes(releases: DataFrame, pr_links: DataFrame, package: str) -> DataFrame:
+    """``clean_linked`` for links that are a table of their own: one more parse and join."""
+    return clean_linked(
+        with_changes(releases).join(pr_links.select("release_id", "pr_number"), "release_id", "left"), package
+    )
+
+
+def clean_linked(releases: DataFrame, package: str) -> DataFrame:
     """New bodies; releases that are badged already or have no changes keep theirs.
 
-    ``status`` says which: ``formatted``, ``already_formatted`` or ``no_changes``.
+    ``releases`` come from ``with_pull_requests``, parsed and linked. ``status`` says
+    which: ``formatted``, ``already_formatted`` or ``no_changes``.
     """
     version = F.regexp_replace("version", r"\Av", "")
     badge = F.concat(
@@ -85,12 +99,8 @@ def clean_release_notes(releases: DataFrame, pr_links: DataFrame, package: str)
         F.lit("\n\n---\n\n"),
         badge,
     )
-    return (
-        with_changes(releases)
-        .join(pr_links.select("release_id", "pr_number"), "release_id", "left")
-        .select(
-            "release_id",
-            F.when(done, "already_formatted").when(unusable, "no_changes").otherwise("formatted").alias("status"),
-            F.when(done | unusable, F.col("body")).otherwise(formatted).alias("body"),
-        )
+    return releases.select(
+        "release_id",
+        F.when(done, "already_formatted").when(unusable, "no_changes").otherwise("formatted").alias("status"),
+        F.when(done | unusable, F.col("body")).otherwise(formatted).alias("body"),
     )

@@ -165,14 +165,11 @@ def _lost_first_turn(names: DataFrame, retries: DataFrame) -> DataFrame:
         )
     )
     n_tails = F.regexp_count(F.regexp_extract("name", r"(?:-\d+)+\z", 0), F.lit("-"))
+    # A name without its last i numbers is its first pieces, put together again.
+    pieces = F.split("name", "-", -1)
     stems = F.transform(
         F.sequence(F.lit(0), F.when(F.col("linked"), n_tails).otherwise(0)),
-        lambda i: F.call_function(
-            "regexp_replace",
-            F.col("name"),
-            F.concat(F.lit(r"(?:-\d+){"), i.cast("string"), F.lit(r"}\z")),
-            F.lit(""),
-        ),
+        lambda i: F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - i), "-"),
     )
     chains = steps.where("hard or linked").select("owner", "name", F.posexplode(stems).alias("level", "link"))
     seen = steps.select("owner", F.col("name").alias("link"), "hard", "linked").unionByName(

@@ -56,9 +56,15 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.plan_uploads(b.requests(spark, sf_dir), b.log_files(spark, sf_dir), **b.LIMITS)
 
 
+_PLANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _stored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan as a table of its own, for queries that read it more than once."""
-    return stored(_plan(spark, sf_dir).drop("upload_description", "file_name"), "plan")
+    """The plan as a table of its own, for queries that read it more than once; written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANS:
+        _PLANS[key] = stored(_plan(spark, sf_dir).drop("upload_description", "file_name"), "plan")
+    return _PLANS[key]
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +356,8 @@ def prepend_entries(spark, sf_dir):
 
 
 def clean_release_notes(spark, sf_dir):
-    return notes.clean_release_notes(b.releases(spark, sf_dir), link_commits_to_prs(spark, sf_dir), b.PACKAGE)
+    linked = notes.with_pull_requests(b.releases(spark, sf_dir), b.commit_pulls(spark, sf_dir))
+    return notes.clean_linked(linked, b.PACKAGE)
 
 
 def stream_archive_query(spark, sf_dir):

@@ -62,10 +62,11 @@ def spread(rows: DataFrame, size_column: str, task_bytes: int, *keys: str) -> Da
     """Deal out small rows that stand for ``size_column`` bytes of work each.
 
     The number of partitions comes from the total work, in one cheap pass over
-    the rows. It has to be given: left to itself, adaptive execution would merge
+    the rows, which are stored so that what makes them runs once. It has to be given: left to itself, adaptive execution would merge
     partitions by the size of the rows, and one task would get all the work.
     """
     spark = rows.sparkSession
+    rows = stored(rows, "spread")
     total = rows.agg(F.sum(size_column)).first()[0] or 0
     partitions = max(spark.sparkContext.defaultParallelism, -(-int(total) // task_bytes))
     return rows.repartition(partitions, *keys)

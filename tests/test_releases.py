@@ -186,6 +186,7 @@ def test_cleaning(spark, body, commit, description):
     row = notes.clean_release_notes(releases, links, PKG).first()
     badge = f"[![npm version](https://img.shields.io/badge/npm-1.2.3-blue.svg)](https://www.npmjs.com/package/{PKG}/v/1.2.3)"
     assert row.status == "formatted"
+    assert notes.clean_linked(notes.with_pull_requests(releases, pulls), PKG).collect() == [row]
     assert row.body == f"{description}\n\n**Related Pull Request:** #12\n\n---\n\n{badge}"
 
 
