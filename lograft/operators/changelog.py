@@ -9,6 +9,9 @@ from lograft.functions.text import LINE_END, LINE_START, drop_first, first_non_e
 _SECTION_SPLIT = rf"{LINE_START}(?=## \d)"
 _SECTION_HEAD = r"\A## (\d\S*)"
 _ENTRY_HEAD = rf"{LINE_START}## "
+# In a version taken as a pattern: what could make it none, and a pattern that matches nothing.
+_NO_PATTERN = r"[()\[\]{}\\]|[*+?][*+?]"
+_NEVER = "(?!)"
 _TITLE = rf"{LINE_START}# [^{LINE_END}]+"
 
 
@@ -29,7 +32,8 @@ def explode_changelog(changelogs: DataFrame) -> DataFrame:
 
 
 def _legacy_section(body: Column, version: Column) -> Column:
-    pattern = F.concat(F.lit("## "), version, F.lit(r"[\s\S]*?(?=## \d|\z)"))
+    asked = F.concat(F.lit("## "), version, F.lit(r"[\s\S]*?(?=## \d|\z)"))
+    pattern = F.when(version.rlike(_NO_PATTERN), F.lit(_NEVER)).otherwise(asked)
     found = F.call_function("regexp_extract", body, pattern, F.lit(0))
     return js_trim(drop_first(found, F.concat(F.lit("## "), version)))
 
@@ -40,7 +44,8 @@ def release_notes(
     """Notes for each wanted ``(key, version)``; ``Release <version>`` if there are none.
 
     ``legacy`` takes the version as a pattern that may match anywhere, so that
-    ``1.2`` also finds ``## 1.20`` when that comes first. The exact form joins the
+    ``1.2`` also finds ``## 1.20`` when that comes first; one with brackets, backslashes
+    or a quantifier of a quantifier finds nothing. The exact form joins the
     exploded sections; of repeated versions the first counts.
     """
     if legacy:

@@ -154,6 +154,14 @@ def test_prepend(spark, body, expected):
     assert changelog.prepend_entries(df).first().body == expected.replace("ENTRY", entry)
 
 
+@pytest.mark.parametrize("version", ["1.0(", "1.0[", "1.0)", "a{", "1\\", "1.**"])
+def test_a_version_that_is_no_pattern_falls_back(spark, version):
+    logs = spark.createDataFrame([(1, "## 1.0\n\n- x")], "doc_id bigint, body string")
+    wanted = spark.createDataFrame([(1, version), (1, "1.0")], "doc_id bigint, version string")
+    got = {r.version: r.notes for r in changelog.release_notes(logs, wanted, legacy=True).collect()}
+    assert got == {version: f"Release {version}", "1.0": "- x"}
+
+
 HEAD = "### Patch Changes\n\n- "
 
 
