@@ -177,7 +177,8 @@ def pack(
     blocks = max(1, -(-pieces.count() // pieces_per_block))
     dealt = (
         pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
-        .repartition(blocks, "__block")
+        # Several blocks a task, as many as the session's shuffle settings give: millions of blocks are not millions of tasks.
+        .repartition("__block")
         .sortWithinPartitions("__block", F.desc("length"), "doc_id", "start", "ids_crc32")
     )
     schema = StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
