@@ -6,7 +6,7 @@ import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lograft.constants import DEFAULT_BRANCH, PUBLIC_REPOSITORY
 from lograft.sources.catalogue import plain_path
@@ -23,6 +23,16 @@ LISTING_SCHEMA = (
     "owner string, repository string, repository_path string, chunk_name string, "
     "size_bytes bigint, file_path string, writer string, batch bigint"
 )
+# The listing is laid out in so many parts for shared repositories, and as many for dedicated ones.
+LISTING_BUCKETS = 64
+
+
+def listing_bucket(owner: str, repository: str, path: str | Column) -> Column:
+    """The part of the listing that holds a shared folder, or (without a path) an owner's dedicated repositories."""
+    path = F.col(path) if isinstance(path, str) else path
+    folder = F.pmod(F.xxhash64(owner, repository, path), F.lit(LISTING_BUCKETS))
+    dedicated = F.pmod(F.xxhash64(owner), F.lit(LISTING_BUCKETS)) + LISTING_BUCKETS
+    return F.when(path.isNotNull(), folder).otherwise(dedicated).cast("int")
 
 
 def _part(base_path: str, kind: str, writer: str, batch: int) -> str:
@@ -71,7 +81,14 @@ def write_archive(
         .parquet(body_path)
         .select(*KEY, "chunk_name", "size_bytes", plain_path(F.col("_metadata.file_path")).alias("file_path"))
     )
-    written.write.mode("overwrite").parquet(_part(base_path, LISTING, writer, batch))
+    (
+        written.withColumn("bucket", listing_bucket(*KEY))
+        # Files of a good size for each bucket; a hot one is split into several.
+        .hint("rebalance", "bucket")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(_part(base_path, LISTING, writer, batch))
+    )
 
 
 def _read(spark: SparkSession, base_path: str, kind: str, schema: str) -> DataFrame:
@@ -83,9 +100,15 @@ def _read(spark: SparkSession, base_path: str, kind: str, schema: str) -> DataFr
         return spark.createDataFrame([], schema)
 
 
-def read_listing(spark: SparkSession, base_path: str) -> DataFrame:
-    """One row per archived file, without bodies; empty if there is no archive yet."""
-    return _read(spark, base_path, LISTING, LISTING_SCHEMA)
+def read_listing(spark: SparkSession, base_path: str, buckets: list[int] | None = None) -> DataFrame:
+    """One row per archived file, without bodies; empty if there is no archive yet.
+
+    With ``buckets`` (:func:`listing_bucket`) only files of these parts are opened.
+    """
+    listing = _read(spark, base_path, LISTING, LISTING_SCHEMA + ", bucket int")
+    if buckets is not None:
+        listing = listing.where(F.col("bucket").isin(buckets))
+    return listing.drop("bucket")
 
 
 def read_archive(spark: SparkSession, base_path: str) -> DataFrame:
@@ -100,7 +123,9 @@ def read_archive(spark: SparkSession, base_path: str) -> DataFrame:
 def read_folder(spark: SparkSession, base_path: str, owner: str, repository: str, path: str) -> DataFrame:
     """The chunks of one folder, read from the few files that hold them."""
     wanted = (F.col("owner") == owner) & (F.col("repository") == repository) & (F.col("repository_path") == path)
-    rows = read_listing(spark, base_path).where(wanted).select("file_path").distinct().collect()
+    key = spark.range(1).select(*(F.lit(v).alias(k) for k, v in zip(KEY, (owner, repository, path), strict=True)))
+    buckets = [r[0] for r in key.select(listing_bucket(*KEY)).collect()]
+    rows = read_listing(spark, base_path, buckets).where(wanted).select("file_path").distinct().collect()
     if not rows:
         return spark.createDataFrame([], CHUNK_SCHEMA)
     reader = spark.read.schema(CHUNK_SCHEMA).option("basePath", os.path.join(base_path, CONTENT))

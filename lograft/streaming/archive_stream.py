@@ -7,18 +7,25 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, SMALL_TIER_LIMIT
+from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, REPO, SMALL_TIER_LIMIT
 from lograft.operators.chunks import chunk_manifest, split_content
 from lograft.operators.dedup import KEY, dedicated_to_write, dedup_uploads, uploads_to_write
 from lograft.operators.planning import plan_uploads
 from lograft.operators.repositories import uses_shared
 from lograft.session import stored
-from lograft.sources.archive import archive_contents, read_listing, write_archive
+from lograft.sources.archive import archive_contents, listing_bucket, read_listing, write_archive
 from lograft.sources.bytechunks import with_range_content
 
 UPLOAD = [*KEY, "path", "size_bytes"]
 
 
+def asked_buckets(plan: DataFrame) -> list[int]:
+    """The parts of the listing that can hold what a plan asks for; a small, fixed number at most."""
+    folder = F.when(uses_shared(), F.col("repository_path"))
+    asked = plan.where((F.col("type") == REPO) & ~F.col("dry_mode"))
+    return [r[0] for r in asked.select(listing_bucket("owner", "repository_name", folder)).distinct().collect()]
+
+
 def archive_batch(
     requests: DataFrame,
     files: DataFrame,
@@ -39,10 +46,11 @@ def archive_batch(
     """
     spark = requests.sparkSession
     plan = stored(plan_uploads(requests, files, gist_limit, chunk_size), "plan")
-    listing = read_listing(spark, archive).where(~((F.col("writer") == writer) & (F.col("batch") == batch)))
+    listing = read_listing(spark, archive, asked_buckets(plan))
+    listing = listing.where(~((F.col("writer") == writer) & (F.col("batch") == batch)))
     earlier = archive_contents(listing.where(F.col("repository_path").isNotNull()))
     taken = listing.where(F.col("repository_path").isNull()).select("owner", F.col("repository").alias("name"))
-    # Only the folders asked for: the whole listing is scanned, but not shuffled for a small batch.
+    # Only the folders asked for, so a small batch shuffles little.
     asked = plan.where(uses_shared()).select(*KEY).distinct()
     known = earlier.join(asked, KEY, "left_semi")
     limits = (chunk_size, granularity)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lograft.operators import catalogue
+from lograft.operators.planning import plan_uploads
 from lograft.sources import archive
-from lograft.streaming.archive_stream import archive_batch, dedup_within_watermark, stream_archive, stream_requests
+from lograft.streaming.archive_stream import archive_batch, asked_buckets, dedup_within_watermark, stream_archive, stream_requests
 
 SCHEMA = "request_id bigint, owner string, path string, requested_at timestamp, public boolean"
 LIMITS = {"gist_limit": 10, "chunk_size": 20, "granularity": 1}
@@ -68,6 +69,23 @@ def test_replayed_batch_writes_the_same(spark, files, tmp_path):
     assert listed(spark, root) == sorted(ONE + TWO)
 
 
+def test_a_batch_opens_its_own_part_of_the_listing(spark, files, tmp_path):
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "archive")
+    names = [f"/file{i:03d}.log" for i in range(60)]
+    many = spark.createDataFrame([(p, 20, bytearray(b"v" * 20)) for p in names], files.schema)
+    put(spark, inbox, *names)
+    batch = spark.read.schema(SCHEMA).parquet(inbox)
+    archive_batch(batch, many, root, "w", 0, **LIMITS)
+    again = batch.where(F.col("path") == names[7])
+    buckets = asked_buckets(plan_uploads(again, many, LIMITS["gist_limit"], LIMITS["chunk_size"]))
+    found = archive.read_listing(spark, root, buckets)
+    assert len(buckets) == 1 and "log-file007" in {r.repository_path for r in found.collect()}
+    opened = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in opened or "PartitionFilters: [bucket" in opened
+    whole = archive.read_listing(spark, root)
+    assert whole.count() == 60 and len({f.split("bucket=")[1].split("/")[0] for f in whole.inputFiles()}) > 20
+
+
 def test_bodies_from_storage(spark, tmp_path):
     store, inbox, root = tmp_path / "store", str(tmp_path / "in"), str(tmp_path / "archive")
     store.mkdir()
