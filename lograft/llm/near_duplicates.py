@@ -16,11 +16,14 @@ SIMILARITY = (4, 5)  # 0.8 as a fraction, so that the test is one of whole numbe
 TREES = 40
 DEPTH = 12
 TARGET_RECALL = 0.99999
-# Links between a bucket and its centre count if the signatures' estimate is at least this.
-LEAST_ESTIMATE = 0.5
+# Members of a bucket are linked if their signatures' estimate is at least this. With 240 values a
+# pair at 0.8 lies below it with a probability of 4e-8, far less than what the prefixes may miss (1e-5).
+LEAST_ESTIMATE = 0.65
 BATCH_BYTES = 4 << 20
 # Shingles (or 500 a text, if that is more) that are compared in one block.
 BLOCK_SHINGLES = 500_000
+# Members of a bucket whose signatures are compared in one block.
+BLOCK_MEMBERS = 4096
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -190,11 +193,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def candidate_edges(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
-    """Edges between classes that share a prefix: each to its bucket's smallest node, if they look alike.
+    """Edges that join all classes that share a prefix and look alike, directly or by others that do.
 
-    A bucket gives one edge per member, never its pairs. Two texts over the
-    threshold meet in about ten buckets; they lie in one component unless in each of
-    these the bucket's centre is unlike one of them.
+    First each member of a bucket is held against the bucket's smallest node. That joins families of
+    near copies, at one edge a member. Buckets whose members it leaves in several components
+    are then compared member by member (:func:`_crowd_edges`), so no pair depends on a third text.
     """
     buckets = classes.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(
@@ -203,7 +206,8 @@ def candidate_edges(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE)
     shared = stored(shared.where("members > 1"), "buckets")
     pairs = shared.where("members = 2").select("a", "b")
     larger = shared.where("members > 2").select("key", "a")
-    stars = buckets.join(larger, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    crowds = stored(buckets.join(larger, "key").select("key", "a", "node"), "crowds")
+    stars = crowds.where("node <> a").select("a", F.col("node").alias("b"))
     edges = stored(pairs.union(stars).distinct(), "candidates")
     left = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     right = classes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
@@ -217,12 +221,98 @@ def candidate_edges(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE)
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 for c in ("sa", "sb")
             )
-            alike = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least_estimate
+            alike = (x == y).sum(axis=1) >= _least_equal(x.shape[1], least_estimate)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).filter(pa.array(alike)) for c in ("a", "b")], names=["a", "b"]
             )
 
-    return signed.mapInArrow(run, "a long, b long")
+    near = stored(signed.mapInArrow(run, "a long, b long"), "near")
+    return near.union(_crowd_edges(crowds, components(near), classes, least_estimate))
+
+
+def _least_equal(values: int, least_estimate: float) -> int:
+    """How many of the signatures' values must be equal; one byte each, so 1 in 256 is equal by chance."""
+    return int(np.ceil(values * (least_estimate * (1 - 1 / 256) + 1 / 256) - 1e-9))
+
+
+def _crowd_edges(crowds: DataFrame, labels: DataFrame, classes: DataFrame, least_estimate: float) -> DataFrame:
+    """Edges between different components (``labels``) whose members meet in a bucket and look alike.
+
+    Every two members of a bucket are compared by their signatures unless they lie in one component already.
+    Buckets are cut into blocks of bounded size; every two blocks of one bucket meet in one
+    task, which emits an edge for each two components that it joins, never the pairs.
+    """
+    placed = crowds.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    placed = stored(placed.select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("least"),
+        F.max("component").alias("most"),
+        F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"),
+    )
+    mixed = mixed.where("least <> most").select("key", "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    keys = ("key", "low", "high")
+    met = (
+        placed.join(mixed, "key")
+        .withColumn("own", own)
+        .join(classes.select("node", "signature"), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+            "own",
+            "node",
+            "component",
+            "signature",
+        )
+    )
+    grouped = met.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not rows.num_rows:
+                continue
+            at = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in keys])
+            starts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()]
+            # The last run may go on in the next batch.
+            held = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield _joined(rows.slice(0, starts[-1]), starts, least_estimate)
+        if held is not None:
+            yield _joined(held, [0, held.num_rows], least_estimate)
+
+    return grouped.mapInArrow(run, "a long, b long")
+
+
+def _joined(rows: pa.Table, starts: list[int], least_estimate: float) -> pa.RecordBatch:
+    """Edges of the runs of rows that begin at ``starts``, which ends with the number of rows."""
+    nodes, labels, own, low, high = (
+        rows.column(c).to_numpy() for c in ("node", "component", "own", "low", "high")
+    )
+    body = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    least, count_type = _least_equal(body.shape[1], least_estimate), np.min_scalar_type(body.shape[1])
+    found: list[tuple[int, int]] = []
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        label, by_value = labels[lo:hi].copy(), np.ascontiguousarray(body[lo:hi].T)
+        one_block = low[lo] == high[lo]
+        theirs = np.ones(hi - lo, bool) if one_block else own[lo:hi] == high[lo]
+        for i in range(hi - lo) if one_block else np.flatnonzero(~theirs):
+            if one_block:
+                theirs[i] = False  # those before have met it
+            others = np.flatnonzero(theirs & (label != label[i]))
+            if not len(others):
+                continue
+            equal = (by_value[:, others] == by_value[:, i : i + 1]).sum(axis=0, dtype=count_type)
+            for j in others[equal >= least]:
+                if label[j] != label[i]:
+                    found.append((int(nodes[lo + i]), int(nodes[lo + j])))
+                    label[label == label[j]] = label[i]
+    columns = [pa.array([edge[k] for edge in found], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -142,6 +142,41 @@ def test_near_duplicates_of_odd_rows(spark, odd_documents, no_documents):
     assert nd.near_duplicate_classes(no_documents).count() == 0 and nd.keep_one(no_documents).count() == 0
 
 
+def passage_family(count, pairs, pool=60, taken=30, length=50, changed=30):
+    """Texts of passages out of a common pool, alike by about a third, and near copies of some of them."""
+    rng = np.random.default_rng(7)
+    out = [[f"p{i}w{k}" for i in rng.permutation(pool)[:taken] for k in range(length)] for _ in range(count)]
+    for words in out[:pairs]:
+        own = words.copy()
+        for at in rng.permutation(len(own))[:changed]:
+            own[at] = f"x{at}"
+        out.append(own)
+    return [" ".join(words) for words in out]
+
+
+@pytest.mark.parametrize("most", [4096, 10])
+def test_near_duplicates_in_a_family_of_common_passages(spark, monkeypatch, most):
+    every = passage_family(800, 200)
+    sets = [windows(t) for t in every]
+    owners = {}
+    for i, own in enumerate(sets):
+        for w in own:
+            owners.setdefault(w, []).append(i)
+    inter = np.zeros((len(every), len(every)), int)
+    for own in owners.values():
+        inter[np.ix_(own, own)] += 1
+    total = np.add.outer([len(s) for s in sets], [len(s) for s in sets])
+    linked = (9 * inter >= 4 * total) & ~np.eye(len(every), dtype=bool)
+    pairs = {(int(i), int(j)) for i, j in np.argwhere(np.triu(linked))}
+    assert pairs == {(i, 800 + i) for i in range(200)}
+    monkeypatch.setattr(nd, "BLOCK_MEMBERS", most, raising=False)
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    # Short prefixes crowd the buckets as a hundred thousand texts would.
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicate_classes(df, deepest=2).collect()}
+    assert {(c, d) for d, (c, _) in got.items() if c != d} == pairs
+    assert sum(n for _, n in got.values()) == 2 * len(pairs)
+
+
 def test_shingles_are_sets_of_windows(texts):
     some = [*list(texts.values())[:80], None, "", "a", "a b c d", "a b c d e", "a b c d e " * 9]
     values, offsets = nd.shingles(pa.array(some))
