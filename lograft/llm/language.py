@@ -22,6 +22,10 @@ BATCH_BYTES = 4 << 20
 UNKNOWN = "und"
 # Below this score two languages are too close: a lead of less than half a byte.
 LEAST_SCORE = 0.6
+# The lead over the second language must be this share of the coded bytes, and this many bytes in short texts. Chosen
+# on labelled documents that are not held out (99 in 100 of those of 100 characters lead by 0.038) and mixed, random words.
+LEAST_LEAD = 0.03
+LEAST_LEAD_BYTES = 8
 
 
 def train_dictionaries(docs: DataFrame, most_docs: int = DICTIONARY_DOCS) -> dict[str, bytes]:
@@ -79,8 +83,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float
     The language whose dictionary makes the whole text, in lower case, smallest; of equals
     the first by code point. ``score`` is its share if each byte less counts e-fold
     (0 to 1; a half: two are level). Texts that are NULL or have no letter are
-    ``und`` with score 0, so are all if no language was learnt. ``accepted``: not ``und`` and the lead is not
-    narrow. Only ``text`` is an input. Other columns are kept, columns of the three names are replaced.
+    ``und`` with score 0, so are all if no language was learnt. ``accepted``: not ``und`` and the lead over
+    the second language is not narrow for the text's coded size. Only ``text`` is an input. Other columns are kept, columns of the three names are replaced.
     One pass over the scan's partitions; no shuffle.
     """
     plain = docs.drop("lang_pred", "score", "accepted")
@@ -94,17 +98,20 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float
                 texts = part.column("text")
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
                 raw = pc.utf8_lower(texts).cast(pa.binary()).to_pylist()
-                langs, scores = [], []
+                langs, scores, wide = [], [], []
                 for text, has_letter in zip(raw, lettered, strict=True):
                     if not has_letter or not known:
                         langs.append(UNKNOWN)
                         scores.append(0.0)
+                        wide.append(False)
                         continue
                     sizes = np.array(coded_sizes(text, compressors))
                     best = int(np.argmin(sizes))
                     langs.append(known[best][0])
                     scores.append(float(1.0 / np.exp(-(sizes - sizes[best]).clip(max=700).astype(float)).sum()))
-                accepted = [s >= least_score for s in scores]
+                    least = max(LEAST_LEAD_BYTES, LEAST_LEAD * sizes[best])
+                    wide.append(bool((np.delete(sizes, best) - sizes[best] >= least).all()))
+                accepted = [s >= least_score and w for s, w in zip(scores, wide, strict=True)]
                 columns = [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 columns.append(pa.array(accepted, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score", "accepted"])

@@ -191,6 +191,26 @@ def test_languages(spark, odd_documents, no_documents):
     assert language.train_dictionaries(no_documents) == {} and language.identify(no_documents, dictionaries).count() == 0
 
 
+def test_texts_of_no_clear_language_are_rejected_at_every_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dictionaries = language.train_dictionaries(docs)
+    words = {lang: [] for lang in sorted(dictionaries)}
+    for lang, text in duckdb.sql("SELECT lang, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall():
+        words[lang].extend((text or "").split())
+    rng = np.random.default_rng(1)
+    letters, rows = np.array(list("abcdefghijklmnopqrstuvwxyz")), []
+    for n in (100, 500, 3000, 15_000):
+        for _ in range(10):
+            mixed = [w[rng.integers(len(w))] for w in (words[lang] for _ in range(n // 4) for lang in words)]
+            random = ["".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(n)]
+            rows += [(f"mixed {n}", " ".join(mixed)), (f"random {n}", " ".join(random))]
+    got = language.identify(spark.createDataFrame(rows, "kind string, text string"), dictionaries).collect()
+    accepted = Counter(r.kind for r in got if r.accepted)
+    assert sum(accepted.values()) <= 2 and not any(kind.startswith("random") for kind in accepted), accepted
+    clean = language.identify(docs.where("lang is not null and n_chars >= 100"), dictionaries)
+    assert clean.where("accepted").count() >= 0.97 * clean.count()
+
+
 def plain_measures(text):
     words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
