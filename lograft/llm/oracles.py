@@ -124,4 +124,151 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES = {"op2_sharding": OP2, "op6_mix_sources": OP6, "op9_quality_rules": OP9}
+# CRC-32 of the strings in a table asked(word), byte by byte with the usual table of 256 remainders.
+_CRC = """remainder AS (
+  SELECT list(c ORDER BY b) AS steps
+  FROM (SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+        FROM range(256) t(b))
+), coded AS (
+  SELECT word,
+         xor(list_reduce(list_transform(range(length(digits) // 2),
+                                        lambda i: CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS digits FROM asked), remainder
+)"""
+
+OP11 = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), following AS (
+  SELECT doc_id, t, length(t) AS n,
+         coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next_t
+  FROM doc
+), pair AS (
+  SELECT doc_id, t, n, next_t, substr(t, 1, n - n // 4) || substr(next_t, 1, n // 4) AS edited FROM following
+), body AS (
+  SELECT row_number() OVER () AS id, t, length(t) AS n
+  FROM (SELECT DISTINCT t FROM (SELECT t FROM pair UNION ALL SELECT edited FROM pair))
+), part AS (
+  SELECT id, i AS pos, c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] AS word
+  FROM (SELECT id, c, unnest(range(1, n - 3)) AS i FROM (SELECT id, n, string_split(t, '') AS c FROM body WHERE n >= 20))
+), asked AS (
+  SELECT DISTINCT word FROM part UNION SELECT t FROM body WHERE n BETWEEN 1 AND 19
+), {_CRC}, hashed AS (
+  SELECT id, pos, crc,
+         lead(crc, 15) OVER w AS last_crc,
+         min(crc) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS least_crc,
+         (crc + 31 * lead(crc, 5) OVER w + 961 * lead(crc, 10) OVER w + 29791 * lead(crc, 15) OVER w) % 1048573 AS hash
+  FROM part JOIN coded USING (word)
+  WINDOW w AS (PARTITION BY id ORDER BY pos)
+), anchor AS (
+  SELECT id, pos, hash * 16 + least(coalesce(lead(pos) OVER (PARTITION BY id ORDER BY pos) - pos, 0), 15) AS token
+  FROM hashed WHERE last_crc IS NOT NULL AND (crc = least_crc OR last_crc = least_crc)
+), token AS (
+  SELECT id, pos, token FROM anchor
+  UNION ALL SELECT id, 1, crc % 1048573 * 16 FROM body JOIN coded ON t = word WHERE n BETWEEN 1 AND 19
+), print AS (
+  SELECT id, to_base64(unhex(string_agg(printf('%06X', token), '' ORDER BY pos))) AS print, list(DISTINCT token) AS tokens
+  FROM token GROUP BY id
+), printed AS (
+  SELECT t, coalesce(print, '') AS print, coalesce(tokens, []) AS tokens FROM body LEFT JOIN print USING (id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+       own.print AS fingerprint, changed.print AS edited_fingerprint,
+       CASE WHEN len(own.tokens) + len(changed.tokens) = 0 THEN 1.0::DOUBLE
+            ELSE 2.0::DOUBLE * len(list_intersect(own.tokens, changed.tokens))
+                 / (len(own.tokens) + len(changed.tokens)) END AS near_edited,
+       CASE WHEN len(own.tokens) + len(after.tokens) = 0 THEN 1.0::DOUBLE
+            ELSE 2.0::DOUBLE * len(list_intersect(own.tokens, after.tokens))
+                 / (len(own.tokens) + len(after.tokens)) END AS near_next
+FROM pair JOIN printed own ON own.t = pair.t
+     JOIN printed changed ON changed.t = pair.edited
+     JOIN printed after ON after.t = pair.next_t
+"""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Replaced letters: equal when one place is blanked; inserted and deleted ones: equal when one letter is left out.
+OP12 = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  GROUP BY ALL
+), keyed AS (
+  SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS word FROM run
+), asked AS (SELECT DISTINCT word FROM keyed), {_CRC}, changed AS (
+  SELECT n, CASE WHEN crc % 199 = 0
+                 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word
+  FROM keyed JOIN coded USING (word)
+), known AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), short AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM known)
+), near AS (
+  SELECT a.word, b.word AS other FROM short a JOIN short b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.rest FROM short a JOIN known b ON a.rest = b.word
+  UNION SELECT a.rest, a.word FROM short a JOIN known b ON a.rest = b.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS other, max(o.n) AS other_n
+  FROM near JOIN known o ON o.word = near.other GROUP BY near.word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM known LEFT JOIN best USING (word)
+), chain(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT chain.word, form FROM chain JOIN formed ON formed.word = chain.root WHERE form IS NOT NULL
+)
+SELECT word, form, chain.root, n, n_near, form_n
+FROM formed JOIN chain USING (word)
+WHERE chain.root NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)
+"""
+
+_FEATURES = rf"""unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"""
+
+OP13 = f"""
+WITH feature AS (
+  SELECT doc_id, {_FEATURES} AS word FROM documents
+), wanted AS (
+  SELECT {_FEATURES} AS word FROM benchmark
+), asked AS (SELECT word FROM feature UNION SELECT word FROM wanted), {_CRC}, bucketed AS (
+  SELECT word, crc % 10000 AS bucket FROM coded
+), corpus AS (
+  SELECT bucket, count(*) AS s FROM feature JOIN bucketed USING (word) GROUP BY bucket
+), target AS (
+  SELECT bucket, count(*) AS t FROM wanted JOIN bucketed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT bucket,
+         CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM corpus) + 10000)::DOUBLE
+                              / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM target) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM corpus LEFT JOIN target USING (bucket)
+), weighed AS (
+  SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM feature JOIN bucketed USING (word) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)
+), ordered AS (
+  SELECT *, n_features >= 20 AS eligible,
+         row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS eligible_n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN eligible AND place <= 10 * eligible_n // 100 THEN place END AS rank
+FROM ordered
+"""
+
+ORACLES = {
+    "op2_sharding": OP2,
+    "op6_mix_sources": OP6,
+    "op9_quality_rules": OP9,
+    "op11_fingerprints": OP11,
+    "op12_spelling_variants": OP12,
+    "op13_target_resampling": OP13,
+}

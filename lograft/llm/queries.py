@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lograft.llm import chat, language, mixing, near_duplicates, neighbours, packing, quality, rules, sharding, tokens
+from lograft.llm import (
+    chat,
+    fingerprints,
+    language,
+    mixing,
+    near_duplicates,
+    neighbours,
+    packing,
+    quality,
+    reweighting,
+    rules,
+    sharding,
+    spelling,
+    tokens,
+)
 from lograft.llm.common import document_remainder, table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
@@ -74,6 +88,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return reweighting.resample(docs, table(spark, sf_dir, "benchmark").select("text"), share=10, least_words=20, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,5 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_quality_rules,
         op10_language_id,
+        op11_fingerprints,
+        op12_spelling_variants,
+        op13_target_resampling,
     )
 }
