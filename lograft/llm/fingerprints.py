@@ -92,14 +92,15 @@ def anchors(text: Column) -> Column:
     return F.when(long, found).otherwise(F.array().cast("array<bigint>"))
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, found: Column | None = None) -> Column:
     """The fingerprint as numbers of 24 bits, one an anchor: its hash, and how far the next one is (0: none).
 
     So a token says which k-mer stands there and where it stands in relation to the next, wherever
     the passage lies in the text. A text shorter than a k-mer is one token; an empty or NULL one has none.
+    ``found`` are the text's anchors, if they are known already.
     """
     placed = _let(
-        anchors(text),
+        anchors(text) if found is None else found,
         lambda all_: F.zip_with(
             all_,
             F.slice(all_, F.lit(2), F.size(all_)),
@@ -114,6 +115,18 @@ def tokens(text: Column) -> Column:
     return F.when(F.length(text) >= K, placed).when(F.length(text) > 0, short).otherwise(empty)
 
 
+def anchors_after_edit(found: Column, kept: Column, edited: Column) -> Column:
+    """The anchors of an edited text of which the first ``kept`` code points, with their anchors, are known.
+
+    Anchors do not depend on what stands around them, so only k-mers that reach into the new part are looked at.
+    """
+    first_new = F.greatest(kept - (K - 1), F.lit(0))
+    old = F.filter(found, lambda anchor: F.shiftright(anchor, 20) < first_new)
+    tail = F.substring(edited, first_new + 1, F.length(edited))
+    shift = first_new.cast("bigint") * F.lit(PLACE)
+    return F.concat(old, _let(tail, lambda rest: F.transform(anchors(rest), lambda anchor: anchor + shift)))
+
+
 def as_text(tokens_: Column) -> Column:
     """Tokens as a string, four characters (base 64) each."""
     digits = F.transform(tokens_, lambda token: F.lpad(F.hex(token), 6, "0"))
@@ -135,7 +148,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each text, its tokens, and those of the next document by ``doc_id``: ``next_text``, ``next_tokens``.
+    """Each text, its anchors and tokens, and text and tokens of the next document by ``doc_id``: ``next_text``, ``next_tokens``.
 
     The last document is followed by the first. Documents of equal id follow each other by the MD5 of their
     texts; rows equal in both are one document, returned as often as it is there. A missing id
@@ -183,20 +196,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("bucket").orderBy("guest", "place", "digest")
     return (
-        dealt.withColumn("tokens", tokens(F.col("text")))
-        .withColumns(
-            {"next_text": F.lead("text").over(order), "next_tokens": F.lead("tokens").over(order)}
-        )
+        dealt.withColumn("anchors", anchors(F.col("text")))
+        .withColumn("tokens", tokens(F.col("text"), F.col("anchors")))
+        .withColumns({"next_text": F.lead("text").over(order), "next_tokens": F.lead("tokens").over(order)})
         .where("NOT guest")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-        .select("doc_id", "text", "tokens", "next_text", "next_tokens")
+        .select("doc_id", "text", "anchors", "tokens", "next_text", "next_tokens")
     )
 
 
-def edited_text(text: Column, following: Column) -> Column:
-    """The last quarter (rounded down) of the code points replaced by the first as many of the following text."""
+def edited_text(text: Column, following: Column) -> tuple[Column, Column]:
+    """The last quarter (rounded down) of the code points replaced by the first as many of the following text.
+
+    Also how many code points are kept.
+    """
     quarter = F.floor(F.length(text) / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
+    kept = F.length(text) - quarter
+    return F.concat(F.substring(text, F.lit(1), kept), F.substring(following, F.lit(1), quarter)), kept
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -205,8 +221,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row per row
     of ``docs``. An empty table gives an empty result. For NULLs, repeated rows and ids see :func:`with_next`.
     """
-    rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_tokens", tokens(F.col("edited")))
+    edited, kept = edited_text(F.col("text"), F.col("next_text"))
+    rows = with_next(docs).withColumns({"edited": edited, "kept": kept})
+    known = anchors_after_edit(F.col("anchors"), F.col("kept"), F.col("edited"))
+    rows = rows.withColumn("edited_anchors", known)
+    rows = rows.withColumn("edited_tokens", tokens(F.col("edited"), F.col("edited_anchors")))
     return rows.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
