@@ -53,7 +53,7 @@ def _with_minima(hashes: Column, body: Callable[[Column], Column]) -> Column:
 def _kmer_hash(hashes: Column, at: Column) -> Column:
     """A hash of the k-mer from those of the substrings that cover it."""
     places = [*range(0, K - S, S), K - S]
-    return F.pmod(sum(F.get(hashes, at + place - 1) * F.lit(31**n) for n, place in enumerate(places)), F.lit(HASHES))
+    return F.pmod(sum(F.get(hashes, at + place) * F.lit(31**n) for n, place in enumerate(places)), F.lit(HASHES))
 
 
 def _block_anchors(block: Column, start: Column) -> Column:
@@ -62,13 +62,11 @@ def _block_anchors(block: Column, start: Column) -> Column:
 
     def choose(hashes: Column) -> Column:
         def at_edge(minima: Column) -> Column:
-            places = F.sequence(F.lit(1), F.size(hashes) - WIDTH + 1)
-            edge = F.filter(
-                places,
-                lambda i: F.get(minima, i - 1).eqNullSafe(F.get(hashes, i - 1))
-                | F.get(minima, i - 1).eqNullSafe(F.get(hashes, i + WIDTH - 2)),
-            )
-            return F.transform(edge, lambda i: (start + i - 1) * F.lit(PLACE) + _kmer_hash(hashes, i))
+            whole = F.slice(minima, F.lit(1), F.size(hashes) - WIDTH + 1)
+            last = lambda i: F.get(hashes, i + WIDTH - 1)
+            edge = F.transform(whole, lambda low, i: F.when((low == F.get(hashes, i)) | (low == last(i)), i))
+            found = F.filter(edge, lambda i: i.isNotNull())
+            return F.transform(found, lambda i: (start + i) * F.lit(PLACE) + _kmer_hash(hashes, i))
 
         return _with_minima(hashes, at_edge)
 
