@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lograft.constants import DEFAULT_BRANCH, PUBLIC_REPOSITORY
 from lograft.sources.catalogue import plain_path
+from lograft.sources.snapshots import SnapshotLog
 
 CONTENT = "content"
 LISTING = "listing"
@@ -39,15 +40,26 @@ def _part(base_path: str, kind: str, writer: str, batch: int) -> str:
     return os.path.join(base_path, kind, f"writer={writer}", f"batch={batch}")
 
 
+def listing_log(spark: SparkSession, base_path: str) -> SnapshotLog:
+    """The snapshots of the archive's listing."""
+    return SnapshotLog(spark, os.path.join(base_path, LISTING))
+
+
 def write_archive(
-    chunks: DataFrame, base_path: str, writer: str = "batch", batch: int | None = None, by_folder: bool = False
+    chunks: DataFrame,
+    base_path: str,
+    writer: str = "batch",
+    batch: int | None = None,
+    by_folder: bool = False,
+    replace: bool = True,
 ) -> None:
     """Write chunk bodies, then list them.
 
     ``chunks`` holds only folders that are new. Each ``(writer, batch)`` owns a
     directory of its own. Without a ``batch`` the call gets a fresh one; a retry names the batch
-    it repeats, and replaces that as a whole. So nothing that another batch wrote is ever touched.
-    Writers do not see each other's unfinished batches: let one writer at a time add a folder. The listing is written last:
+    it repeats, and replaces that as a whole, or (``replace`` false) adds to what it has brought.
+    Writers do not see each other's unfinished batches: let one writer at a time add a folder. The listing is committed
+    last, as a new snapshot (:mod:`lograft.sources.snapshots`):
     a batch that died half-way is not listed, and is written afresh when retried.
     Task failures are covered by Spark's output commit.
 
@@ -58,8 +70,12 @@ def write_archive(
     way the listing names the file of each chunk, for ``read_folder``.
     """
     spark = chunks.sparkSession
+    log = listing_log(spark, base_path)
+    named = batch is not None
     batch = uuid.uuid4().int >> 66 if batch is None else batch
-    body_path = _part(base_path, CONTENT, writer, batch)
+    again = named and log.current().marks.get(writer, -1) >= batch
+    # Bodies that are listed stay until the listing no longer names them.
+    body_path = _part(base_path, CONTENT, f"{writer}.{uuid.uuid4().hex}" if again else writer, batch)
     layout = F.when(F.col("repository_path").isNull(), DEDICATED).otherwise(F.col("repository_name"))
     (
         chunks.select(
@@ -79,45 +95,53 @@ def write_archive(
         spark.read.schema(CHUNK_SCHEMA)
         .option("basePath", os.path.join(base_path, CONTENT))
         .parquet(body_path)
-        .select(*KEY, "chunk_name", "size_bytes", plain_path(F.col("_metadata.file_path")).alias("file_path"))
-    )
-    (
-        written.withColumn("bucket", listing_bucket(*KEY))
-        # Files of a good size for each bucket; a hot one is split into several.
-        .hint("rebalance", "bucket")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(_part(base_path, LISTING, writer, batch))
+        .select(
+            *KEY,
+            "chunk_name",
+            "size_bytes",
+            plain_path(F.col("_metadata.file_path")).alias("file_path"),
+            F.lit(writer).alias("writer"),
+            F.lit(batch).alias("batch"),
+        )
     )
-
-
-def _read(spark: SparkSession, base_path: str, kind: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(os.path.join(base_path, kind))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def read_listing(spark: SparkSession, base_path: str, buckets: list[int] | None = None) -> DataFrame:
+    written = written.withColumn("bucket", listing_bucket(*KEY))
+    replaced: list[str] = []
+    if again and replace:
+        mine = (F.col("writer") == writer) & (F.col("batch") == batch)
+        old = log.read(LISTING_SCHEMA).withColumn("bucket", listing_bucket(*KEY))
+        buckets = [r.bucket for r in old.where(mine).select("bucket").distinct().collect()]
+        replaced = log.current().paths(buckets)
+        written = written.unionByName(old.where(F.col("bucket").isin(buckets) & ~mine))
+    log.commit(log.write(written, *KEY), replaced, writer if named else None, batch)
+    log.compact(LISTING_SCHEMA, *KEY)
+
+
+def read_listing(
+    spark: SparkSession, base_path: str, buckets: list[int] | None = None, version: int | None = None
+) -> DataFrame:
     """One row per archived file, without bodies; empty if there is no archive yet.
 
-    With ``buckets`` (:func:`listing_bucket`) only files of these parts are opened.
+    With ``buckets`` (:func:`listing_bucket`) only files of these parts are opened; no directory is listed.
+    ``version`` reads an older snapshot.
     """
-    listing = _read(spark, base_path, LISTING, LISTING_SCHEMA + ", bucket int")
-    if buckets is not None:
-        listing = listing.where(F.col("bucket").isin(buckets))
-    return listing.drop("bucket")
+    return listing_log(spark, base_path).read(LISTING_SCHEMA, buckets, version)
 
 
 def read_archive(spark: SparkSession, base_path: str) -> DataFrame:
     """Archived bodies. A filter on ``layout`` (the shared repository, or ``dedicated``) prunes directories.
 
-    Bodies whose batch is not in the listing (it died half-way) are left out.
+    Bodies in files that the listing does not name (of a batch that died half-way or was replaced) are left out.
     """
-    committed = read_listing(spark, base_path).select("writer", "batch").distinct()
-    return _read(spark, base_path, CONTENT, CHUNK_SCHEMA).join(committed, ["writer", "batch"], "left_semi")
+    listed = read_listing(spark, base_path).select("file_path", "writer", "batch").distinct()
+    path = os.path.join(base_path, CONTENT)
+    try:
+        bodies = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHUNK_SCHEMA)
+    bodies = bodies.drop("writer", "batch").withColumn("file_path", plain_path(F.col("_metadata.file_path")))
+    return bodies.join(listed, "file_path").drop("file_path")
 
 
 def read_folder(spark: SparkSession, base_path: str, owner: str, repository: str, path: str) -> DataFrame:

@@ -41,28 +41,32 @@ def archive_batch(
 
     The plan is made from paths and sizes alone and stored, since several steps
     read it; bodies are read for the survivors only. With a ``content`` column in ``files`` they come from there, else each
-    chunk is read from storage by its own row. Folders that this very batch wrote
-    before a crash do not count as archived, so a replay writes the same again.
+    chunk is read from storage by its own row. The listing is committed at once for the whole
+    batch, so what a replay finds of its own is whole, and is not written again.
     """
     spark = requests.sparkSession
     plan = stored(plan_uploads(requests, files, gist_limit, chunk_size), "plan")
     listing = read_listing(spark, archive, asked_buckets(plan))
-    listing = listing.where(~((F.col("writer") == writer) & (F.col("batch") == batch)))
     earlier = archive_contents(listing.where(F.col("repository_path").isNotNull()))
-    taken = listing.where(F.col("repository_path").isNull()).select("owner", F.col("repository").alias("name"))
+    # A dedicated repository that this very batch brought is no other's: it keeps its name, and is there already.
+    own = (F.col("writer") == writer) & (F.col("batch") == batch)
+    dedicated = listing.where(F.col("repository_path").isNull())
+    taken = dedicated.where(~own).select("owner", F.col("repository").alias("name"))
+    there = dedicated.where(own).select("owner", F.col("repository").alias("repository_name")).distinct()
     # Only the folders asked for, so a small batch shuffles little.
     asked = plan.where(uses_shared()).select(*KEY).distinct()
     known = earlier.join(asked, KEY, "left_semi")
     limits = (chunk_size, granularity)
     shared = uploads_to_write(dedup_uploads(plan, known, repositories, *limits)).select(*UPLOAD)
     # Small rows, stored so that the joins behind them run once.
-    uploads = stored(shared.unionByName(dedicated_to_write(plan, taken)), "uploads")
+    alone = dedicated_to_write(plan, taken).join(there, ["owner", "repository_name"], "left_anti")
+    uploads = stored(shared.unionByName(alone.select(shared.columns)), "uploads")
     if "content" in files.columns:
         bodies = uploads.join(files.select("path", "content"), "path")
         chunks = split_content(bodies, *limits)
     else:
         chunks = with_range_content(chunk_manifest(uploads, *limits))
-    write_archive(chunks, archive, writer, batch)
+    write_archive(chunks, archive, writer, batch, replace=False)
 
 
 def stream_archive(
@@ -78,8 +82,8 @@ def stream_archive(
 
     The archive listing is the dedup state, so there is no watermark and no state
     that grows in memory. A batch is identified by its checkpoint and its number,
-    both of which survive a restart: a replay replaces what it wrote, and a new
-    stream over the same requests adds nothing.
+    both of which survive a restart: a replay adds nothing to what it wrote, nor does a new
+    stream over the same requests. What a batch opens of the listing does not grow with the number of batches.
     """
     writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 

@@ -241,3 +241,64 @@ def test_dedicated_repositories_are_written(spark, plan, rows):
     taken = spark.createDataFrame([("me", "log-a")], "owner string, name string")
     df = dedup.dedicated_to_write(plan(upload(0, shared=False), upload(1, "log-b", shared=False), upload(2, "log-c")), taken)
     assert rows(df, "repository_name", "repository_path") == [("log-a-1704067200000", None), ("log-b", None)]
+
+
+def test_listing_stays_small_over_many_batches(spark, tmp_path, monkeypatch):
+    from lograft.sources import snapshots
+
+    base = str(tmp_path)
+    log = archive.listing_log(spark, base)
+    opened = []
+    real = snapshots.SnapshotLog._read
+    monkeypatch.setattr(snapshots.SnapshotLog, "_read", lambda self, *parts: opened.append(parts) or real(self, *parts))
+    row = f"owner string, repository string, repository_path string, chunk_name string, size_bytes bigint, file_path string, writer string, batch bigint"
+    assert row == archive.LISTING_SCHEMA
+    per_batch, files = [], []
+    for batch in range(36):
+        rows = spark.createDataFrame([("me", "private-logs", f"log-{batch}-{i}", "x", 1, "f", "w", batch) for i in range(2)], row)
+        added = log.write(rows.withColumn("bucket", F.lit(batch % 3)), *archive.KEY)
+        opened.clear()
+        log.commit(added, writer="w", batch=batch)
+        per_batch.append(len(opened))
+        log.compact(row, *archive.KEY)
+        files.append(len(log.current().paths([batch % 3])))
+    assert max(per_batch[24:]) <= max(per_batch[2:10]) and max(files) <= snapshots.SMALL_FILES + 1
+    now = log.current()
+    assert now.marks == {"w": 35} and log.read(row).count() == 72 and now.version > 36
+    # Older snapshots are still there, and what later ones replaced is named once.
+    assert log.read(row, version=10).count() < 72
+    gone = log.removable(1, now.version)
+    assert len(gone) == len(set(gone)) > 0 and not set(gone) & set(now.paths())
+    alive = set(now.paths())
+    written = {str(p) for p in tmp_path.rglob("*.parquet")}
+    assert written == alive | set(gone)
+
+
+def test_torn_pointers_and_second_writers(spark, tmp_path):
+    from lograft.sources.snapshots import Conflict, Live, SnapshotLog
+
+    log = SnapshotLog(spark, str(tmp_path))
+    log.commit([Live(0, "a", 1)], writer="w", batch=3)
+    # A writer that died while it made the next pointer, and one that died before the hint.
+    (tmp_path / "versions" / "2").write_text("half")
+    assert log.current().version == 1
+    log.commit([Live(1, "b", 1)], writer="v", batch=1)
+    (tmp_path / "versions" / "latest").unlink()
+    assert log.current().paths() == ["a", "b"] and log.current().marks == {"w": 3, "v": 1}
+    log.commit([Live(0, "c", 1)], ["a"])
+    with pytest.raises(Conflict):
+        log.commit([Live(0, "d", 1)], ["a"])
+    assert log.current().paths() == ["b", "c"] and log.at(2).paths() == ["a", "b"] and log.at(9) is None
+
+
+def test_a_replaced_batch_leaves_no_bodies(spark, rows, tmp_path):
+    base = str(tmp_path)
+    def chunk(name, body):
+        return spark.createDataFrame([("me", "private-logs", name, "x.log.txt", body)], CHUNK)
+    archive.write_archive(chunk("log-a", b"1"), base, "w", 0)
+    archive.write_archive(chunk("log-b", b"2"), base, "w", 1)
+    archive.write_archive(chunk("log-c", b"3"), base, "w", 0)
+    assert rows(archive.read_archive(spark, base), "repository_path") == [("log-b",), ("log-c",)]
+    archive.write_archive(chunk("log-d", b"4"), base, "w", 1, replace=False)
+    assert rows(archive.read_archive(spark, base), "repository_path") == [("log-b",), ("log-c",), ("log-d",)]
+    assert rows(archive.read_folder(spark, base, "me", "private-logs", "log-d"), "chunk_name") == [("x.log.txt",)]
