@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,23 +16,50 @@ def scan_log_files(
     suffixes: Sequence[str] = (),
     exclude: Sequence[str] = (),
     include_dotfiles: bool = True,
+    prefix: str = "",
+    min_bytes: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Regular files below ``root`` with their sizes; file bodies are not opened.
 
     ``exclude`` drops every file whose path relative to ``root`` contains one of
-    the fragments. Zero-byte files are kept.
+    the fragments. Zero-byte files are kept. All limits are judged while listing;
+    directories that cannot hold a relative path that begins with ``prefix`` are not opened.
     """
+    reader = _with_options(spark, spark.read, suffixes, exclude)
+    for option, value in (("prefix", prefix), ("minBytes", min_bytes), ("maxBytes", max_bytes)):
+        if value not in (None, ""):
+            reader = reader.option(option, value)
+    files = reader.load(qualified(spark, root))
+    return files if include_dotfiles else files.where(~F.col("name").startswith("."))
+
+
+def _with_options(spark: SparkSession, reader, suffixes: Sequence[str], exclude: Sequence[str]):
     spark.dataSource.register(FileCatalogue)
     tasks = max(64, 4 * spark.sparkContext.defaultParallelism)
-    reader = spark.read.format(FileCatalogue.name()).option("fanOut", tasks)
-    if exclude:
-        reader = reader.option("exclude", "\n".join(exclude))
-    files = reader.load(qualified(spark, root))
-    if suffixes:
-        files = files.where(reduce(lambda a, b: a | b, (F.col("name").endswith(s) for s in suffixes)))
-    if not include_dotfiles:
-        files = files.where(~F.col("name").startswith("."))
-    return files
+    reader = reader.format(FileCatalogue.name()).option("fanOut", tasks)
+    for option, values in (("suffixes", suffixes), ("exclude", exclude)):
+        if values:
+            reader = reader.option(option, "\n".join(values))
+    return reader
+
+
+def stream_log_files(
+    spark: SparkSession,
+    root: str,
+    suffixes: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    lateness_seconds: float = 3600,
+    settle_seconds: float = 0,
+) -> DataFrame:
+    """New and changed files below ``root`` as a stream, empty ones included; a file may come more than once.
+
+    A file whose time is older than what has been read comes with the next batch if it is late by no more than
+    ``lateness_seconds``, else with the next full listing (each run begins with one).
+    """
+    reader = _with_options(spark, spark.readStream, suffixes, exclude)
+    reader = reader.option("lateness", lateness_seconds).option("settle", settle_seconds)
+    return reader.load(qualified(spark, root))
 
 
 def missing_inputs(requests: DataFrame, files: DataFrame) -> DataFrame:

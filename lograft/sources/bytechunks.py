@@ -7,18 +7,19 @@ more than one chunk at a time.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from lograft.constants import CHUNK_SIZE
 from lograft.session import spread
 from lograft.sources import catalogue
-from lograft.sources.catalogue import open_filesystem
+from lograft.sources.catalogue import Listing, open_filesystem
 
 SCHEMA = "path string, chunk_no bigint, offset bigint, length bigint, content binary"
 ARROW_SCHEMA = pa.schema(
@@ -64,7 +65,7 @@ class Spans(InputPartition):
 
 class ChunkReader(DataSourceReader):
     def __init__(self, root: str, chunk_bytes: int, task_bytes: int):
-        self.root = root
+        self.files = Listing(root)
         self.chunk_bytes = chunk_bytes
         self.task_bytes = task_bytes
 
@@ -75,26 +76,23 @@ class ChunkReader(DataSourceReader):
         or several small ones. What is planned grows with the number of tasks and
         files, not with the number of chunks.
         """
-        filesystem, path, prefix = open_filesystem(self.root)
-        info = filesystem.get_file_info(path)
-        if info.type == pafs.FileType.NotFound:
-            raise FileNotFoundError(self.root)
-        found = [info] if info.type == pafs.FileType.File else filesystem.get_file_info(
-            pafs.FileSelector(path, recursive=True)
+        found = (
+            row
+            for part in self.files.partitions()
+            for batch in self.files.read(part)
+            for row in zip(batch.column("path").to_pylist(), batch.column("size_bytes").to_pylist(), strict=True)
         )
         per_task = max(1, self.task_bytes // self.chunk_bytes)
         parts, open_part, filled = [], [], 0
-        for entry in found:
-            if entry.type != pafs.FileType.File:
-                continue
-            chunks = max(1, -(-entry.size // self.chunk_bytes))
+        for path, size in found:
+            chunks = max(1, -(-size // self.chunk_bytes))
             for first in range(0, chunks, per_task):
                 end = min(first + per_task, chunks)
-                length = min(end * self.chunk_bytes, entry.size) - first * self.chunk_bytes
+                length = min(end * self.chunk_bytes, size) - first * self.chunk_bytes
                 if open_part and filled + length > self.task_bytes:
                     parts.append(Spans(tuple(open_part)))
                     open_part, filled = [], 0
-                open_part.append((prefix + entry.path, entry.size, first, end))
+                open_part.append((path, size, first, end))
                 filled += length
         if open_part or not parts:
             parts.append(Spans(tuple(open_part)))
@@ -115,12 +113,21 @@ class ChunkReader(DataSourceReader):
             yield _batch(rows)
 
 
+class PushingChunkReader(ChunkReader):
+    """One that takes filters on ``path`` into the listing; needs ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        on_path = [f for f in filters if getattr(f, "attribute", None) == ("path",)]
+        self.files.conditions, left = catalogue.split_filters(on_path)
+        return [f for f in filters if not any(f is p for p in on_path)] + left
+
+
 class ByteChunks(DataSource):
     """``spark.read.format("bytechunks").option("chunkBytes", n).load(path)``.
 
     For a file or a folder whose listing is small, as the sizes of all files are planned
     with; ``scan_chunks`` lists in tasks and suits trees of any size. Options: ``chunkBytes`` (default 100 MiB); ``taskBytes``, how much one task
-    reads when files are small (default 128 MiB).
+    reads when files are small (default 128 MiB); ``pushdown``, true to judge filters on ``path`` while listing.
     """
 
     @classmethod
@@ -131,7 +138,8 @@ class ByteChunks(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ChunkReader(
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingChunkReader if pushing else ChunkReader)(
             self.options["path"],
             int(self.options.get("chunkBytes", CHUNK_SIZE)),
             int(self.options.get("taskBytes", 128 * 1024 * 1024)),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, REPO, SMALL_TIER_LIMIT
+from lograft.operators.catalogue import stream_log_files
 from lograft.operators.chunks import chunk_manifest, split_content
 from lograft.operators.dedup import KEY, dedicated_to_write, dedup_uploads, uploads_to_write
 from lograft.operators.planning import plan_uploads
@@ -98,6 +100,49 @@ def stream_archive(
     )
 
 
+def stream_files(
+    spark: SparkSession,
+    root: str,
+    archive: str,
+    checkpoint: str,
+    owner: str,
+    public: bool = False,
+    suffixes: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    lateness_seconds: float = 3600,
+    repositories: DataFrame | None = None,
+    trigger: dict | None = None,
+    **limits: int,
+) -> StreamingQuery:
+    """Archive every file that turns up below ``root``, once, under its own path; each file is a request of its own.
+
+    Files are listed and read by tasks. The stream may bring a file again; the archive's listing is what tells
+    whether it is there. As for any request, a file that has changed under its path is not archived again.
+    """
+    files = stream_log_files(spark, root, suffixes, exclude, lateness_seconds)
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Listed once, and numbered: the numbers stay as they are stored.
+        found = batch.select("path", "size_bytes", "modified_at", F.monotonically_increasing_id().alias("request_id"))
+        found = stored(found, "files")
+        requests = found.select(
+            "request_id",
+            F.lit(owner).alias("owner"),
+            "path",
+            F.col("modified_at").alias("requested_at"),
+            F.lit(public).alias("public"),
+        )
+        archive_batch(requests, found.select("path", "size_bytes"), archive, writer, batch_id, repositories, **limits)
+
+    return (
+        files.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def dedup_within_watermark(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """For planned request streams without an archive: first per folder within ``delay``.
 
