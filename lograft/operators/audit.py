@@ -13,7 +13,7 @@ from lograft.sources.bytechunks import with_range_content
 from lograft.sources.catalogue import plain_path, plain_root, qualified
 
 # What Spark's file sources skip: names that start with "." or "_", and copies in progress.
-_HIDDEN = r"(?:\A|/)[._]|\._COPYING_\z"
+HIDDEN = r"(?:\A|/)[._]|\._COPYING_\z"
 _REPORT = ("path", "relative_path", "size_bytes")
 
 
@@ -37,7 +37,7 @@ def count_lines(
     """
     root = qualified(spark, root)
     catalogue = scan_log_files(spark, root, suffixes, exclude)
-    hidden = F.col("relative_path").rlike(_HIDDEN)
+    hidden = F.col("relative_path").rlike(HIDDEN)
     return _visible_lines(spark, root, suffixes, exclude, catalogue.where(~hidden)).unionByName(
         _hidden_lines(catalogue.where(hidden))
     )

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lograft.functions.text import LINE_END, LINE_START, drop_first, first_non_empty, js_trim
 
-_SECTION_SPLIT = rf"{LINE_START}(?=## \d)"
+# The line end before a heading, on a body with one more in front: far cheaper than a place between two characters.
+_SECTION_SPLIT = rf"[{LINE_END}](?=## \d)"
 _SECTION_HEAD = r"\A## (\d\S*)"
 _ENTRY_HEAD = rf"{LINE_START}## "
-# In a version taken as a pattern: what could make it none, and a pattern that matches nothing.
-_NO_PATTERN = r"[()\[\]{}\\]|[*+?][*+?]"
+# A version with one of these is a pattern of its own, or none.
+_ODD = r"[()\[\]{}\\*+?|^$]"
+# What is a pattern to one engine but not to another, or means something else there.
+_UNCOMMON = re.compile(r"\(\?(?!:|=|!|<=|<!)|[*+?}][*+]|\[[^\]]*(?:\[|&&)|\{(?!\d+(?:,\d*)?\})")
 _NEVER = "(?!)"
 _TITLE = rf"{LINE_START}# [^{LINE_END}]+"
 
@@ -18,7 +25,8 @@ _TITLE = rf"{LINE_START}# [^{LINE_END}]+"
 def explode_changelog(changelogs: DataFrame) -> DataFrame:
     """One row per version section: position, version and trimmed body; narrow."""
     keep = [c for c in changelogs.columns if c != "body"]
-    sections = F.filter(F.split("body", _SECTION_SPLIT, -1), lambda part: part.rlike(_SECTION_HEAD))
+    parts = F.split(F.concat(F.lit("\n"), "body"), _SECTION_SPLIT, -1)
+    sections = F.filter(parts, lambda part: part.rlike(_SECTION_HEAD))
     return (
         changelogs.select(*keep, F.posexplode(sections).alias("_at", "_part"))
         .withColumn("version", F.regexp_extract("_part", _SECTION_HEAD, 1))
@@ -31,9 +39,33 @@ def explode_changelog(changelogs: DataFrame) -> DataFrame:
     )
 
 
+def is_pattern(version: str) -> bool:
+    """Whether a version can be searched for as a pattern."""
+    if _UNCOMMON.search(version):
+        return False
+    try:
+        re.compile(version)
+    except re.error:
+        return False
+    return True
+
+
+def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        judged = [is_pattern(v) for v in batch.column("version").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("version"), pa.array(judged)], names=["version", "_pattern"])
+
+
+def _judged(versions: DataFrame) -> DataFrame:
+    """Adds ``_pattern``: each different odd version is tried once; the others are patterns."""
+    odd = versions.select("version").where(F.col("version").rlike(_ODD)).distinct()
+    odd = odd.mapInArrow(_judge, "version string, _pattern boolean")
+    return versions.join(odd, "version", "left")
+
+
 def _legacy_section(body: Column, version: Column) -> Column:
     asked = F.concat(F.lit("## "), version, F.lit(r"[\s\S]*?(?=## \d|\z)"))
-    pattern = F.when(version.rlike(_NO_PATTERN), F.lit(_NEVER)).otherwise(asked)
+    pattern = F.when(F.coalesce("_pattern", F.lit(True)), asked).otherwise(F.lit(_NEVER))
     found = F.call_function("regexp_extract", body, pattern, F.lit(0))
     return js_trim(drop_first(found, F.concat(F.lit("## "), version)))
 
@@ -44,12 +76,12 @@ def release_notes(
     """Notes for each wanted ``(key, version)``; ``Release <version>`` if there are none.
 
     ``legacy`` takes the version as a pattern that may match anywhere, so that
-    ``1.2`` also finds ``## 1.20`` when that comes first; one with brackets, backslashes
-    or a quantifier of a quantifier finds nothing. The exact form joins the
+    ``1.2`` also finds ``## 1.20`` when that comes first, and ``1.2(-rc)?`` both; one that is no pattern
+    finds nothing. The exact form joins the
     exploded sections; of repeated versions the first counts.
     """
     if legacy:
-        notes = versions.join(changelogs, key, "left").withColumn(
+        notes = _judged(versions).join(changelogs, key, "left").withColumn(
             "section", _legacy_section(F.col("body"), F.col("version"))
         )
     else:

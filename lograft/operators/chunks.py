@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lograft.constants import CHUNK_GRANULARITY, CHUNK_SIZE, LEAST_PART_DIGITS
+from lograft.functions.digests import crc_before
 from lograft.functions.naming import part_name, uploaded_name
 from lograft.functions.sizes import ceil_div
 from lograft.operators.catalogue import scan_log_files
@@ -111,15 +112,57 @@ def check_coverage(chunks: DataFrame) -> DataFrame:
     return _covered(chunks).where("not whole").drop("distinct", "whole")
 
 
+def part_digests(chunks: DataFrame) -> DataFrame:
+    """One small row per chunk: path, size_bytes, chunk_no, offset, its true length and the CRC-32 of its bytes; narrow."""
+    return chunks.select(
+        "path",
+        "size_bytes",
+        "chunk_no",
+        "offset",
+        F.octet_length("content").cast("bigint").alias("length"),
+        F.crc32("content").alias("crc"),
+    )
+
+
+def file_digests(parts: DataFrame) -> DataFrame:
+    """One row per file: number of parts, bytes, whether they are whole, and the CRC-32 of the file they make.
+
+    Takes :func:`part_digests`. The CRC of the file is put together from those of its parts, combined before the
+    shuffle, so no task sees more than a number of each part; without meaning if the parts are not whole.
+    """
+    behind = F.greatest(F.col("size_bytes") - F.col("offset") - F.col("length"), F.lit(0))
+    found = _covered(parts, F.bit_xor(crc_before(F.col("crc"), behind)).alias("crc"))
+    return found.select("path", "n", F.col("covered").alias("bytes"), F.col("whole"), "crc")
+
+
 def verify_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """One row per file with chunks: their number and bytes, whether they are whole, and the same as the file.
 
-    ``chunks`` hold what was stored, ``files`` the bodies (``path``, ``content``). The
-    hash of every chunk is set against that of its range, so no file is put together in a task.
+    ``chunks`` hold what was stored, ``files`` the bodies (``path``, ``content``). Only digests
+    meet: that of each file, and the one that its chunks add up to.
+    """
+    own = files.select("path", F.crc32("content").alias("_crc"), F.octet_length("content").alias("_size"))
+    found = file_digests(part_digests(chunks)).join(own, "path")
+    same = F.col("whole") & (F.col("crc") == F.col("_crc")) & (F.col("bytes") == F.col("_size"))
+    return found.select("path", "n", "bytes", "whole", same.alias("same"))
+
+
+def wrong_parts(stored: DataFrame, expected: DataFrame) -> DataFrame:
+    """Parts that are not what they should be, one row each: path, chunk_no and ``lost``, ``extra``, ``swapped`` or ``changed``.
+
+    Both sides are :func:`part_digests`, the expected ones kept from when the file was cut. A part is swapped if it
+    is what another part of its file should be. Parts of one number are compared with each of that number.
     """
-    own = files.select("path", F.col("content").alias("_original"))
-    measured = chunks.withColumn("length", F.octet_length("content").cast("bigint")).join(own, "path")
-    equal = F.sha2("content", 256) == F.sha2(_range_of("_original"), 256)
-    checked = measured.select("path", "size_bytes", "chunk_no", "offset", "length", equal.alias("_equal"))
-    found = _covered(checked, F.every("_equal").alias("same"))
-    return found.select("path", "n", F.col("covered").alias("bytes"), "whole", "same")
+    keys = ["path", "chunk_no"]
+    have = stored.select(*keys, F.col("length").alias("_length"), F.col("crc").alias("_crc"), F.lit(True).alias("_have"))
+    want = expected.select(*keys, "length", "crc", F.lit(True).alias("_want"))
+    differ = ~(F.col("crc").eqNullSafe(F.col("_crc")) & F.col("length").eqNullSafe(F.col("_length")))
+    both = have.join(want, keys, "full").where(differ)
+    others = expected.select("path", F.col("length").alias("_length"), F.col("crc").alias("_crc"), F.lit(True).alias("_other"))
+    state = (
+        F.when(F.col("_have").isNull(), "lost")
+        .when(F.col("_want").isNull(), "extra")
+        .when(F.col("_other"), "swapped")
+        .otherwise("changed")
+    )
+    return both.join(others.distinct(), ["path", "_length", "_crc"], "left").select(*keys, state.alias("state"))

@@ -18,6 +18,8 @@ CHUNK_SIZE = 8192
 GRANULARITY = 1
 PACKAGE = "sample-pkg"
 HOT_DOC = 11
+# Small, so that files have many parts.
+DIGEST_CHUNK = 100
 LIMITS = {"gist_limit": GIST_LIMIT, "chunk_size": CHUNK_SIZE}
 
 
@@ -223,6 +225,24 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captured_line() -> Column:
+    """What a command printed behind each document: failures and URLs, or nothing."""
+    doc = F.col("doc_id")
+    return _case(
+        doc % 8,
+        {
+            0: _cat("fatal: No Space Left on device ", doc, " "),
+            1: _cat("  https://github.com/nation_0/repo-", doc % 500, " \r"),
+            2: _cat("\tGraphQL: Name already exists on this account ", doc),
+            3: _cat("gh: Not Found (HTTP 404) ", doc),
+            4: _cat("see https://github.com/nation_0/repo-", doc, " for more"),
+            5: _cat("fatal: couldn't find remote ref b", doc),
+            6: _cat(" https://gist.github.com/user/", doc % 50),
+        },
+        "",
+    )
+
+
 def changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     bump = _case(doc % 3, {0: "patch", 1: "minor"}, "major")

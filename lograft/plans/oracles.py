@@ -272,6 +272,25 @@ OUTCOME = f"""SELECT *, CASE WHEN dry_mode THEN 'dry' WHEN dup THEN 'dup' WHEN r
         WHEN size_bytes <= {GIST_LIMIT} THEN 'repo full small' ELSE 'repo full' END
     ELSE 'repo failed' END AS what FROM ({STATE})"""
 
+# CRC-32 of the strings in a table asked(body), byte by byte with the usual table of 256 remainders.
+CRC = """remainder AS (
+    SELECT list(c ORDER BY b) AS steps FROM (SELECT b, list_reduce(range(8),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) t(b))
+), crcs AS (
+    SELECT body, xor(list_reduce(list_transform(range(length(digits) // 2),
+        lambda i: CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+    FROM (SELECT DISTINCT body, hex(encode(body)) AS digits FROM asked), remainder
+)"""
+
+CAPTURED = """(SELECT doc_id, doc_id // 100 AS part, doc_id % 8 AS v, CASE doc_id % 8
+    WHEN 0 THEN 'fatal: No Space Left on device ' || doc_id
+    WHEN 2 THEN 'GraphQL: Name already exists on this account ' || doc_id
+    WHEN 3 THEN 'gh: Not Found (HTTP 404) ' || doc_id
+    WHEN 5 THEN 'fatal: couldn''t find remote ref b' || doc_id END AS failure,
+    CASE doc_id % 8 WHEN 1 THEN 'https://github.com/nation_0/repo-' || (doc_id % 500)
+        WHEN 6 THEN 'https://gist.github.com/user/' || (doc_id % 50) END AS url FROM documents)"""
+
 _QUERIES = {
     "o01_scan_log_files": """SELECT doc_id // 100 AS part, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS size_bytes
         FROM documents GROUP BY part""",
@@ -341,6 +360,12 @@ _QUERIES = {
             FROM (SELECT part, hex(encode(body)) AS digits, strlen(body) AS size
                 FROM (SELECT doc_id // 100 AS part, string_agg(coalesce(text, '') || {NL}, '' ORDER BY doc_id) AS body
                     FROM documents GROUP BY part)))""",
+    "o27_stream_files": f"""SELECT part, chunk_no, least(65536, size - chunk_no * 65536) AS length,
+        sha256(substr(digits, chunk_no * 131072 + 1, 131072)) AS sha
+        FROM (SELECT *, unnest(range((size + 65535) // 65536)) AS chunk_no
+            FROM (SELECT part, hex(encode(body)) AS digits, strlen(body) AS size
+                FROM (SELECT doc_id // 100 AS part, string_agg(coalesce(text, '') || {NL}, '' ORDER BY doc_id) AS body
+                    FROM documents GROUP BY part)))""",
     "o11_chunk_manifest": f"""SELECT path, size_bytes, no AS chunk_no,
         {CHUNK_OFFSET} AS "offset", {CHUNK_LENGTH} AS length, {CHUNK_NAME} AS chunk_name FROM ({CHUNKS.format('files')})""",
     "o11_chunk_overflow": f"""SELECT path, size_bytes, parts AS n_parts, size_bytes AS total_bytes,
@@ -353,6 +378,11 @@ _QUERIES = {
         {CHUNK_LENGTH} AS length, sha256({CHUNK_BODY}) AS sha FROM ({CHUNKS.format('files')})""",
     "o11_check_coverage": f"""SELECT path, CASE WHEN size_bytes > {CHUNK_SIZE} THEN (size_bytes + {CHUNK_SIZE - 1}) // {CHUNK_SIZE}
         ELSE 1 END AS n, size_bytes AS bytes, true AS whole, true AS same FROM files""",
+    "o11_file_digests": f"""SELECT path, greatest(1, (size_bytes + 99) // 100) AS n, size_bytes AS bytes, true AS whole, crc
+        FROM (WITH asked AS (SELECT text AS body FROM documents), {CRC} SELECT doc_id, crc FROM documents JOIN crcs ON text = body)
+        JOIN files USING (doc_id)""",
+    "o11_wrong_parts": f"""SELECT path, no AS chunk_no, CASE (no + size_bytes) % 5 WHEN 0 THEN 'lost' ELSE 'changed' END AS state
+        FROM ({CHUNKS.format('files')}) WHERE (no + size_bytes) % 5 < 2""",
     "o12_write_archive": archived(
         f"""SELECT p.owner, p.repository_name, p.repository_path, p.path, p.size_bytes FROM dedup p
             JOIN targets USING (owner, repository_name)
@@ -419,6 +449,10 @@ _QUERIES = {
         count(*) FILTER (WHERE no_space) AS n_no_space, count(*) FILTER (WHERE name_conflict) AS n_name_conflict,
         count(*) FILTER (WHERE not_found) AS n_not_found, count(*) FILTER (WHERE missing_ref) AS n_missing_ref
         FROM tries GROUP BY stage""",
+    "o22_scan_failures": f"""SELECT part, bool_or(v = 0) AS no_space, bool_or(v = 2) AS name_conflict,
+        bool_or(v = 3) AS not_found, bool_or(v = 5) AS missing_ref, count(failure) AS n_failures,
+        arg_min(failure, doc_id) FILTER (WHERE failure IS NOT NULL) AS first_failure,
+        arg_min(url, doc_id) FILTER (WHERE v = 1) AS repository_url FROM {CAPTURED} GROUP BY part""",
     "o23_resolve_outcomes": f"""SELECT request_id,
         CASE WHEN what IN ('dry', 'dup') THEN type WHEN what = 'gist' THEN 'gist'
              WHEN what IN ('repo', 'fallback') THEN 'repo' END AS type,
@@ -462,6 +496,8 @@ _QUERIES = {
     "o24_extract_urls": """SELECT attempt_id, repository_url, gist_url, string_split(gist_url, '/')[-1] AS gist_id FROM tries""",
     "o24_url_targets": """SELECT stage AS kind, coalesce(repository_url, gist_url) AS url, count(*) AS uses FROM tries
         WHERE coalesce(repository_url, gist_url) IS NOT NULL GROUP BY ALL""",
+    "o24_scan_url_targets": f"""SELECT CASE v WHEN 1 THEN 'repo' ELSE 'gist' END AS kind, url, count(*) AS uses
+        FROM {CAPTURED} WHERE url IS NOT NULL GROUP BY ALL""",
     "o25_explode_changelog": "SELECT doc_id, position::BIGINT AS position, version, section FROM sections",
     "o25_release_notes": """SELECT l.doc_id, w.version, coalesce(nullif(section, ''), 'Release ' || w.version) AS notes
         FROM logs l JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '9.' || doc_id ELSE '1.' || doc_id || '.1' END AS version

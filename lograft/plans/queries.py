@@ -17,6 +17,7 @@ from lograft.operators import (
     failures,
     folders,
     listings,
+    log_scan,
     names,
     notes,
     planning,
@@ -28,7 +29,7 @@ from lograft.operators import (
 from lograft.plans import bindings as b
 from lograft.session import scratch_path, stored
 from lograft.sources.archive import read_archive, write_archive
-from lograft.streaming.archive_stream import stream_archive
+from lograft.streaming.archive_stream import stream_archive, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 CHUNKING = {"chunk_size": b.CHUNK_SIZE, "granularity": b.GRANULARITY}
@@ -56,36 +57,36 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.plan_uploads(b.requests(spark, sf_dir), b.log_files(spark, sf_dir), **b.LIMITS)
 
 
-_PLANS: dict[tuple[str, str], DataFrame] = {}
-
-
 def _stored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan as a table of its own, for queries that read it more than once; written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PLANS:
-        _PLANS[key] = stored(_plan(spark, sf_dir).drop("upload_description", "file_name"), "plan")
-    return _PLANS[key]
+    """The plan as a table of its own, for queries that read it more than once."""
+    return stored(_plan(spark, sf_dir).drop("upload_description", "file_name"), "plan")
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.explode_listing(b.archive_listings(spark, sf_dir), "listing", "folder")
 
 
-_TEXT_FILES: dict[tuple[str, str], str] = {}
+def _write_text_files(docs: DataFrame, root: str, body: Column | str = "text") -> None:
+    """Documents as text files of 100 each, in order."""
+    body = F.col(body) if isinstance(body, str) else body
+    numbered = docs.select("doc_id", F.expr(f"doc_id div {DOCS_PER_FILE}").alias("part"), body.alias("text"))
+    dealt = numbered.repartition("part").sortWithinPartitions("part", "doc_id")
+    dealt.select("part", "text").write.mode("append").partitionBy("part").text(root)
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as text files of 100 each, in order, in the shared scratch folder; once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TEXT_FILES:
-        root = scratch_path(spark, "text")
-        docs = b.table(spark, sf_dir, "documents").select(
-            "doc_id", F.expr(f"doc_id div {DOCS_PER_FILE}").alias("part"), "text"
-        )
-        dealt = docs.repartition("part").sortWithinPartitions("part", "doc_id")
-        dealt.select("part", "text").write.partitionBy("part").text(root)
-        _TEXT_FILES[key] = root
-    return _TEXT_FILES[key]
+    """All documents as text files in the shared scratch folder."""
+    root = scratch_path(spark, "text")
+    _write_text_files(b.table(spark, sf_dir, "documents"), root)
+    return root
+
+
+def _captured_files(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as text files, each followed by a line of captured output."""
+    root = scratch_path(spark, "captured")
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), b.captured_line())
+    _write_text_files(b.table(spark, sf_dir, "documents"), root, body)
+    return root
 
 
 def _part() -> Column:
@@ -208,6 +209,22 @@ def check_coverage(spark, sf_dir):
     return chunks.verify_chunks(stored(chunks.split_content(files, **CHUNKING), "chunks"), files)
 
 
+def file_digests(spark, sf_dir):
+    """The CRC-32 of every file from those of its chunks."""
+    parts = chunks.part_digests(chunks.split_content(b.log_files(spark, sf_dir), b.DIGEST_CHUNK, b.GRANULARITY))
+    return chunks.file_digests(parts)
+
+
+def wrong_parts(spark, sf_dir):
+    """Chunks of which some are lost and some changed, against what was cut."""
+    cut = chunks.split_content(b.log_files(spark, sf_dir), **CHUNKING)
+    turn = (F.col("chunk_no") + F.col("size_bytes")) % 5
+    kept = cut.where(turn != 0).withColumn(
+        "content", F.when(turn == 1, F.concat("content", F.lit("!").cast("binary"))).otherwise(F.col("content"))
+    )
+    return chunks.wrong_parts(chunks.part_digests(kept), chunks.part_digests(cut))
+
+
 def _archived(spark: SparkSession, root: str) -> DataFrame:
     return read_archive(spark, root).select(
         "owner",
@@ -322,6 +339,15 @@ def resolve_outcomes(spark, sf_dir):
     return failures.resolve_outcomes(marked, b.attempts(spark, sf_dir), b.GIST_LIMIT, **CHUNKING)
 
 
+def scan_failures(spark, sf_dir):
+    found = log_scan.scan_failures(spark, _captured_files(spark, sf_dir), (".txt",))
+    return found.select(_part(), *failures.LABELS, "n_failures", "first_failure", "repository_url")
+
+
+def scan_url_targets(spark, sf_dir):
+    return log_scan.scan_url_targets(spark, _captured_files(spark, sf_dir), (".txt",))
+
+
 def extract_urls(spark, sf_dir):
     return failures.extract_urls(b.attempts(spark, sf_dir)).select(
         "attempt_id", "repository_url", "gist_url", "gist_id"
@@ -377,6 +403,25 @@ def stream_archive_query(spark, sf_dir):
     return _archived(spark, root)
 
 
+def stream_files_query(spark, sf_dir):
+    """Text files turn up in two goes and are archived; their chunks are read back."""
+    docs = b.table(spark, sf_dir, "documents")
+    inbox, root, checkpoint = (scratch_path(spark, label) for label in ("inbox", "archive", "stream"))
+    for go in (0, 1):
+        _write_text_files(docs.where((F.expr(f"doc_id div {DOCS_PER_FILE}") + F.lit(go)) % 2 == 0), inbox)
+        stream_files(
+            spark, inbox, root, checkpoint, "nation_0", suffixes=(".txt",), exclude=("_temporary",),
+            gist_limit=0, chunk_size=RANGE_BYTES, granularity=1,
+        ).awaitTermination()
+    number = F.regexp_extract("chunk_name", r"\.part-(\d+)\.log\.txt", 1)
+    return read_archive(spark, root).select(
+        F.regexp_extract("repository_path", r"part=(\d+)-", 1).cast("bigint").alias("part"),
+        F.when(number == "", 0).otherwise(number.try_cast("bigint")).cast("bigint").alias("chunk_no"),
+        F.col("size_bytes").alias("length"),
+        F.sha2(F.hex("content"), 256).alias("sha"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "o01_scan_log_files": scan_log_files,
     "o01_missing_inputs": missing_inputs,
@@ -397,6 +442,8 @@ QUERIES: dict[str, Query] = {
     "o11_chunk_overflow": chunk_overflow,
     "o11_split_content": split_content,
     "o11_check_coverage": check_coverage,
+    "o11_file_digests": file_digests,
+    "o11_wrong_parts": wrong_parts,
     "o12_write_archive": archive_write,
     "o13_generate_log_corpus": generate_log_corpus,
     "o13_corpus_summary": corpus_summary,
@@ -415,13 +462,16 @@ QUERIES: dict[str, Query] = {
     "o21_outcome_summary": outcome_summary,
     "o22_classify_failures": classify_failures,
     "o22_failure_counts": failure_counts,
+    "o22_scan_failures": scan_failures,
     "o23_resolve_outcomes": resolve_outcomes,
     "o24_extract_urls": extract_urls,
     "o24_url_targets": url_targets,
+    "o24_scan_url_targets": scan_url_targets,
     "o25_explode_changelog": explode_changelog,
     "o25_release_notes": release_notes,
     "o25_release_notes_legacy": release_notes_legacy,
     "o25_prepend_entries": prepend_entries,
     "o26_clean_release_notes": clean_release_notes,
     "o27_stream_archive": stream_archive_query,
+    "o27_stream_files": stream_files_query,
 }
