@@ -31,19 +31,24 @@ LEAST_LEAD_BYTES = 8
 def train_dictionaries(docs: DataFrame, most_docs: int = DICTIONARY_DOCS) -> dict[str, bytes]:
     """Raw-content dictionaries of every non-NULL ``lang``, from documents that are not held out.
 
-    Of each language the documents with the smallest hash of id count, ``most_docs`` of them,
-    with the first 500 characters each, in lower case: a bounded sample, about 50 kB a language. Ids are
-    ranked without their texts and cut before the shuffle; the ranking reads all rows.
+    Of each language the texts with a letter and the smallest hash of id count, ``most_docs`` of them,
+    each with the ``DICTIONARY_CHARS`` characters from a hashed place in it on, in lower case: a bounded
+    sample, about 50 kB a language, that no common head of all texts fills. Equal rows count once. Rows are
+    ranked without their texts and cut before the shuffle; the ranking reads all of them.
     """
-    learnt = docs.where(F.col("lang").isNotNull() & (document_remainder(F.col("doc_id"), 5) != 0))
-    by_hash = Window.partitionBy("lang").orderBy("__hash", "doc_id")
-    ranked = learnt.select("lang", "doc_id", unit_hash(F.lit("lang"), F.col("doc_id")).alias("__hash"))
+    learnt = docs.where(
+        F.col("lang").isNotNull() & (document_remainder(F.col("doc_id"), 5) != 0) & F.col("text").rlike(r"\p{L}")
+    ).select("lang", "doc_id", "text", F.xxhash64("text").alias("__text"))
+    by_hash = Window.partitionBy("lang").orderBy("__hash", "doc_id", "__text")
+    ranked = learnt.select("lang", "doc_id", "__text", unit_hash(F.lit("lang"), F.col("doc_id")).alias("__hash")).distinct()
     chosen = ranked.withColumn("__rank", F.row_number().over(by_hash)).where(F.col("__rank") <= most_docs)
-    chosen = chosen.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"), "__rank")
+    chosen = chosen.select("lang", "doc_id", "__text", "__rank")
+    room = F.greatest(F.length("text") - DICTIONARY_CHARS, F.lit(0))
+    start = F.floor(unit_hash(F.lit("place"), F.col("doc_id")) * (room + 1)).cast("int") + 1
     texts = (
-        learnt.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-        .select("lang", "__rank", F.lower(F.substring("text", 1, DICTIONARY_CHARS)).alias("text"))
-        .where("text <> ''")
+        learnt.join(F.broadcast(chosen), ["lang", "doc_id", "__text"])
+        .select("lang", "__rank", F.lower(F.substring("text", start, F.lit(DICTIONARY_CHARS))).alias("text"))
+        .distinct()
         .collect()
     )
     found: dict[str, list[tuple[int, str]]] = {}

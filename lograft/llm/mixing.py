@@ -73,11 +73,12 @@ def mix(
     the five names are replaced. ``size`` is the number of words. A source's
     target (:func:`source_targets`) holds so many complete epochs of it, which come first; the
     rest is a sample without replacement: documents in the order of
-    ``-ln(u) / quality``, with u from the id, as long as the middle of the
+    ``-ln(u) / quality``, with u from the id (from the text where it is missing), as long as the middle of the
     document lies within the rest. So a source is off its target by half a document
     at most, ``taken = copies * size``, and reruns agree. Documents are taken whole. NULL texts and
     texts without words have size 0 and take nothing; a NULL source is a source.
-    Repeated rows count each; such with equal id and size get equal copies.
+    Repeated rows count each; such with equal id and text get equal copies, so a source whose rest falls among these
+    is off by as many of them as there are.
 
     Nothing sorts a whole source: its keys are cut into ranges of a few thousand
     rows, sizes are summed by range before the shuffle, and only the range in
@@ -88,11 +89,13 @@ def mix(
     keyed = docs.withColumns(
         {
             "size": n_words(docs["text"]),
-            "__key": -F.ln(unit_hash(F.lit(seed), docs["doc_id"])) / weight,
+            # Rows without an id are told apart by their texts.
+            "__key": -F.ln(unit_hash(F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.md5(docs["text"])))) / weight,
             "__weight": weight,
+            "__text": F.xxhash64(docs["text"]),
         }
     )
-    slim = stored(keyed.select("doc_id", "source", "size", "__key", "__weight"), "mix")
+    slim = stored(keyed.select("doc_id", "source", "size", "__key", "__weight", "__text"), "mix")
     sums = slim.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("__rows"), F.avg("__weight").alias("__mean")
     )
@@ -130,13 +133,13 @@ def mix(
         crossing.withColumnRenamed("__source", "__at"),
         F.col("__source").eqNullSafe(F.col("__at")) & (F.col("__range") == F.col("__cross")),
     )
-    order = Window.partitionBy("__at").orderBy("__key", "doc_id", "size")
+    order = Window.partitionBy("__at").orderBy("__key", "doc_id", "size", "__text")
     upto_row = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     cut = (
         within.withColumn("__middle", F.col("__before") + upto_row - F.col("size") / 2)
         .where("__middle <= __rest")
         .groupBy("__at")
-        .agg(F.max(F.struct("__key", "doc_id", "size")).alias("__cut"))
+        .agg(F.max(F.struct("__key", "doc_id", "size", "__text")).alias("__cut"))
     )
     # One row a source, read back with its true size, so that Spark knows whether it may be broadcast.
     limits = stored(
@@ -148,7 +151,7 @@ def mix(
     mixed = ranged(keyed).join(limits, F.col("__source").eqNullSafe(F.col("__of")), "left")
     taken_once = (F.col("__range") < F.col("__cross")) | (
         (F.col("__range") == F.col("__cross"))
-        & F.coalesce(F.struct("__key", "doc_id", "size") <= F.col("__cut"), F.lit(False))
+        & F.coalesce(F.struct("__key", "doc_id", "size", "__text") <= F.col("__cut"), F.lit(False))
     )
     copies = F.when(
         F.col("source_size") > 0, F.col("__epochs") + F.coalesce(taken_once, F.lit(False)).cast("long")

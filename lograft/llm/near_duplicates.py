@@ -504,12 +504,18 @@ def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of each class the one with the smallest id stays.
+    """The documents without near duplicates: of each class one row stays.
 
-    All columns are kept. Rows with a NULL id are copies of no other id's text here: each text stays once.
+    That is the one with the smallest id (a missing one comes last), of equal ids the one whose text has the smallest
+    MD5. Rows are judged by id and text, so ids may be missing or stand for several texts. Repeated rows stay
+    once. Texts without words are no copies of each other; of those each id and text stays once. All columns are kept.
     """
-    classes = near_duplicate_classes(docs, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     columns = docs.columns
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi").select(*columns)
+    key = F.struct(
+        docs["doc_id"].isNull().alias("missing"), docs["doc_id"].alias("id"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("digest")
+    )
+    keyed = docs.select(*columns, key.alias("__key"))
+    classes = near_duplicate_classes(keyed.select(F.col("__key").alias("doc_id"), "text"), **options)
+    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    found = keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(*columns)
     return found.dropDuplicates(["doc_id", "text"])

@@ -46,7 +46,7 @@ WITH RECURSIVE doc AS (
          1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE
            * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>!]+', '', 'g')))
            / (length(coalesce(text, '')) + 1)) AS quality,
-         (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
+         (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
            / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), src AS (

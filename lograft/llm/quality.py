@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
 
     ``labels``: doc_id and quality (0 or 1); rows with a NULL in either are left out.
     The chosen ids, bounded by ``rows``, are broadcast to the documents; only the
-    features of the matches, bounded too unless ids repeat, come to the driver.
+    features of the matches come to the driver: equal ones once, and where ids repeat twice ``rows`` at most, chosen by hash.
     """
     known = labels.select("doc_id", F.col("quality").alias("__label")).dropna()
     chosen = known.orderBy(unit_hash(F.lit("quality"), F.col("doc_id")), "doc_id", "__label").limit(rows)
@@ -246,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "label"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>, label int"
-    found = matches.mapInArrow(run, schema).orderBy("doc_id", "label", "x").limit(2 * rows).toPandas()
+    found = matches.mapInArrow(run, schema).distinct()
+    found = found.orderBy(F.xxhash64("doc_id", "label", "x"), "doc_id", "label", "x").limit(2 * rows).toPandas()
+    found = found.iloc[sorted(range(len(found)), key=lambda n: (found.doc_id[n], found.label[n], list(found.x[n])))]
     if not len(found):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(found["x"].to_list()), found["label"].to_numpy(float))

@@ -228,3 +228,37 @@ def test_resampling_of_odd_documents(spark, odd_documents, no_documents):
     assert reweighting.resample(odd_documents, no_documents).count() == 11
     same = spark.createDataFrame([(5, PROSE * 3)] * 500, "doc_id long, text string")
     assert sorted(r.rank for r in reweighting.resample(same, no_documents, share=50).where("rank > 0").collect()) == list(range(1, 251))
+
+
+def test_near_copies_go_by_row_not_by_id(spark):
+    from lograft.llm import near_duplicates as nd
+
+    a, b, other = (" ".join(f"{p}{n}" for n in range(60)) for p in "abc")
+    def kept(*rows):
+        return sorted(map(tuple, nd.keep_one(spark.createDataFrame(list(rows), "doc_id long, text string")).collect()), key=str)
+    assert kept((1, a), (None, a), (None, other)) == [(1, a), (None, other)]
+    assert kept((1, a), (5, b), (5, a), (9, b), (5, b)) == [(1, a), (5, b)]
+    assert kept((3, a + " more"), (2, a), (2, other), (4, None), (4, ""), (4, None)) == sorted(
+        [(2, a), (2, other), (4, None), (4, "")], key=str
+    )
+
+
+def test_dictionaries_of_repeated_rows_and_common_heads(spark):
+    from lograft.llm import language
+
+    head = "lizenz kopf zeile " * 60
+    rows = [(7, "gleicher text immer wieder " * 40, "de")] * 3000
+    rows += [(100 + n, head + f"wort{n} satz{n} " * 200, "de") for n in range(50)] + [(900 + n, "1 2 3", "fr") for n in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.train_dictionaries(docs)
+    assert set(found) == {"de"} and len(found["de"]) <= language.DICTIONARY_DOCS * (language.DICTIONARY_CHARS + 1)
+    assert found["de"].count(b"lizenz") < 0.6 * found["de"].count(b"satz")
+
+
+def test_mix_of_rows_without_ids_comes_near_its_target(spark):
+    from lograft.llm import mixing
+
+    rows = [(None, " ".join(f"w{n}x{i}" for i in range(100)), "a") for n in range(1000)] + [(n, "wort " * 100, "b") for n in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 100
