@@ -168,15 +168,18 @@ def pack(
     packed as often as they stand; NULL ids are kept. An empty table gives an empty result.
 
     Texts stay in the tasks that read them; small rows for the pieces are written once
-    and dealt out by hash to blocks of a few thousand, so no source or document makes
-    a block large. Each block is packed by itself, largest pieces first; what
-    blocks lose against one pack over all is at most a partly filled window each or so.
-    Ties are broken by id and start, so a task that runs again gives equal sequences.
+    and dealt out to blocks of a few thousand by a hash of the piece and its row number there,
+    so no source, document or number of equal rows makes a block large. Each block is packed by
+    itself, largest pieces first; what blocks lose against one pack over all is at most a partly
+    filled window each or so. Ties are broken by id and start, so a task that runs again gives
+    equal sequences, and so does a rerun that reads its input in equal partitions.
     """
     pieces = stored(cut_pieces(docs, json_path, ranks_path, window, end_id), "pieces")
     blocks = max(1, -(-pieces.count() // pieces_per_block))
+    # Equal pieces are told apart by where they stand in the written table, which no lost executor changes.
+    row = F.xxhash64("doc_id", "start", "ids_crc32", F.substring("_metadata.file_name", 1, 10), "_metadata.row_index")
     dealt = (
-        pieces.withColumn("__block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+        pieces.withColumn("__block", F.pmod(row, F.lit(blocks)))
         # Several blocks a task, as many as the session's shuffle settings give: millions of blocks are not millions of tasks.
         .repartition("__block")
         .sortWithinPartitions("__block", F.desc("length"), "doc_id", "start", "ids_crc32")
