@@ -181,9 +181,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         .unionByName(several.agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")))
     )
     # One row a bucket, so as many at most as there are buckets.
-    first = keys.groupBy("bucket").agg(F.min(F.struct("place", "digest")).alias("key")).orderBy("bucket").collect()
-    guests = [(r.bucket, r.key.place, r.key.digest, first[n - 1].bucket) for n, r in enumerate(first)]
-    guests = spark.createDataFrame(guests, "bucket int, place bigint, digest string, before int")
+    first = keys.groupBy("bucket").agg(F.min(F.struct("place", "digest")).alias("key"))
+    before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))
+    guests = first.select("bucket", "key.place", "key.digest", before.alias("before"))
     stay = F.struct("bucket", F.lit(False).alias("guest"))
     visit = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
     dealt = rows.join(F.broadcast(guests), by, "left").withColumn(
