@@ -4,15 +4,18 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lograft.llm import language, mixing, near_duplicates as nd, neighbours, quality, sharding
 from lograft.llm.queries import QUERIES
 
 from .conftest import SF_DIR
+from .test_text_operators import check_packing
 
 
 def test_lookup_table():
@@ -273,6 +276,10 @@ def test_pipeline(spark):
     taken = {r.doc_id: r.copies for r in mixing.mix(one).collect()}
     assert Counter(r.doc_id for r in mixed.collect()) == {d: n for d, n in taken.items() if n}
     packed = corpus_pipeline.packing_stage(spark, mixed, sf)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [1] for r in mixed.collect()}
+    by_doc, _ = check_packing(packed.collect(), ids)
+    assert by_doc == {d: n * len(ids[d]) for d, n in taken.items() if n}
     sizes = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert max(r.n for r in sizes) <= 2048 and sum(r.n for r in sizes) / len(sizes) > 0.98 * 2048
 

@@ -1,5 +1,7 @@
 """Token counts, packing, quality, language and rules, against brute force on small tables."""
 
+import bisect
+import math
 import zlib
 from collections import Counter
 
@@ -8,11 +10,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lograft.llm import language, packing, quality, rules, tokens
-from lograft.llm.oracles import ORACLES
 from lograft.llm.queries import QUERIES
 
 from .conftest import SF_DIR
@@ -125,6 +127,16 @@ def test_packing(spark, texts, odd_documents, no_documents):
     assert packing.pack(no_documents, BYTES, RANKS).count() == 0
 
 
+def test_equal_rows_fill_many_blocks(spark):
+    rows = spark.createDataFrame([(5, "the same few words")] * 400 + [(None, None)] * 400, "doc_id long, text string")
+    packed = packing.pack(rows, BYTES, RANKS, pieces_per_block=16).collect()
+    blocks = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(packed) == 800 and len(blocks) > 40 and max(blocks.values()) < 48
+    ids = Tokenizer.from_file(BYTES).encode("the same few words", add_special_tokens=False).ids + [1]
+    by_doc, _ = check_packing(packed, {5: ids, None: [1]})
+    assert by_doc == {5: 400 * len(ids), None: 400}
+
+
 def plain_features(text):
     words = [w for w in text.replace("\n", " ").split(" ") if w]
     lines = text.split("\n")
@@ -174,6 +186,51 @@ def test_quality(spark, odd_documents, no_documents):
     assert quality.score_quality(no_documents, model).count() == 0
 
 
+def plain_score(model, x):
+    total = model.base
+    for edges, entries, value in zip(model.edges, model.tables, x, strict=True):
+        total += entries[bisect.bisect_right(list(edges), value)]
+    for a, b, entries in model.pairs:
+        total += entries[bisect.bisect_right(list(model.pair_edges[a]), x[a]), bisect.bisect_right(list(model.pair_edges[b]), x[b])]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_scores_from_the_tables(spark, texts):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, quality.training_labels(labels))
+    assert model.tables and model.pairs
+    got = {r.doc_id: r for r in QUERIES["op7_quality_scores"](spark, SF_DIR).collect()}
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        want = plain_score(model, quality.features(column([text]))[0])
+        assert got[doc].score == pytest.approx(want, abs=1e-9) and got[doc].predicted == (got[doc].score >= 0.5)
+
+
+def test_languages_by_plain_compression(spark, texts):
+    dictionaries = language.train_dictionaries(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+    sizes = {}
+    for lang, content in sorted(dictionaries.items()):
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=language.LEVEL)
+        plain = zstandard.ZstdCompressionParameters.from_level(
+            language.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        for doc, text in texts.items():
+            data = text.lower().encode()
+            blocks = [data[i : i + language.BLOCK_BYTES] for i in range(0, len(data), language.BLOCK_BYTES)]
+            coder = zstandard.ZstdCompressor(dict_data=raw, compression_params=plain)
+            sizes.setdefault(doc, {})[lang] = sum(len(coder.compress(b)) for b in blocks)
+    for r in QUERIES["op10_language_id"](spark, SF_DIR).collect():
+        if not any(c.isalpha() for c in texts[r.doc_id]):
+            assert r.lang_pred == "und" and not r.accepted
+            continue
+        found = sizes[r.doc_id]
+        best = min(found, key=found.get)
+        lead = min(n for lang, n in found.items() if lang != best) - found[best]
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(found[best] - n) for n in found.values()))
+        assert r.accepted == (lead >= max(8, 0.03 * found[best]) and r.score >= 0.6)
+
+
 def test_languages(spark, odd_documents, no_documents):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op10_language_id"](spark, sf).collect()
@@ -244,7 +301,26 @@ def test_cascade_does_not_depend_on_the_order(spark, odd_documents):
     assert {e.rule.name for e in rules.estimate(rows, own)} == {"a", "b", "none"}
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_rules_come_by_rejection_per_step_among_what_is_left(spark):
+    rows = spark.range(1000)
+    chars = F.lit(3000)
+    own = [
+        rules.Rule("dear", F.col("id") % 2 == 0, 10 * chars),
+        rules.Rule("cheap", F.col("id") % 2 == 0, chars),
+        rules.Rule("repeats", F.col("id") % 4 == 0),  # rejects nothing that "half" lets pass
+        rules.Rule("half", F.col("id") % 4 <= 1),
+        rules.Rule("few", F.col("id") % 100 == 3),
+        rules.Rule("none", F.lit(None).cast("boolean"), F.lit(None).cast("long")),
+    ]
+    for _ in range(10):
+        found = rules.estimate(rows, own)
+        assert [e.rule.name for e in found] == ["half", "few", "cheap", "none", "repeats", "dear"]
+    assert [e.rejected for e in found[:3]] == pytest.approx([0.5, 0.02, 25 / 49])
+    assert rules.estimate(rows, []) == []
+    assert {e.rejected for e in rules.estimate(rows.limit(0), own)} == {0.0}
+
+
+@pytest.mark.parametrize("name", ["op2_sharding", "op6_mix_sources", "op9_quality_rules", "op11_fingerprints"])
 def test_no_python_in_native_plans(spark, name):
     df = QUERIES[name](spark, SF_DIR)
     text = df._jdf.queryExecution().executedPlan().toString()
