@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lograft.session import stored
+
 # About so many rows are drawn to estimate costs and selectivities; they only decide the order of the rules.
 SAMPLE_ROWS = 2000
 # Steps that a regular expression takes for a character, as against a byte search.
@@ -195,7 +197,8 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: i
     measured = add_measures(docs).withColumn("base_failed", base_failed())
     # A share of every partition; a limit would send its number of rows from each to one task.
     share = min(1.0, sample_rows / max(docs.count(), 1))
-    sample = add_measures(docs.sample(share, seed=9)).where(~base_failed())
+    # Written before it is judged, so that the measures are computed once and not once a rule.
+    sample = stored(add_measures(docs.sample(share, seed=9)), "rules-sample").where(~base_failed())
     ordered = [e.rule for e in estimate(sample, rules or standard_rules())]
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered))
     return measured.withColumn("kept", verdict)
