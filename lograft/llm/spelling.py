@@ -13,7 +13,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lograft.llm.common import cut_slices
 from lograft.session import stored
 
-# What a word is made of, and which letters change case.
-WORD_RUN = re.compile("[A-Za-zÀ-ÿ]+")
+# What a word is made of.
+WORD_LETTER = "[A-Za-zÀ-ÿ]"
 NO_LETTER = re.compile("[^A-Za-zÀ-ÿ]")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 # Some runs lose a letter: those whose hash this number divides.
 DELETION = 199
 
@@ -35,24 +33,27 @@ CLASSES = ("aejotyàèìðõú", "bfiknuzâçéîò", "chlpsváäëïóû")
 BLOCK_WORDS = 1024
 BATCH_BYTES = 4 << 20
 PART_CHARS = 1 << 20
-RUNS_AT_ONCE = 1 << 17
+VERIFIED_CHARS = 1 << 22
 
 
-def _runs(text: str) -> Iterator[Counter]:
-    """The lower-cased runs of a text with their counts, by parts of bounded size that cut no run."""
+def _runs(text: str, pattern: re.Pattern) -> Iterator[Counter]:
+    """The runs of a text that the pattern finds, with their counts, by parts of bounded size that cut no run."""
     start = 0
     while start < len(text):
         found = NO_LETTER.search(text, min(start + PART_CHARS, len(text)))
         end = found.start() if found else len(text)
-        runs = (m.group() for m in WORD_RUN.finditer(text, start, end))
-        while some := list(islice(runs, RUNS_AT_ONCE)):
-            yield Counter(some)
+        yield Counter(pattern.findall(text, start, end))
         start = end
 
 
-def damaged(doc_id: int | None, run: str) -> str:
-    """The run, without one of its letters if the hash of the document and the run says so."""
-    number = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+def lower_ascii(text: str) -> str:
+    """The text with A to Z in lower case; all other characters stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def damaged(run: str, head: int) -> str:
+    """The run, without one of its letters if its hash says so; the hash goes on from ``head``, that of what comes before."""
+    number = zlib.crc32(run.encode(), head)
     if number % DELETION:
         return run
     at = number % len(run)
@@ -66,14 +67,18 @@ def count_words(docs: DataFrame, least_length: int = LEAST_LENGTH, damage: bool
     letters out of some runs (:func:`damaged`).
     """
 
+    # A run only ever gets shorter, so shorter ones need no look.
+    pattern = re.compile(f"{WORD_LETTER}{{{max(least_length, 1)},}}")
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in cut_slices(batch, "text", BATCH_BYTES):
                 totals: Counter = Counter()
                 for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    for found in _runs((text or "").translate(LOWER)):
+                    head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+                    for found in _runs(lower_ascii(text or ""), pattern):
                         for run, n in found.items():
-                            word = damaged(doc_id, run) if damage else run
+                            word = damaged(run, head) if damage else run
                             if len(word) >= least_length:
                                 totals[word] += n
                 yield pa.RecordBatch.from_arrays(
@@ -115,33 +120,54 @@ def _moves() -> list[tuple[int, list[int]]]:
     return [(0, [0] * len(CLASSES)), *longer, *same]
 
 
-def one_edit(one: str, other: str) -> bool:
-    """Whether exactly one code point inserted, deleted or replaced makes one of the other."""
-    if len(one) > len(other):
-        one, other = other, one
-    if len(other) - len(one) > 1 or one == other:
-        return False
-    at = next((i for i, (a, b) in enumerate(zip(one, other)) if a != b), len(one))
-    return one[at + (len(one) == len(other)) :] == other[at + 1 :]
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all words one after another, the word that each belongs to, and the lengths."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8), np.repeat(np.arange(len(words)), lengths), lengths
 
 
 def _letter_counts(words: list[str]) -> np.ndarray:
     """How often each word has each letter; a row a word."""
-    coded = [w.encode("latin-1") for w in words]
-    row = np.repeat(np.arange(len(words)), [len(w) for w in coded])
-    letters = np.frombuffer(b"".join(coded), np.uint8)
+    letters, row, _ = _codes(words)
     return np.bincount(row * 256 + letters, minlength=len(words) * 256).reshape(-1, 256).astype(np.float64)
 
 
+def _laid(words: list[str], width: int, at_end: bool) -> np.ndarray:
+    """The words as rows of letters, at the start or the end of a row; the rest is 0, which is no letter."""
+    letters, row, lengths = _codes(words)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    rows = np.zeros((len(words), width), np.uint8)
+    rows[row, place + (width - lengths[row] if at_end else 0)] = letters
+    return rows
+
+
 def near_pairs(home: list[str], guests: list[str]) -> Iterator[tuple[str, str]]:
-    """Pairs of a word of each list that are one edit apart."""
+    """Pairs of a word of each list that are one edit apart.
+
+    The Gram product leaves pairs whose letter counts differ by one edit at most; of these one is near if the
+    letters that both begin with and those that both end with are all of a word but one.
+    """
     one, other = _letter_counts(home), _letter_counts(guests)
     used = one.any(axis=0) | other.any(axis=0)
     one, other = one[:, used], other[:, used]
     squares = (one**2).sum(axis=1)[:, None] + (other**2).sum(axis=1)[None, :]
-    for a, b in zip(*np.nonzero(squares - 2 * (one @ other.T) <= 2), strict=True):
-        if one_edit(home[a], guests[b]):
-            yield home[a], guests[b]
+    left, right = np.nonzero(squares - 2 * (one @ other.T) <= 2)
+    if not len(left):
+        return
+    sizes, guest_sizes = _codes(home)[2], _codes(guests)[2]
+    width = int(max(sizes.max(), guest_sizes.max())) + 1
+    sides = [(_laid(home, width, end), _laid(guests, width, end)) for end in (False, True)]
+    step = max(VERIFIED_CHARS // width, 1)
+    for start in range(0, len(left), step):
+        a, b = left[start : start + step], right[start : start + step]
+        # Both rows have an empty place where the words end, so what is equal is cut to the shorter word.
+        shorter, longer = np.minimum(sizes[a], guest_sizes[b]), np.maximum(sizes[a], guest_sizes[b])
+        same = (sides[0][0][a] == sides[0][1][b]).all(axis=1)
+        begins = (sides[0][0][a] != sides[0][1][b]).argmax(axis=1)
+        ends = (sides[1][0][a] != sides[1][1][b])[:, ::-1].argmax(axis=1)
+        near = ~same & (longer - shorter <= 1) & (np.minimum(begins, shorter) + np.minimum(ends, shorter) >= longer - 1)
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            yield home[i], guests[j]
 
 
 def _meet(table: pa.Table) -> pa.Table:

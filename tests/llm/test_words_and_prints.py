@@ -121,6 +121,16 @@ def test_documents_of_odd_ids_and_repeated_rows(spark, odd_documents, no_documen
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def one_edit(one, other):
+    """Whether exactly one code point inserted, deleted or replaced makes one of the other."""
+    if len(one) > len(other):
+        one, other = other, one
+    if len(other) - len(one) > 1 or one == other:
+        return False
+    at = next((i for i, (a, b) in enumerate(zip(one, other)) if a != b), len(one))
+    return one[at + (len(one) == len(other)) :] == other[at + 1 :]
+
+
 WORDS = st.text("abcàz", min_size=1, max_size=6)
 
 
@@ -130,7 +140,10 @@ def test_one_edit(one, other):
     shorter = {one[:i] + one[i + 1 :] for i in range(len(one))}
     replaced = {one[:i] + c + one[i + 1 :] for i in range(len(one)) for c in "abcàz"} - {one}
     longer = {one[:i] + c + one[i:] for i in range(len(one) + 1) for c in "abcàz"}
-    assert spelling.one_edit(one, other) == (other in shorter | replaced | longer)
+    near = other in shorter | replaced | longer
+    assert one_edit(one, other) == near
+    assert list(spelling.near_pairs([one], [other])) == [(one, other)] * near
+    assert list(spelling.near_pairs([one], [])) == []
 
 
 def test_near_words_are_all_found(spark, monkeypatch):
@@ -139,7 +152,7 @@ def test_near_words_are_all_found(spark, monkeypatch):
     words = {"".join(rng.choice("abdegàß") for _ in range(rng.randint(3, 6))) for _ in range(700)}
     words |= {"x" * 70_000, "x" * 70_001}
     got = spelling.near_words(spark.createDataFrame([(w, 5) for w in words], "word string, n long")).collect()
-    expected = {(a, b) for a in words for b in words if spelling.one_edit(a, b)}
+    expected = {(a, b) for a in words for b in words if one_edit(a, b)}
     assert len(got) == len(expected) > 1000 and {tuple(r) for r in got} == expected
 
 
