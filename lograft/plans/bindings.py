@@ -120,9 +120,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests_from(table(spark, sf_dir, "events"), n_docs(spark, sf_dir))
 
 
-def archive_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def archive_listings(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Listings of a tenth of the documents' folders; with ``every``, of a folder of its own for nearly each document."""
     doc = F.col("doc_id")
     folder = folder_name(path_of("doc_id"))
+    nothing = (doc % 10 != 0) | (doc % 70 == 10)
+    if every:
+        folder, nothing = _cat(folder, "-", doc), doc % 7 == 3
     public = (doc % 20 != 0)
     entry = F.concat(
         F.lit('{"name":"'), folder, F.lit('.log.txt","download_url":"https://raw.example.org/'), folder,
@@ -137,7 +141,7 @@ def archive_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(doc % 50 == 0, "trunk").otherwise("main").alias("branch"),
             folder.alias("repository_path"),
             F.when(public, "public").otherwise("private").alias("visibility"),
-            F.when((doc % 10 != 0) | (doc % 70 == 10), F.lit(None))
+            F.when(nothing, F.lit(None))
             .when(doc % 110 == 30, "{broken")
             .when(doc % 40 == 0, F.lit(" \n"))
             .when(doc % 30 == 0, F.concat(F.lit("["), entry, F.lit(","), hidden, F.lit("]")))
@@ -147,6 +151,48 @@ def archive_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def folder_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a lookup of each document's folder printed: arrays, objects, errors and garbage, with its text in them."""
+    doc, folder = F.col("doc_id"), folder_name(path_of("doc_id"))
+    entry = F.to_json(F.struct(folder.alias("name"), F.col("text").alias("download_url"), doc.alias("size")))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        _case(
+            doc % 10,
+            {
+                1: '{"message":"Not Found","status":"404"}',
+                2: F.to_json(F.struct(F.col("text").alias("message"), F.lit("502").alias("status"))),
+                3: " [] ",
+                4: " \n",
+                5: F.concat(F.lit("[{"), F.col("text")),
+                6: F.concat(F.lit("["), entry, F.lit(",7]\n")),
+                7: entry,
+                8: F.concat(F.lit('[{"name":5},'), entry, F.lit(',{"download_url":null,"name":".keep"}]')),
+                9: F.concat(F.lit('"folder '), doc.cast("string"), F.lit('"')),
+            },
+        ).alias("answer"),
+    )
+
+
+def raw_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command-line options of each event as a raw map: short and long forms, odd values, unknown names."""
+    n = F.col("event_id")
+    given = {
+        "public": F.when(n % 3 == 0, "true").when(n % 3 == 1, "no"),
+        "p": F.when(n % 4 == 1, "TRUE"),
+        "private": F.when(n % 5 == 2, "maybe"),
+        "dry": F.when(n % 6 < 2, "1"),
+        "description": F.when(n % 7 == 3, F.col("event_type")),
+        "d": F.when(n % 2 == 0, _cat("note ", n)),
+        "colour": F.when(n % 11 == 10, "red"),
+        "Public": F.when(n % 13 == 12, "true"),
+    }
+    every = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in given.items()))
+    return table(spark, sf_dir, "events").select(
+        n.alias("request_id"), F.map_from_entries(F.filter(every, lambda e: e["value"].isNotNull())).alias("raw")
+    )
+
+
 def gist_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     one = _cat('"f', doc, '.log.txt":{"raw_url":"https://gist.example.org/', doc, '/raw","size":', doc, "}")
@@ -267,6 +313,22 @@ def changesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def manual_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases by hand, described by whole texts or not at all."""
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        _case(doc % 3, {0: "patch", 1: "minor"}, "major").alias("bump"),
+        F.when(doc % 5 != 0, F.col("text")).otherwise("").alias("description"),
+    )
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    names = _case(doc % 5, {0: "README.md", 1: "MY-README.md", 2: "config.json"}, _cat("cs-", doc, ".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", names.alias("file"))
+
+
 def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pr_id"))
 

@@ -56,6 +56,16 @@ def readable(s: str) -> str:
     return f"({out} END)"
 
 
+def dirs(present: str, name: str) -> str:
+    """Folders of the archive: of those that are present, what their listings hold."""
+    return f"""SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'private-logs' ELSE 'public-logs' END AS repository_name,
+        {name} AS folder, CASE WHEN doc_id % 50 = 0 THEN 'trunk' ELSE 'main' END AS branch,
+        {present} AS present, {present} AND doc_id % 110 = 30 AS broken,
+        CASE WHEN doc_id % 110 = 30 OR doc_id % 40 = 0 THEN 0 WHEN doc_id % 30 = 0 THEN 2 ELSE 1 END AS n,
+        'https://raw.example.org/' || {name} || CASE WHEN doc_id % 20 = 0 THEN '?token=abc' ELSE '' END AS download_url
+        FROM documents"""
+
+
 # Each entry may use those before it.
 TABLES = {
     "files": f"SELECT doc_id, {path_of('doc_id')} AS path, strlen(text)::BIGINT AS size_bytes, text FROM documents",
@@ -100,15 +110,8 @@ TABLES = {
              WHEN is_public THEN 'public-logs' ELSE 'private-logs' END END AS repository_name,
         CASE WHEN type = 'repo' AND shared_repository THEN folder END AS repository_path
         FROM plan0""",
-    "dirs": f"""SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'private-logs' ELSE 'public-logs' END AS repository_name,
-        {folder(path_of('doc_id'))} AS folder,
-        CASE WHEN doc_id % 50 = 0 THEN 'trunk' ELSE 'main' END AS branch,
-        doc_id % 10 = 0 AND doc_id % 70 <> 10 AS present,
-        doc_id % 10 = 0 AND doc_id % 70 <> 10 AND doc_id % 110 = 30 AS broken,
-        CASE WHEN doc_id % 110 = 30 OR doc_id % 40 = 0 THEN 0 WHEN doc_id % 30 = 0 THEN 2 ELSE 1 END AS n,
-        'https://raw.example.org/' || {folder(path_of('doc_id'))}
-            || CASE WHEN doc_id % 20 = 0 THEN '?token=abc' ELSE '' END AS download_url
-        FROM documents""",
+    "dirs": dirs("(doc_id % 10 = 0 AND doc_id % 70 <> 10)", folder(path_of("doc_id"))),
+    "all_dirs": dirs("(doc_id % 7 <> 3)", f"({folder(path_of('doc_id'))} || '-' || doc_id)"),
     "repos": """SELECT lower(n_name) AS owner,
         CASE WHEN n_nationkey % 2 = 0 THEN 'private-logs' ELSE 'public-logs' END AS name,
         CASE n_nationkey % 4 WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'trunk' END AS default_branch,
@@ -298,8 +301,8 @@ _QUERIES = {
         FROM asked WHERE path <> '' AND path NOT IN (SELECT path FROM files)""",
     "o02_folder_listing": """SELECT repository_name, folder AS repository_path, present, broken AS malformed,
         CASE WHEN present AND n > 0 THEN folder || '.log.txt' END AS name,
-        CASE WHEN present AND n > 0 THEN download_url END AS download_url FROM dirs
-        UNION ALL SELECT repository_name, folder, present, false, '.keep', NULL FROM dirs WHERE present AND n = 2""",
+        CASE WHEN present AND n > 0 THEN download_url END AS download_url FROM all_dirs
+        UNION ALL SELECT repository_name, folder, present, false, '.keep', NULL FROM all_dirs WHERE present AND n = 2""",
     "o02_gist_listing": """SELECT doc_id AS gist_id, doc_id % 9 <> 1 AS present, doc_id % 9 = 2 AS malformed,
         CASE WHEN doc_id % 9 NOT IN (1, 2, 4) THEN 'f' || doc_id || '.log.txt' END AS filename,
         CASE WHEN doc_id % 9 NOT IN (1, 2, 4) THEN 'https://gist.example.org/' || doc_id || '/raw' END AS raw_url
@@ -308,6 +311,18 @@ _QUERIES = {
     "o02_repository_metadata": """SELECT c_custkey AS repository_id, c_custkey % 6 <> 0 AS present, false AS malformed,
         CASE WHEN c_custkey % 6 > 1 THEN 'b' || (c_custkey % 4) END AS default_branch,
         CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'private' ELSE 'public' END AS visibility FROM customer""",
+    "o02_folder_answers": f"""SELECT * FROM (WITH shaped AS (SELECT doc_id, d.text, {folder('path')} AS folder, doc_id % 10 AS v,
+            CASE WHEN doc_id % 10 IN (0, 1) THEN 'absent' WHEN doc_id % 10 IN (3, 4, 6, 8) THEN 'folder'
+                WHEN doc_id % 10 = 7 THEN 'file' WHEN doc_id % 10 <> 2 OR d.text IS NULL THEN 'malformed'
+                WHEN contains(lower(d.text), 'not found') OR contains(lower(d.text), 'http 404') THEN 'absent'
+                ELSE 'failed' END AS shape
+            FROM documents d JOIN files USING (doc_id)),
+        listed AS (SELECT *, unnest(CASE v WHEN 6 THEN [0, 1] WHEN 7 THEN [0] WHEN 8 THEN [0, 1, 2] ELSE [NULL] END) AS no FROM shaped),
+        entries AS (SELECT *, (v = 6 AND no = 1) OR (v = 8 AND no = 0) AS bad, v = 8 AND no = 2 AS hidden FROM listed)
+        SELECT doc_id, shape, CASE WHEN shape = 'failed' THEN text END AS error, no::BIGINT AS entry_no,
+            CASE WHEN no IS NOT NULL THEN bad END AS bad_entry,
+            CASE WHEN no IS NULL OR bad THEN NULL WHEN hidden THEN '.keep' ELSE folder END AS name,
+            CASE WHEN no IS NULL OR bad OR hidden THEN NULL ELSE text END AS download_url FROM entries)""",
     "o03_classify_strategy": f"""SELECT path, size_bytes, type, needs_split, num_chunks, chunk_size, readable_size,
         CASE WHEN type = 'gist' THEN 'File fits within GitHub Gist API limit (25MB)'
              WHEN needs_split THEN 'File exceeds Gist limit, will be split into ' || num_chunks || ' chunks'
@@ -327,6 +342,12 @@ _QUERIES = {
         FROM (SELECT DISTINCT {folder('path')} AS repo_name, path FROM files)) WHERE n_paths > 1""",
     "o05_resolve_requests": """SELECT request_id, path, is_public, auto, only_gist, only_repository, shared_repository,
         dry_mode, "verbose", self_test, description FROM resolved""",
+    "o05_typed_options": """SELECT event_id AS request_id,
+        CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE CASE WHEN event_id % 4 = 1 THEN true END END AS public,
+        NULL::BOOLEAN AS private, CASE WHEN event_id % 6 < 2 THEN true END AS dry_mode,
+        CASE WHEN event_id % 7 = 3 AND event_type IS NOT NULL THEN event_type WHEN event_id % 2 = 0 THEN 'note ' || event_id END AS description,
+        concat_ws(',', CASE WHEN event_id % 13 = 12 THEN 'Public' END, CASE WHEN event_id % 11 = 10 THEN 'colour' END) AS unknown
+        FROM events""",
     "o06_validate_requests": """SELECT request_id, 'public_private_conflict' AS rule FROM checked WHERE bad_visibility
         UNION ALL SELECT request_id, 'only_conflict' FROM checked WHERE bad_only
         UNION ALL SELECT request_id, 'no_auto_needs_target' FROM checked WHERE bad_auto
@@ -392,6 +413,11 @@ _QUERIES = {
     "o13_generate_log_corpus": f"SELECT source, line_no, {CORPUS_LINE} AS line FROM ({CORPUS})",
     "o13_corpus_summary": f"""SELECT source, count(*) AS n_lines, sum(strlen({CORPUS_LINE}) + 1)::BIGINT AS bytes
         FROM ({CORPUS}) GROUP BY source""",
+    "o13_corpus_files": f"""SELECT * FROM (WITH lines AS (SELECT source, line_no, {CORPUS_LINE} || chr(10) AS line FROM ({CORPUS})),
+        parts AS (SELECT source, (line_no - 1) // 1000 AS part, min(line_no) AS first_line, max(line_no) AS last_line,
+            sum(strlen(line))::BIGINT AS length, sha256(string_agg(line, '' ORDER BY line_no)) AS sha FROM lines GROUP BY ALL)
+        SELECT source, part::BIGINT AS part, first_line, last_line, length, length AS size_bytes, sha,
+            (sum(length) OVER (PARTITION BY source ORDER BY part) - length)::BIGINT AS "offset" FROM parts)""",
     "o14_resolve_name_collisions": f"""SELECT request_id, folder AS base_name, final AS final_name, collided, failed
         FROM ({named('taken')})""",
     "o15_link_commits_to_prs": "SELECT release_id, commit_sha, pr_number FROM links",
@@ -405,10 +431,10 @@ _QUERIES = {
         broken AS malformed, CASE WHEN NOT broken THEN n::BIGINT END AS file_count,
         CASE WHEN n = 1 THEN download_url END AS raw_url,
         'https://github.com/nation_0/' || repository_name || '/tree/' || branch || '/' || folder AS url,
-        n = 1 AND NOT broken AND repository_name = 'private-logs' AS token_expires FROM dirs WHERE present""",
+        n = 1 AND NOT broken AND repository_name = 'private-logs' AS token_expires FROM all_dirs WHERE present""",
     "o17_folder_rollup_local": """SELECT repository_name, folder AS repository_path,
         CASE WHEN NOT broken THEN least(n, 1)::BIGINT END AS file_count,
-        CASE WHEN n > 0 THEN download_url END AS raw_url FROM dirs WHERE present""",
+        CASE WHEN n > 0 THEN download_url END AS raw_url FROM all_dirs WHERE present""",
     "o17_gist_rollup": """SELECT doc_id AS gist_id,
         (CASE doc_id % 9 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END)::BIGINT AS file_count,
         CASE WHEN doc_id % 9 NOT IN (1, 2, 3, 4) THEN 'https://gist.example.org/' || doc_id || '/raw' END AS raw_url
@@ -428,6 +454,11 @@ _QUERIES = {
         UNION ALL SELECT batch, 1, file,
             CASE WHEN row_number() OVER (PARTITION BY batch ORDER BY mtime, file) > 1 THEN {NL} || {NL} ELSE '' END || description
         FROM parsed JOIN (SELECT batch FROM ({MERGED}) WHERE action = 'merged') USING (batch) WHERE description <> ''""",
+    "o19_manual_changeset": """SELECT doc_id, '---' || chr(10) || '''sample-pkg'': ' || bump || chr(10) || '---' || chr(10) || chr(10)
+        || CASE WHEN coalesce(text, '') = '' OR doc_id % 5 = 0 THEN 'Manual ' || bump || ' release' ELSE text END || chr(10) AS content
+        FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'patch' WHEN 1 THEN 'minor' ELSE 'major' END AS bump FROM documents)""",
+    "o20_listed_changesets": """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'MY-README.md' ELSE 'cs-' || doc_id || '.md' END AS file
+        FROM documents WHERE doc_id % 5 NOT IN (0, 2)""",
     "o20_changeset_gate": """SELECT p.doc_id AS pr_id, coalesce(n, 0)::BIGINT AS n_added,
         CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n > 1 THEN 'multiple' ELSE verdict END AS verdict,
         CASE WHEN n = 1 AND verdict = 'valid' THEN bump END AS bump

@@ -51,6 +51,7 @@ DOCS_PER_FILE = 100
 MAX_FILE_LINES = 900
 RANGE_BYTES = 1 << 16
 SMALL_CHUNK = 16
+CORPUS_PART_LINES = 1000
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +103,12 @@ def missing_inputs(spark, sf_dir):
     return catalogue.missing_inputs(b.requests(spark, sf_dir), b.log_files(spark, sf_dir))
 
 
+def _every_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.explode_listing(b.archive_listings(spark, sf_dir, every=True), "listing", "folder")
+
+
 def folder_listing(spark, sf_dir):
-    return _contents(spark, sf_dir).select(
+    return _every_folder(spark, sf_dir).select(
         "repository_name", "repository_path", "present", "malformed", "name", "download_url"
     )
 
@@ -116,6 +121,27 @@ def repository_metadata(spark, sf_dir):
     return listings.explode_listing(b.repository_listings(spark, sf_dir), "listing", "repository")
 
 
+def folder_answers(spark, sf_dir):
+    """Lookups of folders as they were answered, a shape a document."""
+    return listings.explode_answers(b.folder_answers(spark, sf_dir), "answer")
+
+
+def typed_options(spark, sf_dir):
+    """Raw option maps as a layer, and the names in them that do not exist."""
+    raw = F.col("raw")
+    layers = b.raw_options(spark, sf_dir).select(
+        "request_id", requests.typed_options(raw).alias("cli"), requests.unknown_options(raw).alias("unknown")
+    )
+    return layers.select(
+        "request_id",
+        F.col("cli.public").alias("public"),
+        F.col("cli.private").alias("private"),
+        F.col("cli.dry_mode").alias("dry_mode"),
+        F.col("cli.description").alias("description"),
+        F.array_join(F.array_sort("unknown"), ",").alias("unknown"),
+    )
+
+
 def classify_strategy(spark, sf_dir):
     return strategy.classify_strategy(b.log_files(spark, sf_dir).drop("content"), **b.LIMITS)
 
@@ -261,6 +287,21 @@ def corpus_summary(spark, sf_dir):
     return corpus.corpus_summary(generate_log_corpus(spark, sf_dir), "source")
 
 
+def corpus_files(spark, sf_dir):
+    """A corpus file for each source as large as its texts: the written parts, read back."""
+    sizes = b.table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("target_bytes"))
+    root = scratch_path(spark, "corpus")
+    parts = corpus.write_corpus_files(sizes, root, "source", part_lines=CORPUS_PART_LINES)
+    read = spark.read.schema("path string, modificationTime timestamp, length bigint, content binary, source string, part bigint")
+    found = read.format("binaryFile").load(root).select(
+        "source", "part", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha")
+    )
+    same = found["source"].eqNullSafe(parts["source"]) & (found["part"] == parts["part"])
+    return found.join(parts, same, "full").select(
+        found["source"], found["part"], "first_line", "last_line", "offset", "length", "size_bytes", "sha"
+    )
+
+
 def resolve_name_collisions(spark, sf_dir):
     return repositories.resolve_name_collisions(_stored_plan(spark, sf_dir), b.taken_names(spark, sf_dir))
 
@@ -274,11 +315,11 @@ def strategy_summary(spark, sf_dir):
 
 
 def folder_rollup(spark, sf_dir):
-    return folders.folder_rollup(_contents(spark, sf_dir))
+    return folders.folder_rollup(_every_folder(spark, sf_dir))
 
 
 def folder_rollup_local(spark, sf_dir):
-    return folders.folder_rollup(_contents(spark, sf_dir), include_dotfiles=False).select(
+    return folders.folder_rollup(_every_folder(spark, sf_dir), include_dotfiles=False).select(
         "repository_name", "repository_path", "file_count", "raw_url"
     )
 
@@ -310,6 +351,14 @@ def merged_entries(spark, sf_dir):
     return changesets.merged_entries(b.changesets(spark, sf_dir), b.PACKAGE).select("batch", "piece", "file", "text")
 
 
+def manual_changeset(spark, sf_dir):
+    return changesets.manual_changeset(b.manual_records(spark, sf_dir), b.PACKAGE).select("doc_id", "content")
+
+
+def listed_changesets(spark, sf_dir):
+    return changesets.listed_changesets(b.record_files(spark, sf_dir))
+
+
 def changeset_gate(spark, sf_dir):
     return changesets.changeset_gate(
         b.prs(spark, sf_dir), b.diff(spark, sf_dir), b.changesets(spark, sf_dir), b.PACKAGE
@@ -428,11 +477,13 @@ QUERIES: dict[str, Query] = {
     "o02_folder_listing": folder_listing,
     "o02_gist_listing": gist_listing,
     "o02_repository_metadata": repository_metadata,
+    "o02_folder_answers": folder_answers,
     "o03_classify_strategy": classify_strategy,
     "o04_assign_archive_names": assign_archive_names,
     "o04_name_clashes": name_clashes,
     "o04_clash_members": clash_members,
     "o05_resolve_requests": resolve_requests,
+    "o05_typed_options": typed_options,
     "o06_validate_requests": validate_requests,
     "o07_plan_uploads": plan_uploads,
     "o08_dedup_uploads": dedup_uploads,
@@ -447,6 +498,7 @@ QUERIES: dict[str, Query] = {
     "o12_write_archive": archive_write,
     "o13_generate_log_corpus": generate_log_corpus,
     "o13_corpus_summary": corpus_summary,
+    "o13_corpus_files": corpus_files,
     "o14_resolve_name_collisions": resolve_name_collisions,
     "o15_link_commits_to_prs": link_commits_to_prs,
     "o16_strategy_summary": strategy_summary,
@@ -458,6 +510,8 @@ QUERIES: dict[str, Query] = {
     "o19_parse_changesets": parse_changesets,
     "o19_merge_changesets": merge_changesets,
     "o19_merged_entries": merged_entries,
+    "o19_manual_changeset": manual_changeset,
+    "o20_listed_changesets": listed_changesets,
     "o20_changeset_gate": changeset_gate,
     "o21_outcome_summary": outcome_summary,
     "o22_classify_failures": classify_failures,

@@ -185,6 +185,31 @@ def test_listings(spark, rows):
     assert rows(folders.gist_rollup(files)) == [(1, 2, None), (2, 1, None), (3, 1, None)]
 
 
+def test_answers_of_all_shapes_in_one_column(spark, rows):
+    answers = [
+        (1, None), (2, " "), (3, "[]"), (4, '[{"name":"a","download_url":"u"},{"name":7},3,null,{"name":"b"}]'),
+        (5, '{"name":"c","download_url":"v","type":"file"}'), (6, '{"message":"Not Found"}'), (7, '{"message":"x","status":404}'),
+        (8, '{"message":"API rate limit exceeded"}'), (9, "{broken"), (10, '"text"'), (11, "null"), (12, '{"message":5}'),
+        (13, "{}"), (14, '[{"name":"' + "x" * 300_000 + '"}]'), (15, '{"name":"a","name":"b"}'),
+    ]
+    df = spark.createDataFrame(answers, "id int, listing string")
+    got = {}
+    for r in listings.explode_answers(df, "listing").orderBy("id", "entry_no").collect():
+        got.setdefault(r.id, []).append((r.shape, r.error, r.entry_no, r.bad_entry, r.name, r.download_url))
+    none = (None, None, None, None)
+    assert {i: got[i] for i in (1, 6, 7)} == dict.fromkeys((1, 6, 7), [("absent", None, *none)])
+    assert {i: got[i] for i in (2, 3)} == dict.fromkeys((2, 3), [("folder", None, *none)])
+    assert got[4] == [
+        ("folder", None, 0, False, "a", "u"), ("folder", None, 1, True, None, None), ("folder", None, 2, True, None, None),
+        ("folder", None, 3, True, None, None), ("folder", None, 4, False, "b", None),
+    ]
+    assert got[5] == [("file", None, 0, False, "c", "v")]
+    assert got[8] == [("failed", "API rate limit exceeded", *none)]
+    assert all(got[i] == [("malformed", None, *none)] for i in (9, 10, 11, 12, 13, 15))
+    assert got[14][0][4] == "x" * 300_000
+    assert listings.explode_answers(df.limit(0), "listing").count() == 0
+
+
 CHUNK = "owner string, repository_name string, repository_path string, chunk_name string, content binary"
 
 

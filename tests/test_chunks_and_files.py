@@ -177,3 +177,36 @@ def test_numbered_corpus(spark, mb, lines, size):
 def test_constant_corpus(spark):
     df = corpus.generate_log_corpus(spark, [1], numbered=False)
     assert df.count() == 13444 and df.select("line").distinct().first().line + "\n" == CONSTANT_LINE
+
+
+@pytest.mark.parametrize("mb, part_lines", [(1, 700), (10, 1 << 16), (24, 9999)])
+def test_corpus_files_are_exact_byte_for_byte(spark, tmp_path, mb, part_lines):
+    sizes = spark.createDataFrame([(f"test-{mb}mb.log", mb * MIB), ("empty", 0)], "file string, target_bytes bigint")
+    parts = corpus.write_corpus_files(sizes, str(tmp_path / "corpus"), "file", part_lines=part_lines).orderBy("part").collect()
+    n = -(-mb * MIB // len(NUMBERED_LINE))
+    expected = "".join(NUMBERED_LINE.replace("%LINE%", str(i)) for i in range(1, n + 1)).encode()
+    assert [r.part for r in parts] == list(range(-(-n // part_lines))) and {r.file for r in parts} == {f"test-{mb}mb.log"}
+    whole = b""
+    for r in parts:
+        (one,) = (tmp_path / "corpus" / f"file=test-{mb}mb.log" / f"part={r.part}").glob("*.txt")
+        assert r.offset == len(whole) and r.length == one.stat().st_size
+        whole += one.read_bytes()
+    assert whole == expected
+
+
+@pytest.mark.parametrize("template", ["ä %LINE% %LINE%\n", "constant\n"])
+def test_bytes_before_counts_all_digits(spark, template):
+    got = spark.range(0, 12_000).select("id", corpus.bytes_before(F.col("id"), template).alias("n")).orderBy("id").collect()
+    total = 0
+    for row in got:
+        total += len(template.replace("%LINE%", str(row.id)).encode()) if row.id else 0
+        assert row.n == total
+    big = spark.range(1).select(corpus.bytes_before(F.lit(10**15).cast("bigint"), "%LINE%\n")).first()[0]
+    assert big == 10**15 + sum(9 * 10 ** (d - 1) * d for d in range(1, 16)) + 16
+
+
+def test_corpus_template_has_to_be_one_line(spark, tmp_path):
+    sizes = spark.createDataFrame([("a", 10)], "file string, target_bytes bigint")
+    for template in ("no end", "two\nlines\n"):
+        with pytest.raises(ValueError):
+            corpus.write_corpus_files(sizes, str(tmp_path / "x"), "file", template)
