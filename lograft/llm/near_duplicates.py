@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ NGRAM = 5
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that the test is one of whole numbers
 TREES = 40
 DEPTH = 12
+# By so many values a prefix is shortened where its subtree is not settled.
+STEP = 3
 TARGET_RECALL = 0.99999
 # Members of a bucket are linked if their signatures' estimate is at least this. With 240 values a
 # pair at 0.8 lies below it with a probability of 4e-8, far less than what the prefixes may miss (1e-5).
@@ -22,6 +25,8 @@ LEAST_ESTIMATE = 0.65
 BATCH_BYTES = 4 << 20
 # Shingles (or 500 a text, if that is more) that are compared in one block.
 BLOCK_SHINGLES = 500_000
+# More than 5/4 by some margin, so that rounded logarithms part no linked sets by two classes.
+SIZE_CLASS = 1.3
 # Members of a bucket whose signatures are compared in one block.
 BLOCK_MEMBERS = 4096
 
@@ -122,11 +127,11 @@ def prefix_depth(similarity: float, trees: int, deepest: int, target: float) ->
 def sketch(
     docs: DataFrame, trees: int = TREES, deepest: int = DEPTH, target: float = TARGET_RECALL, similarity: float = 0.8
 ) -> DataFrame:
-    """One row per document: digest of its shingle set, its size, a key per tree, and a short signature.
+    """One row per document: digest of its shingle set, its size, and its path in each tree.
 
-    A tree is a trie over ``deepest`` hash functions at most; its prefixes are shortened,
-    for all alike, until the forest reaches the target recall at the similarity
-    (:func:`prefix_depth`), and the key stands for the prefix of that length.
+    A tree is a trie over ``deepest`` hash functions. Of each path, ``keys`` holds a hash of the shortest prefix that is
+    ever matched (:func:`prefix_depth`), ``signature`` the low byte of the values in it, and ``rest`` that
+    of the values behind it, tree by tree.
     """
     depth = prefix_depth(similarity, trees, deepest, target)
     spread = _random(trees * depth, 5).reshape(trees, depth) | np.uint64(1)
@@ -136,34 +141,37 @@ def sketch(
             for part in cut_slices(batch, "text", BATCH_BYTES):
                 values, offsets = shingles(part.column("text"))
                 rows = len(offsets) - 1
-                sizes = np.diff(offsets)
-                digest = _digests(values, offsets)
-                minima = signatures(values, offsets, trees * depth)
-                paths = minima.reshape(rows, trees, depth)
-                keys = _mixed((paths * spread).sum(axis=2, dtype=np.uint64) + np.arange(trees, dtype=np.uint64))
-                short = (minima & np.uint64(255)).astype(np.uint8)
-                flat = pa.array(keys.ravel().view(np.int64))
+                high, low = _digests(values, offsets)
+                paths = signatures(values, offsets, trees * deepest).reshape(rows, trees, deepest)
+                matched, rest = paths[:, :, :depth], paths[:, :, depth:]
+                keys = _mixed((matched * spread).sum(axis=2, dtype=np.uint64) + np.arange(trees, dtype=np.uint64))
                 edges = pa.array(np.arange(rows + 1, dtype=np.int32) * trees)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.array(digest.view(np.int64)),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.ListArray.from_arrays(edges, flat),
-                        pa.array([row.tobytes() for row in short], pa.binary()),
+                        pa.array(high.view(np.int64)),
+                        pa.array(low.view(np.int64)),
+                        pa.array(np.diff(offsets).astype(np.int64)),
+                        pa.ListArray.from_arrays(edges, pa.array(keys.ravel().view(np.int64))),
+                        *(pa.array([row.tobytes() for row in side.astype(np.uint8)], pa.binary()) for side in (matched, rest)),
                     ],
-                    names=["doc_id", "node", "n_shingles", "keys", "signature"],
+                    names=["doc_id", "high", "low", "n_shingles", "keys", "signature", "rest"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, node long, n_shingles long, keys array<long>, signature binary"
+    schema = (
+        f"doc_id {kind}, high long, low long, n_shingles long, keys array<long>, signature binary, rest binary"
+    )
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits for the set of a text's shingles, whatever their order."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(values ^ _STEP), dtype=np.uint64)])
-    return _mixed(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+def _digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two numbers, for the set of a text's shingles, whatever their order."""
+    out = []
+    for shift in (_STEP, _BASE):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(values ^ shift), dtype=np.uint64)])
+        out.append(_mixed(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)))
+    return out[0], out[1]
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -192,26 +200,88 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle; raise most_rounds")
 
 
-def candidate_edges(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
-    """Edges that join all classes that share a prefix and look alike, directly or by others that do.
+def candidate_components(
+    classes: DataFrame, shortest: int, deepest: int, least_estimate: float = LEAST_ESTIMATE, step: int = STEP
+) -> DataFrame:
+    """Rows (node, component) for all classes that share a prefix with one that looks alike, directly or by others.
+
+    A node of the forest is all that share a prefix in one tree. Prefixes are matched from the ``deepest``, ``step`` values
+    shorter each time, to the ``shortest``, at which the target recall is reached. At each depth a forest node
+    gives an edge from its smallest member to one of each other component in it; the edges whose
+    signatures look alike join components. A subtree whose members have all come into one component is settled and goes no
+    further, so families of near copies leave at long prefixes. What is not settled at the shortest prefix
+    is compared member by member (:func:`_crowd_edges`), so no pair depends on a third text.
 
-    First each member of a bucket is held against the bucket's smallest node. That joins families of
-    near copies, at one edge a member. Buckets whose members it leaves in several components
-    are then compared member by member (:func:`_crowd_edges`), so no pair depends on a third text.
+    Subtrees that hold one class are never followed, and those of two are an edge at once.
     """
-    buckets = classes.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(
+    width = deepest - shortest
+    leaves = classes.select("node", "rest", F.posexplode("keys").alias("tree", "key")).select(
+        "key", F.substring("rest", F.col("tree") * width + 1, F.lit(width)).alias("path"), "node"
+    )
+    shared = leaves.groupBy("key").agg(
         F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("members")
     )
     shared = stored(shared.where("members > 1"), "buckets")
-    pairs = shared.where("members = 2").select("a", "b")
-    larger = shared.where("members > 2").select("key", "a")
-    crowds = stored(buckets.join(larger, "key").select("key", "a", "node"), "crowds")
-    stars = crowds.where("node <> a").select("a", F.col("node").alias("b"))
-    edges = stored(pairs.union(stars).distinct(), "candidates")
+    crowds = leaves.join(shared.where("members > 2").select("key"), "key")
+    unsettled = stored(crowds.withColumn("component", F.col("node")), "crowds")
+    pairs = shared.where("members = 2").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    first, later = None, []
+    for depth in (*range(deepest, shortest, -step), shortest):
+        edges = _subtree_edges(unsettled, depth - shortest)
+        edges = edges if first is not None else edges.union(pairs)
+        near = stored(_alike(edges.distinct(), classes, least_estimate), "near")
+        moved = components(near)
+        if first is None:
+            first = moved
+        else:
+            later.append(near)
+        unsettled = stored(_unsettled(unsettled, moved), "unsettled")
+        if unsettled.isEmpty():
+            break
+    else:
+        later.append(_crowd_edges(unsettled, classes, least_estimate))
+    if not later:
+        return first
+    # Later edges join components, so only their small table is settled again.
+    rest = stored(components(functools.reduce(DataFrame.union, later)), "joined")
+    further = rest.select(F.col("node").alias("__node"), F.col("component").alias("further"))
+    moved = first.join(further, first["component"] == further["__node"], "left").select(
+        "node", F.coalesce("further", "component").alias("component")
+    )
+    return moved.union(rest.join(first.select("node"), "node", "left_anti").select("node", "component"))
+
+
+def _subtree_edges(unsettled: DataFrame, below: int) -> DataFrame:
+    """Edges (a, b, ca, cb) from the smallest member of each subtree to one of each other component in it.
+
+    The subtrees are those ``below`` values under the shortest prefix; ca and cb are the components of a and b.
+    """
+    subtree = F.xxhash64("key", F.substring("path", F.lit(1), F.lit(below))) if below else F.col("key")
+    members = unsettled.groupBy(subtree.alias("subtree"), "component").agg(F.min("node").alias("member"))
+    heads = members.groupBy("subtree").agg(
+        F.min("member").alias("a"), F.min_by("component", "member").alias("ca"), F.count("*").alias("parts")
+    )
+    heads = heads.where("parts > 1").drop("parts")
+    return members.join(heads, "subtree").where("member <> a").select(
+        "a", F.col("member").alias("b"), "ca", F.col("component").alias("cb")
+    )
+
+
+def _unsettled(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """The rows with their new components, of those shortest prefixes that still hold several."""
+    moved = moved.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    placed = rows.join(moved, F.col("component") == F.col("__node"), "left").select(
+        "key", "path", "node", F.coalesce("__component", "component").alias("component")
+    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return placed.join(mixed.where("least <> most").select("key"), "key")
+
+
+def _alike(edges: DataFrame, classes: DataFrame, least_estimate: float) -> DataFrame:
+    """Of edges (a, b, ca, cb) those whose signatures look alike, as edges between components."""
     left = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     right = classes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    signed = edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    signed = edges.join(left, "a").join(right, "b").select("ca", "cb", "sa", "sb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,11 +293,10 @@ def candidate_edges(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE)
             )
             alike = (x == y).sum(axis=1) >= _least_equal(x.shape[1], least_estimate)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(alike)) for c in ("a", "b")], names=["a", "b"]
+                [batch.column(c).filter(pa.array(alike)) for c in ("ca", "cb")], names=["a", "b"]
             )
 
-    near = stored(signed.mapInArrow(run, "a long, b long"), "near")
-    return near.union(_crowd_edges(crowds, components(near), classes, least_estimate))
+    return signed.mapInArrow(run, "a long, b long")
 
 
 def _least_equal(values: int, least_estimate: float) -> int:
@@ -235,21 +304,17 @@ def _least_equal(values: int, least_estimate: float) -> int:
     return int(np.ceil(values * (least_estimate * (1 - 1 / 256) + 1 / 256) - 1e-9))
 
 
-def _crowd_edges(crowds: DataFrame, labels: DataFrame, classes: DataFrame, least_estimate: float) -> DataFrame:
-    """Edges between different components (``labels``) whose members meet in a bucket and look alike.
+def _crowd_edges(placed: DataFrame, classes: DataFrame, least_estimate: float) -> DataFrame:
+    """Edges between different components whose members meet at a shortest prefix and look alike.
 
-    Every two members of a bucket are compared by their signatures unless they lie in one component already.
-    Buckets are cut into blocks of bounded size; every two blocks of one bucket meet in one
+    ``placed`` holds the rows (key, node, component) of prefixes with several components. Every two members
+    are compared by their signatures unless they lie in one component already.
+    Prefixes are cut into blocks of bounded size; every two blocks of one prefix meet in one
     task, which emits an edge for each two components that it joins, never the pairs.
     """
-    placed = crowds.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-    placed = stored(placed.select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(
-        F.min("component").alias("least"),
-        F.max("component").alias("most"),
-        F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"),
-    )
-    mixed = mixed.where("least <> most").select("key", "blocks")
+    placed = placed.drop("path")
+    blocks = F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int")
+    mixed = placed.groupBy("key").agg(blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     keys = ("key", "low", "high")
     met = (
@@ -262,7 +327,6 @@ def _crowd_edges(crowds: DataFrame, labels: DataFrame, classes: DataFrame, least
             F.least("own", "other").alias("low"),
             F.greatest("own", "other").alias("high"),
             "own",
-            "node",
             "component",
             "signature",
         )
@@ -289,10 +353,8 @@ def _crowd_edges(crowds: DataFrame, labels: DataFrame, classes: DataFrame, least
 
 
 def _joined(rows: pa.Table, starts: list[int], least_estimate: float) -> pa.RecordBatch:
-    """Edges of the runs of rows that begin at ``starts``, which ends with the number of rows."""
-    nodes, labels, own, low, high = (
-        rows.column(c).to_numpy() for c in ("node", "component", "own", "low", "high")
-    )
+    """Edges between components, of the runs of rows that begin at ``starts``, which ends with the number of rows."""
+    labels, own, low, high = (rows.column(c).to_numpy() for c in ("component", "own", "low", "high"))
     body = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
     least, count_type = _least_equal(body.shape[1], least_estimate), np.min_scalar_type(body.shape[1])
     found: list[tuple[int, int]] = []
@@ -309,7 +371,7 @@ def _joined(rows: pa.Table, starts: list[int], least_estimate: float) -> pa.Reco
             equal = (by_value[:, others] == by_value[:, i : i + 1]).sum(axis=0, dtype=count_type)
             for j in others[equal >= least]:
                 if label[j] != label[i]:
-                    found.append((int(nodes[lo + i]), int(nodes[lo + j])))
+                    found.append((int(labels[lo + i]), int(labels[lo + j])))
                     label[label == label[j]] = label[i]
     columns = [pa.array([edge[k] for edge in found], pa.int64()) for k in (0, 1)]
     return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
@@ -347,78 +409,94 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def verified_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Exact check of all classes of a candidate component against each other, in blocks.
 
-    ``members``: node, component, copies, n_shingles and doc_id of a text of the class.
+    ``members``: node, component, copies, n_shingles, digest (high, low) and doc_id of a text of the class.
     Returns (node, links, other): the number of documents that are linked to the class, and one linked class
     per row as an edge; together the edges span what is linked. Components are cut
-    into blocks of bounded size; every two blocks of one component meet in one
-    task, which counts the links and emits a row per class, never the pairs.
+    into blocks of bounded size; two blocks of one component meet in one
+    task, which counts the links and emits a row per class, never the pairs. The blocks of a component of several
+    lie in size classes, each ``SIZE_CLASS`` times the one before: sets that are linked differ by 5/4 at most, so only
+    blocks of one class or of neighbouring classes meet.
     """
     weight = F.greatest("n_shingles", F.lit(500))
-    sizes = members.groupBy("component").agg(F.sum(weight).alias("weight"))
-    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = (
-        members.join(sizes.select("component", blocks.alias("blocks")), "component")
-        .withColumn("own", own)
-        .select(F.col("doc_id").alias("__id"), "node", "component", "copies", "own", "blocks")
+    whole = members.groupBy("component").agg((F.sum(weight) <= BLOCK_SHINGLES).alias("one_block"))
+    size = F.when(F.col("one_block"), 0).otherwise(F.floor(F.log(F.col("n_shingles")) / float(np.log(SIZE_CLASS))))
+    sized = members.join(whole, "component").withColumn("size", size.cast("int"))
+    blocks = sized.groupBy("component", "size").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # A row per block that a class meets: those of its own size, and of the sizes beside it.
+    met = blocks.select("component", F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias("size"), F.struct("size", "blocks").alias("there"))
+    met = met.groupBy("component", "size").agg(F.collect_list("there").alias("met"))  # three at most
+    met = met.join(blocks, ["component", "size"])
+    own = F.struct("size", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    numbered = F.transform(
+        "met",
+        lambda m: F.transform(F.sequence(F.lit(0), m["blocks"] - 1), lambda i: F.struct(m["size"].alias("size"), i.alias("block"))),
+    )
+    placed = sized.join(met, ["component", "size"]).select(
+        F.col("doc_id").alias("__id"), "node", "high", "low", "component", "copies", own.alias("own"), F.flatten(numbered).alias("met")
     )
     with_text = (
         docs.select("doc_id", "text")
         # One plan for all sizes: the texts meet their classes by id, in one shuffle.
         .join(placed.hint("merge"), docs["doc_id"].eqNullSafe(placed["__id"]))
-        .select(
-            "node", "component", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "text"
-        )
+        .select("node", "high", "low", "component", "copies", "own", F.explode("met").alias("other"), "text")
+        .withColumns({"lesser": F.least("own", "other"), "greater": F.greatest("own", "other")})
         .select(
             "node",
+            "high",
+            "low",
             "copies",
             "component",
-            F.least("own", "other").alias("low"),
-            F.greatest("own", "other").alias("high"),
-            "own",
+            "lesser.size",
+            "lesser.block",
+            F.col("greater.size").alias("other_size"),
+            F.col("greater.block").alias("other_block"),
+            ((F.col("own") == F.col("lesser"))).alias("is_lesser"),
             "text",
         )
     )
-    keys = ("component", "low", "high")
-    grouped = with_text.repartition(*keys).sortWithinPartitions(*keys, "own", "node")
+    keys = ("component", "size", "block", "other_size", "other_block")
+    grouped = with_text.repartition(*keys).sortWithinPartitions(*keys, "is_lesser", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def compared() -> pa.RecordBatch:
             nodes, copies, sides, sets, seen = [], [], [], [], set()
-            for node, many, own_block, values in held:
+            for node, many, lesser, values in held:
                 if node not in seen:  # several rows of one id, or of one text
                     seen.add(node)
                     nodes.append(node)
                     copies.append(many)
-                    sides.append(own_block)
+                    sides.append(lesser)
                     sets.append(values)
-            side = np.array(sides)
+            one_block = key[1:3] == key[3:5]
+            side = np.array(sides, bool)
             names, many = np.array(nodes, np.int64), np.array(copies, np.int64)
-            low, high = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+            low, high = np.flatnonzero(side), np.flatnonzero(side if one_block else ~side)
             rows: list[tuple[int, int, int]] = []
             if len(low) and len(high):
                 linked = _linked([sets[i] for i in low], [sets[i] for i in high])
-                if key[1] == key[2]:
+                if one_block:
                     np.fill_diagonal(linked, False)
                 for mine, theirs, table in ((low, high, linked), (high, low, linked.T)):
                     for i in np.flatnonzero(table.any(axis=1)):
                         rows.append((int(names[mine[i]]), int(table[i] @ many[theirs]), table[i], theirs))
-                    if key[1] == key[2]:
+                    if one_block:
                         break
             return _spanning(rows, names)
 
         for batch in batches:
             at = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
-            for part_at, values in _row_shingles(batch):
-                if at[part_at] != key:
+            columns = ("node", "copies", "is_lesser", "high", "low")
+            known = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+            for row, values in _row_shingles(batch):
+                if at[row] != key:
                     if held:
                         yield compared()
-                    key, held = at[part_at], []
-                node = batch.column("node")[part_at].as_py()
-                if _digests(values, np.array([0, len(values)]))[0].view(np.int64) == node:
-                    held.append((node, batch.column("copies")[part_at].as_py(), batch.column("own")[part_at].as_py(), values))
+                    key, held = at[row], []
+                node, many, lesser, *digest = known[row]
+                if [int(d.view(np.int64)[0]) for d in _digests(values, np.array([0, len(values)]))] == digest:
+                    held.append((node, many, lesser, values))
         if held:
             yield compared()
 
@@ -452,7 +530,9 @@ def _spanning(rows: list, names: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "links", "other"])
 
 
-def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
+def near_duplicate_classes(
+    docs: DataFrame, trees: int = TREES, deepest: int = DEPTH, target: float = TARGET_RECALL, similarity: float = 0.8
+) -> DataFrame:
     """One row per document: doc_id, class_id, copy_of, n_links.
 
     Links join documents whose sets of five-word windows have a Jaccard similarity of 0.8
@@ -465,18 +545,18 @@ def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
 
     Copies collapse first, so a text that stands thousands of times is compared once.
     """
-    sketches = stored(sketch(docs, **options), "sketches")
+    sketches = stored(sketch(docs, trees, deepest, target, similarity), "sketches")
     texts = sketches.where("n_shingles > 0")
-    classes = texts.groupBy("node").agg(
+    classes = texts.groupBy("high", "low").agg(
         F.min("doc_id").alias("doc_id"),
         F.count("*").alias("copies"),
         F.first("n_shingles").alias("n_shingles"),
-        F.first("keys").alias("keys"),
-        F.first("signature").alias("signature"),
+        *(F.first(c).alias(c) for c in ("keys", "signature", "rest")),
     )
-    classes = stored(classes, "classes")
-    candidates = components(candidate_edges(classes))
-    slim = classes.select("node", "doc_id", "copies", "n_shingles")
+    # Numbers for classes, fixed once the table is written; unlike half a digest they never collide.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    candidates = candidate_components(classes, prefix_depth(similarity, trees, deepest, target), deepest)
+    slim = classes.select("node", "high", "low", "doc_id", "copies", "n_shingles")
     members = stored(slim.join(candidates, "node"), "members")
     links = stored(verified_links(members, docs), "links")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -485,15 +565,16 @@ def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
     named = stored(named.withColumn("component", F.coalesce("component", "node")), "named")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of_class = named.join(smallest, "component").select(
-        F.col("node").alias("__node"),
+        F.col("high").alias("__high"),
+        F.col("low").alias("__low"),
         "class_id",
         F.col("doc_id").alias("copy_of"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("__links"),
     )
     alone: Column = F.col("n_shingles") == 0
     return (
-        sketches.select("doc_id", "node", "n_shingles")
-        .join(of_class, (F.col("node") == F.col("__node")) & ~alone, "left")
+        sketches.select("doc_id", "high", "low", "n_shingles")
+        .join(of_class, (F.col("high") == F.col("__high")) & (F.col("low") == F.col("__low")) & ~alone, "left")
         .select(
             "doc_id",
             F.coalesce("class_id", "doc_id").alias("class_id"),

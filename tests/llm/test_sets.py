@@ -180,6 +180,46 @@ def test_near_duplicates_in_a_family_of_common_passages(spark, monkeypatch, most
     assert sum(n for _, n in got.values()) == 2 * len(pairs)
 
 
+def test_near_duplicates_of_many_sizes(spark, monkeypatch):
+    """One component whose texts grow by a tenth each: links reach over size classes, blocks are many."""
+    words = [f"g{i}" for i in range(1500)]
+    every = {i: " ".join(words[: int(30 * 1.1**i)]) for i in range(40)}
+    every |= {100 + i: every[i] + f" end{i}" for i in range(0, 40, 3)}
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    expected = brute_links(every)
+    assert {c for c, _ in expected.values()} == {0}
+    for most in (500_000, 4000):
+        monkeypatch.setattr(nd, "BLOCK_SHINGLES", most)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicate_classes(df).collect()}
+        assert got == expected
+
+
+def test_linked_sizes_lie_in_neighbouring_classes():
+    sizes = np.arange(1, 200_000)
+    of = lambda n: np.floor(np.log(n) / float(np.log(nd.SIZE_CLASS)))
+    assert (of(sizes * 5 // 4) - of(sizes)).max() == 1
+
+
+def test_forest_leaves_settled_subtrees(spark):
+    rows = [(1, b"abc", 10, 10), (1, b"abc", 11, 11), (1, b"axy", 12, 12), (2, b"abc", 10, 10), (2, b"abd", 11, 11)]
+    rows = spark.createDataFrame(rows, "key long, path binary, node long, component long")
+    edges = lambda t, below: sorted((r.a, r.b, r.ca, r.cb) for r in nd._subtree_edges(t, below).collect())
+    assert edges(rows, 3) == [(10, 11, 10, 11)]
+    assert edges(rows, 2) == [(10, 11, 10, 11)] * 2
+    moved = spark.createDataFrame([(10, 10), (11, 10)], "node long, component long")
+    left = nd._unsettled(rows, moved)
+    # All of key 2 have come into one component; key 1 goes on, by one edge for its two components.
+    assert sorted((r.key, r.node, r.component) for r in left.collect()) == [(1, 10, 10), (1, 11, 10), (1, 12, 12)]
+    assert edges(left, 1) == edges(left, 0) == [(10, 12, 10, 12)]
+
+
+def test_digests_tell_sets_apart():
+    values, offsets = nd.shingles(pa.array(["a b c d e f", "b c d e f a", "a b c d e f", ""]))
+    high, low = nd._digests(values, offsets)
+    assert high[0] == high[2] and low[0] == low[2] and len(set(high)) == len(set(low)) == 3
+    assert not set(high[:3]) & set(low[:3])  # the empty set has no sum to mix
+
+
 def test_shingles_are_sets_of_windows(texts):
     some = [*list(texts.values())[:80], None, "", "a", "a b c d", "a b c d e", "a b c d e " * 9]
     values, offsets = nd.shingles(pa.array(some))
