@@ -242,13 +242,19 @@ def taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two attempts an event. Every document's whole text stands around what one attempt printed."""
     n, s = F.col("event_id"), F.col("_s")
     gist = s == 0
     v = (n + s * 4) % 9
+    body = F.col("text")
+    head, tail = F.coalesce(_cat(body, "\n"), F.lit("")), F.coalesce(_cat("\n", body), F.lit(""))
     ok_out = F.when(gist, _cat("https://gist.github.com/user", n % 40, "/", n % 500, "\n")).otherwise(
-        _cat("created\r\n  https://github.com/nation_0/repo-", n % 500, " \r\nhttps://github.com/x/y/z\n")
+        _cat(head, "created\r\n  https://github.com/nation_0/repo-", n % 500, " \r\nhttps://github.com/x/y/z\n", tail)
     )
-    return table(spark, sf_dir, "events").select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("_s")).select(
+    tried = table(spark, sf_dir, "events").select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("_s"))
+    doc = F.col("doc_id")
+    printed = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tried.join(printed, (doc * 10 == n) & (doc % 2 == s), "left").select(
         (n * 2 + s).alias("attempt_id"),
         n.alias("request_id"),
         F.when(gist, "gist").otherwise("repo").alias("stage"),
@@ -256,15 +262,18 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(v, {2: F.lit(1), 3: F.lit(128), 4: F.lit(1), 5: F.lit(1), 6: F.lit(1), 0: F.lit(0)}).alias("exit_code"),
         F.when(v == 8, F.lit(3)).when((v == 7) & ~gist, F.lit(128)).alias("child_exit_code"),
         _case(v, {1: "ENOSPC: no space left on device, write", 2: "Error: No space left on device"}).alias("message"),
-        _case(v, {0: ok_out, 7: "https://gist.github.com/", 8: " build failed \t"}).alias("stdout"),
+        _case(v, {0: ok_out, 7: "https://gist.github.com/", 8: _cat(head, " build failed \t", tail)}).alias("stdout"),
         _case(
             v,
             {
-                3: "fatal: No Space Left on device",
-                4: "GraphQL: Name already exists on this account (createRepository)",
-                5: "gh: Not Found (HTTP 404)",
-                6: "  secondary rate limit\n",
-                7: "fatal: couldn't find remote ref main",
+                0: F.when(gist, body),
+                1: body,
+                2: body,
+                3: _cat(head, "fatal: No Space Left on device", tail),
+                4: _cat(head, "GraphQL: Name already exists on this account (createRepository)", tail),
+                5: _cat(head, "gh: Not Found (HTTP 404)", tail),
+                6: _cat(head, "  secondary rate limit\n", tail),
+                7: _cat(head, "fatal: couldn't find remote ref main", tail),
                 8: "",
             },
         ).alias("stderr"),

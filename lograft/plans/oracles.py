@@ -138,20 +138,37 @@ TABLES = {
         UNION ALL SELECT owner, {folder('path')} || '-' || (epoch_us(requested_at) // 1000) FROM asked
         WHERE n % 33 = 0 AND path IS NOT NULL""",
     "attempts": """SELECT event_id AS request_id, event_id * 2 + s AS attempt_id,
-        CASE s WHEN 0 THEN 'gist' ELSE 'repo' END AS stage, (event_id + s * 4) % 9 AS v, event_id AS n
-        FROM events CROSS JOIN (VALUES (0), (1)) t(s)""",
-    "tries": """SELECT *,
-        v IN (1, 2, 3) AS no_space, v = 4 AS name_conflict, v = 5 AS not_found, v = 7 AS missing_ref,
+        CASE s WHEN 0 THEN 'gist' ELSE 'repo' END AS stage, (event_id + s * 4) % 9 AS v, event_id AS n, text AS body,
+        coalesce(text || chr(10), '') AS head, coalesce(chr(10) || text, '') AS tail
+        FROM events CROSS JOIN (VALUES (0), (1)) t(s) LEFT JOIN documents ON doc_id * 10 = event_id AND doc_id % 2 = s""",
+    "printed": """SELECT *, CASE v WHEN 1 THEN 'ENOSPC: no space left on device, write'
+            WHEN 2 THEN 'Error: No space left on device' END AS message,
+        CASE v WHEN 0 THEN CASE stage WHEN 'gist' THEN body END WHEN 1 THEN body WHEN 2 THEN body WHEN 8 THEN ''
+            ELSE head || CASE v WHEN 3 THEN 'fatal: No Space Left on device'
+                WHEN 4 THEN 'GraphQL: Name already exists on this account (createRepository)'
+                WHEN 5 THEN 'gh: Not Found (HTTP 404)' WHEN 6 THEN '  secondary rate limit' || chr(10)
+                WHEN 7 THEN 'fatal: couldn''t find remote ref main' END || tail END AS stderr,
+        CASE v WHEN 0 THEN CASE stage
+                WHEN 'gist' THEN 'https://gist.github.com/user' || (n % 40) || '/' || (n % 500) || chr(10)
+                ELSE head || 'created' || chr(13) || chr(10) || '  https://github.com/nation_0/repo-' || (n % 500) || ' '
+                    || chr(13) || chr(10) || 'https://github.com/x/y/z' || chr(10) || tail END
+            WHEN 7 THEN 'https://gist.github.com/' WHEN 8 THEN head || ' build failed ' || chr(9) || tail END AS stdout,
         CASE v WHEN 2 THEN 1 WHEN 3 THEN 128 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 8 THEN 3
-            WHEN 7 THEN CASE stage WHEN 'repo' THEN 128 ELSE 0 END ELSE 0 END AS exit,
-        CASE v WHEN 2 THEN 'Command exited with code 1' WHEN 3 THEN 'fatal: No Space Left on device'
-            WHEN 4 THEN 'GraphQL: Name already exists on this account (createRepository)'
-            WHEN 5 THEN 'gh: Not Found (HTTP 404)' WHEN 6 THEN 'secondary rate limit'
-            WHEN 7 THEN CASE stage WHEN 'repo' THEN 'fatal: couldn''t find remote ref main' END
-            WHEN 8 THEN 'build failed' END AS detail,
-        CASE WHEN v = 0 AND stage = 'repo' THEN 'https://github.com/nation_0/repo-' || (n % 500) END AS repository_url,
-        CASE WHEN v = 0 AND stage = 'gist' THEN 'https://gist.github.com/user' || (n % 40) || '/' || (n % 500) END AS gist_url
+            WHEN 7 THEN CASE stage WHEN 'repo' THEN 128 ELSE 0 END ELSE 0 END AS exit
         FROM attempts""",
+    "scanned": f"""SELECT *, lower(coalesce(stderr, '')) AS loud, {trim('stdout')} AS out,
+        lower(coalesce(nullif(stderr, ''), stdout, '')) AS output, string_split(replace(stdout, chr(13) || chr(10), chr(10)), chr(10)) AS lines
+        FROM printed""",
+    "tries": f"""SELECT *,
+        v IN (1, 2) OR contains(coalesce(stderr, ''), 'ENOSPC') OR contains(loud, 'no space left on device') AS no_space,
+        contains(loud, 'already exists') AS name_conflict,
+        contains(output, 'not found') OR contains(output, 'http 404') AS not_found,
+        contains(output, 'couldn''t find remote ref') OR contains(output, 'could not find remote branch') AS missing_ref,
+        CASE WHEN exit <> 0 THEN coalesce(nullif({trim('stderr')}, ''), nullif(out, ''), 'Command exited with code ' || exit) END AS detail,
+        list_filter(list_transform(lines, lambda l: {trim('l')}),
+            lambda l: regexp_full_match(l, 'https://github\\.com/[^/\\s]+/[^/\\s]+'))[1] AS repository_url,
+        CASE WHEN starts_with(out, 'https://gist.github.com/') AND out <> 'https://gist.github.com/' THEN out END AS gist_url
+        FROM scanned""",
     "records": f"""SELECT doc_id, source AS batch, 'cs-' || doc_id || '.md' AS file,
         1700000000 + (doc_id * 7919) % 997 AS mtime, doc_id % 13 AS v,
         CASE doc_id % 3 WHEN 0 THEN 'patch' WHEN 1 THEN 'minor' ELSE 'major' END AS kind,
@@ -257,12 +274,8 @@ STATE = f"""SELECT d.*, t.default_branch, t.visibility, t.action, m.final,
     d.broken OR (turn IS NOT NULL AND t.action = 'error') AS refused, g.gist_url, r.repository_url, g.no_space AS g_full, r.no_space AS r_full,
     g.gist_url IS NOT NULL AS g_ok, r.v = 0 AS r_ok,
     (in_archive OR coalesce(repeated, false)) AND coalesce(t.action, '') <> 'error' AS dup,
-    CASE g.v WHEN 2 THEN 'Error: No space left on device' WHEN 5 THEN 'Failed to create gist: gh: Not Found (HTTP 404)'
-        WHEN 4 THEN 'Failed to create gist: GraphQL: Name already exists on this account (createRepository)'
-        WHEN 6 THEN 'Failed to create gist: secondary rate limit'
-        WHEN 7 THEN 'Failed to create gist: fatal: couldn''t find remote ref main'
-        WHEN 8 THEN 'Failed to create gist: Unknown error' END AS g_error,
-    CASE r.v WHEN 2 THEN 'Error: No space left on device' ELSE r.detail END AS r_error
+    coalesce(g.message, 'Failed to create gist: ' || coalesce({trim("nullif(g.stderr, '')")}, 'Unknown error')) AS g_error,
+    coalesce(r.message, r.detail) AS r_error
     FROM dedup d JOIN tries g ON g.request_id = d.request_id AND g.stage = 'gist'
     JOIN tries r ON r.request_id = d.request_id AND r.stage = 'repo'
     LEFT JOIN targets t ON turn IS NOT NULL AND t.owner = d.owner AND t.repository_name = d.repository_name
@@ -525,8 +538,9 @@ _QUERIES = {
                 ELSE 'The listing of this folder cannot be parsed' END
              WHEN 'repo failed' THEN r_error END AS error FROM ({OUTCOME})""",
     "o24_extract_urls": """SELECT attempt_id, repository_url, gist_url, string_split(gist_url, '/')[-1] AS gist_id FROM tries""",
-    "o24_url_targets": """SELECT stage AS kind, coalesce(repository_url, gist_url) AS url, count(*) AS uses FROM tries
-        WHERE coalesce(repository_url, gist_url) IS NOT NULL GROUP BY ALL""",
+    "o24_url_targets": """SELECT kind, url, count(*) AS uses FROM (
+        SELECT 'repo' AS kind, repository_url AS url FROM tries UNION ALL SELECT 'gist', gist_url FROM tries)
+        WHERE url IS NOT NULL GROUP BY ALL""",
     "o24_scan_url_targets": f"""SELECT CASE v WHEN 1 THEN 'repo' ELSE 'gist' END AS kind, url, count(*) AS uses
         FROM {CAPTURED} WHERE url IS NOT NULL GROUP BY ALL""",
     "o25_explode_changelog": "SELECT doc_id, position::BIGINT AS position, version, section FROM sections",
