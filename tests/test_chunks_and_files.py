@@ -110,6 +110,20 @@ def test_no_file_goes_through_the_plan(tree):
     assert CatalogueReader(f"{root}/a.js", (), 9).partitions()[0].file[1:4] == (f"{root}/a.js", "a.js", 6)
 
 
+def test_many_directories_share_a_task(tmp_path):
+    """A directory with many others makes no more tasks than asked for, and each is listed once."""
+    for i in range(50):
+        (tmp_path / f"part={i}" / "deep").mkdir(parents=True)
+        (tmp_path / f"part={i}" / "x.txt").write_bytes(b"x" * i)
+        (tmp_path / f"part={i}" / "deep" / "y.txt").write_bytes(b"")
+    (tmp_path / "top.txt").write_bytes(b"")
+    reader = CatalogueReader(str(tmp_path), (), 8)
+    parts = reader.partitions()
+    found = [name for p in parts for batch in reader.read(p) for name in batch.column("relative_path").to_pylist()]
+    wanted = ["top.txt", *(f"part={i}/{n}" for i in range(50) for n in ("x.txt", "deep/y.txt"))]
+    assert len(parts) == 8 and sorted(found) == sorted(wanted)
+
+
 def test_locations_without_scheme(spark, tmp_path):
     assert qualified(spark, str(tmp_path)) == str(tmp_path) and qualified(spark, "s3://b/x") == "s3://b/x"
 
