@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -111,3 +112,25 @@ def test_versions_as_patterns(spark, version, found):
     got = {r.version: r.notes for r in changelog.release_notes(logs, wanted, legacy=True).collect()}
     assert got["1.1"] == "old" and ("the notes" in got[version]) == found
     assert found or got[version] == f"Release {version}"
+
+
+def test_numbers_of_chunks_are_marked_not_shuffled(spark):
+    """Coverage is told from a row for 64 chunks; lost, repeated and missing numbers show."""
+    made = {"whole": range(200), "gap": [*range(70), *range(71, 200)], "again": [*range(199), 3], "moved": range(1, 201)}
+    made["none"] = [None, None]
+    parts = [(p, 2000, n, 10 * i, 10, 0) for p, numbers in made.items() for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(parts, "path string, size_bytes long, chunk_no long, offset long, length long, crc long")
+    covered = chunks._covered(df)
+    plan = covered._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" in plan and not any("chunk_no" in line for line in plan.split("\n") if "hashpartitioning" in line)
+    got = {r.path: (r.n, r["distinct"], r.whole) for r in covered.collect()}
+    assert got == {"whole": (200, 200, True), "gap": (199, 199, False), "again": (200, 199, False), "moved": (200, 200, False), "none": (2, 0, False)}
+
+
+def test_length_behind_a_part_is_worked_out_once(spark):
+    """The plan names the length behind a part once, not for each bit of it."""
+    df = spark.createDataFrame([(zlib.crc32(b"ab"), b"cde" * 1000)], "crc long, rest binary")
+    found = df.select(crc_before(df["crc"], F.octet_length("rest").cast("bigint")).alias("moved"))
+    assert found.first().moved ^ zlib.crc32(b"cde" * 1000) == zlib.crc32(b"ab" + b"cde" * 1000)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "getbit(" in plan and not re.search(r"getbit\([^,]*octet_length", plan)
