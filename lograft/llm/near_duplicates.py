@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -209,8 +208,10 @@ def candidate_components(
     shorter each time, to the ``shortest``, at which the target recall is reached. At each depth a forest node
     gives an edge from its smallest member to one of each other component in it; the edges whose
     signatures look alike join components. A subtree whose members have all come into one component is settled and goes no
-    further, so families of near copies leave at long prefixes. What is not settled at the shortest prefix
-    is compared member by member (:func:`_crowd_edges`), so no pair depends on a third text.
+    further, so families of near copies leave at long prefixes. Of one component only the smallest member in each subtree
+    goes on, as no other gives an edge, so a large family that shares a prefix with a stranger is not carried along. What
+    is not settled at the shortest prefix is compared member by member (:func:`_crowd_edges`), so no pair
+    depends on a third text.
 
     Subtrees that hold one class are never followed, and those of two are an edge at once.
     """
@@ -223,32 +224,30 @@ def candidate_components(
     )
     shared = stored(shared.where("members > 1"), "buckets")
     crowds = leaves.join(shared.where("members > 2").select("key"), "key")
-    unsettled = stored(crowds.withColumn("component", F.col("node")), "crowds")
+    crowds = stored(crowds.withColumn("component", F.col("node")), "crowds")
     pairs = shared.where("members = 2").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    first, later = None, []
-    for depth in (*range(deepest, shortest, -step), shortest):
-        edges = _subtree_edges(unsettled, depth - shortest)
-        edges = edges if first is not None else edges.union(pairs)
-        near = stored(_alike(edges.distinct(), classes, least_estimate), "near")
-        moved = components(near)
-        if first is None:
-            first = moved
-        else:
-            later.append(near)
-        unsettled = stored(_unsettled(unsettled, moved), "unsettled")
-        if unsettled.isEmpty():
-            break
-    else:
-        later.append(_crowd_edges(unsettled, classes, least_estimate))
-    if not later:
-        return first
-    # Later edges join components, so only their small table is settled again.
-    rest = stored(components(functools.reduce(DataFrame.union, later)), "joined")
-    further = rest.select(F.col("node").alias("__node"), F.col("component").alias("further"))
-    moved = first.join(further, first["component"] == further["__node"], "left").select(
+    heads, placed = crowds, None
+    depths = (*range(deepest, shortest, -step), shortest)
+    for depth, next_depth in zip(depths, (*depths[1:], shortest), strict=True):
+        edges = _subtree_edges(heads, depth - shortest)
+        edges = edges if placed is not None else edges.union(pairs)
+        moved = components(stored(_alike(edges.distinct(), classes, least_estimate), "near"))
+        placed = moved if placed is None else stored(_followed(placed, moved), "placed")
+        heads = stored(_unsettled(heads, moved, next_depth - shortest), "unsettled")
+        if heads.isEmpty():
+            return placed
+    mixed = shared.join(heads.select("key").distinct(), "key").select("key", "members")
+    joined = components(stored(_crowd_edges(crowds, mixed, placed, classes, least_estimate), "joined"))
+    return _followed(placed, joined)
+
+
+def _followed(placed: DataFrame, moved: DataFrame) -> DataFrame:
+    """Rows (node, component) after components have moved, with the nodes that move for the first time."""
+    further = moved.select(F.col("node").alias("__node"), F.col("component").alias("further"))
+    now = placed.join(further, placed["component"] == further["__node"], "left").select(
         "node", F.coalesce("further", "component").alias("component")
     )
-    return moved.union(rest.join(first.select("node"), "node", "left_anti").select("node", "component"))
+    return now.union(moved.join(placed.select("node"), "node", "left_anti").select("node", "component"))
 
 
 def _subtree_edges(unsettled: DataFrame, below: int) -> DataFrame:
@@ -267,12 +266,19 @@ def _subtree_edges(unsettled: DataFrame, below: int) -> DataFrame:
     )
 
 
-def _unsettled(rows: DataFrame, moved: DataFrame) -> DataFrame:
-    """The rows with their new components, of those shortest prefixes that still hold several."""
+def _unsettled(rows: DataFrame, moved: DataFrame, below: int | None = None) -> DataFrame:
+    """The rows with their new components, of those shortest prefixes that still hold several.
+
+    With ``below`` only the smallest node of each component is kept in a subtree that many values under the shortest prefix.
+    """
     moved = moved.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
     placed = rows.join(moved, F.col("component") == F.col("__node"), "left").select(
         "key", "path", "node", F.coalesce("__component", "component").alias("component")
     )
+    if below is not None:
+        path = F.substring("path", F.lit(1), F.lit(below)).alias("path")
+        placed = placed.groupBy("key", path, "component").agg(F.min("node").alias("node"))
+        placed = placed.select("key", "path", "node", "component")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     return placed.join(mixed.where("least <> most").select("key"), "key")
 
@@ -304,22 +310,23 @@ def _least_equal(values: int, least_estimate: float) -> int:
     return int(np.ceil(values * (least_estimate * (1 - 1 / 256) + 1 / 256) - 1e-9))
 
 
-def _crowd_edges(placed: DataFrame, classes: DataFrame, least_estimate: float) -> DataFrame:
+def _crowd_edges(
+    crowds: DataFrame, mixed: DataFrame, placed: DataFrame, classes: DataFrame, least_estimate: float
+) -> DataFrame:
     """Edges between different components whose members meet at a shortest prefix and look alike.
 
-    ``placed`` holds the rows (key, node, component) of prefixes with several components. Every two members
+    ``crowds`` holds the rows (key, node) of prefixes, ``mixed`` those with several components (key, members), and
+    ``placed`` the components of nodes that are not their own. Every two members
     are compared by their signatures unless they lie in one component already.
     Prefixes are cut into blocks of bounded size; every two blocks of one prefix meet in one
     task, which emits an edge for each two components that it joins, never the pairs.
     """
-    placed = placed.drop("path")
-    blocks = F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int")
-    mixed = placed.groupBy("key").agg(blocks.alias("blocks"))
+    blocks = mixed.select("key", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     keys = ("key", "low", "high")
+    members = crowds.select("key", "node").join(blocks, "key").join(placed, "node", "left")
     met = (
-        placed.join(mixed, "key")
-        .withColumn("own", own)
+        members.withColumns({"own": own, "component": F.coalesce("component", "node")})
         .join(classes.select("node", "signature"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(

@@ -332,3 +332,16 @@ def test_stages_take_odd_and_empty_tables(spark, odd_documents, no_documents):
             if name != "packing":
                 assert out.columns == list(corpus_pipeline.COLUMNS)
     assert language.UNKNOWN == "und" and quality.TRAIN_ROWS == 20_000
+
+
+def test_families_are_not_carried_along_with_strangers(spark, monkeypatch):
+    """Of a family that shares a prefix with strangers one member goes on to shorter prefixes, not all of them."""
+    family, alike, other = range(1, 301), bytes(240), bytes([1]) * 240
+    rows = [(n, [7], bytes([n % 3]) + b"ab", alike) for n in family]
+    rows += [(900, [7], b"xyz", other), (901, [7], b"uvw", other), (902, [8], b"abc", alike)]
+    classes = spark.createDataFrame(rows, "node long, keys array<long>, rest binary, signature binary")
+    written, real = {}, nd.stored
+    monkeypatch.setattr(nd, "stored", lambda df, label: written.setdefault(label, []).append(real(df, label)) or written[label][-1])
+    got = {r.node: r.component for r in nd.candidate_components(classes, 1, 4, step=1).collect()}
+    assert got == {n: 1 for n in family} | {900: 900, 901: 900}
+    assert max(t.count() for t in written["unsettled"]) <= 5
