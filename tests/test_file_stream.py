@@ -105,6 +105,16 @@ def test_late_files_are_not_lost(tmp_path):
     assert batch(stream.latestOffset()) == ["late.log", "new.log", "old.log", "very-late.log"]
 
 
+def test_stream_tasks_share_directories(tmp_path):
+    for i in range(30):
+        put(tmp_path / f"part={i}", "x.log", 1, age=7200 if i % 2 else 0)
+    stream = source.CatalogueStream(str(tmp_path), fan_out=4)
+    now = time.time_ns() // 1000
+    parts = stream.partitions({}, {"after": now - 3_600_000_000, "until": now})
+    assert len(parts) == 4
+    assert sorted(r[1] for p in parts for r in stream.read(p)) == sorted(f"part={i}/x.log" for i in range(0, 30, 2))
+
+
 def test_files_are_archived_once(spark, tmp_path):
     inbox, root, checkpoint = tmp_path / "in", str(tmp_path / "archive"), str(tmp_path / "checkpoint")
     put(inbox, "small.log", 5)
