@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lograft.operators import catalogue
-from lograft.sources import archive
+from lograft.plans import queries
+from lograft.sources import archive, textfiles
 from lograft.sources.bytechunks import ByteChunks
 from lograft.sources import catalogue as source
 from lograft.streaming.archive_stream import stream_files
@@ -133,3 +134,36 @@ def test_files_are_archived_once(spark, tmp_path):
     assert run() == sorted([*two, ("late", 15)])
     bodies = archive.read_archive(spark, root).where("repository_path like '%two'").orderBy("chunk_name").collect()
     assert b"".join(bytes(r.content) for r in bodies) == (inbox / "a/two.log").read_bytes()
+
+
+def test_text_files_need_nothing_but_themselves(spark, tmp_path):
+    """What the stream finds: a file for a hundred documents, without the checksum files and their processes that Hadoop adds."""
+    root = str(tmp_path / "inbox")
+    docs = [(5, "b"), (None, "lost"), (130, ""), (4, "aé"), (131, None), (-101, "minus"), (5, "b")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    queries._write_text_files(frame, root)
+    queries._write_text_files(frame.where("doc_id > 100"), root)
+    found = sorted((p.parent.name, p.read_bytes().decode()) for p in (tmp_path / "inbox").rglob("*") if p.is_file())
+    two = [("part=1", "\n\n")] * 2
+    assert found == [("part=-1", "minus\n"), ("part=0", "aé\nb\nb\n"), *two, (f"part={textfiles.NO_KEY}", "lost\n")]
+    assert {p.name for p in (tmp_path / "inbox").iterdir()} == {name for name, _ in found}
+    frame.select(F.expr("doc_id div 100").alias("part"), "text").write.partitionBy("part").text(str(tmp_path / "spark"))
+    assert {p.name for p in (tmp_path / "spark").glob("part=*")} == {name for name, _ in found}
+    queries._write_text_files(frame.where("false"), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_text_files_of_a_repeated_attempt(tmp_path):
+    root = str(tmp_path)
+    os.mkdir(textfiles.staging(root, "c"))
+    dead, second, twin = (textfiles.TextFiles(root, "part", "c") for _ in range(3))
+    for files in (dead, second, twin):
+        files.append(1, b"x\n")
+        files.append(2, b"y\n")
+    # The first file is whole once the next has begun; what was open when its task died is not there.
+    assert [p.parent.name for p in tmp_path.glob("part=*/*")] == ["part=1"]
+    second.append(2, b"z\n")
+    second.close()
+    twin.append(2, b"z\n")
+    twin.close()
+    assert sorted((p.parent.name, p.read_bytes()) for p in tmp_path.glob("part=*/*")) == [("part=1", b"x\n"), ("part=2", b"y\nz\n")]
